@@ -20,3 +20,15 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op3_token_store": op3_token_store}
 ORACLES: dict[str, str] = {}
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
+
+
+QUERIES["op7_best_fit_packing"] = op7_best_fit_packing
