@@ -32,3 +32,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_best_fit_packing"] = op7_best_fit_packing
+
+
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on four-word shingles."""
+    from .near_dup import near_duplicates
+
+    return near_duplicates(spark, _read(spark, sf_dir, "documents"), width=4)
+
+
+QUERIES["op9_circulant_minhash"] = op9_circulant_minhash
