@@ -42,3 +42,23 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_circulant_minhash"] = op9_circulant_minhash
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    from .toxicity import toxicity
+
+    return toxicity(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
+
+
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents and which a draw of the target's size keeps."""
+    from .quality import importance_resample
+
+    return importance_resample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES["op6_importance_resampling"] = op6_importance_resampling
