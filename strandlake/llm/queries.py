@@ -62,3 +62,13 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_importance_resampling"] = op6_importance_resampling
+
+
+def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage like a benchmark item, and which."""
+    from .decontaminate import contaminated
+
+    return contaminated(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op4_simhash_decontamination"] = op4_simhash_decontamination
