@@ -72,3 +72,25 @@ def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_simhash_decontamination"] = op4_simhash_decontamination
+
+
+def op1_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    from .metric_search import top_k
+
+    return top_k(spark, _read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+QUERIES["op1_metric_tree_search"] = op1_metric_tree_search
+ORACLES["op1_metric_tree_search"] = """
+with fine as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from fine q join fine c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored)
+select query_id, r::integer as rank, vec_id, score from ranked where r <= 5
+"""
