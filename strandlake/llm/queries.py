@@ -94,3 +94,13 @@ scored as (
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored)
 select query_id, r::integer as rank, vec_id, score from ranked where r <= 5
 """
+
+
+def op10_maximum_subsequence_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_main import extract
+
+    return extract(spark, _read(spark, sf_dir, "pages"))
+
+
+QUERIES["op10_maximum_subsequence_html"] = op10_maximum_subsequence_html
