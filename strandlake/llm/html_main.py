@@ -28,6 +28,7 @@ RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address hr".split()) | INLINE
 MAIN_NAMES = "article content post entry main story text body blog page".split()
 OTHER_NAMES = """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments
 commentlist consent cookie cookies copyright disclaimer disqus footer foot form gdpr header masthead login menu meta modal nav navbar
@@ -42,7 +43,7 @@ _CLOSERS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
 def builtin_pages() -> list[str]:
-    """Labelled pages made from the lists above; the element with ``data-main`` is the main text."""
+    """Labelled pages made from the lists above; the element with ``data-main`` is the main text, without those with ``data-other``."""
     body = "<h1>one two three</h1><p>" + "word " * 30 + "</p><p>" + "word " * 25 + "</p><h2>four five</h2><ul><li>" + "word " * 8 + "</li></ul><blockquote>" + "word " * 9 + "</blockquote><pre>word word</pre><table><tr><td>word word</td></tr></table>"
     pages = []
     for k, name in enumerate(OTHER_NAMES):
@@ -50,9 +51,10 @@ def builtin_pages() -> list[str]:
         tag = OTHER_TAGS[k % len(OTHER_TAGS)]
         side = f"<{tag}><ul><li><a href='x'>" + "word " * 6 + f"</a></li></ul><p>word word</p></{tag}>"
         main = MAIN_NAMES[k % len(MAIN_NAMES)]
-        pages.append(f"<body><header>word word word<nav><a href='x'>word word</a></nav></header>{side}<article data-main><header><h1>one two</h1></header>{body}</article>{other}<footer>word word word</footer></body>")
-        pages.append(f'<body><header>word word word</header>{other}<div data-main class="{main}">{body}</div>{side}<footer>word word</footer></body>')
-        pages.append(f'<body><main data-main>{body}</main><section class="{name}"><article><p>' + "word " * 10 + "</p></article></section></body>")
+        among = f'<{tag} data-other>word word</{tag}><div class="{name}" data-other>' + "word " * 6 + "</div><p>word word word</p>"
+        pages.append(f"<body><header>word word word<nav><a href='x'>word word</a></nav></header>{side}<article data-main><header><h1>one two</h1></header>{body}{among}</article>{other}<footer>word word word</footer></body>")
+        pages.append(f'<body><header>word word word</header>{other}<div data-main class="{main}">{body}{among}</div>{side}<footer>word word</footer></body>')
+        pages.append(f'<body><main data-main><section>{body}</section></main><section class="{name}"><article><p>' + "word " * 10 + "</p></article></section></body>")
     return pages
 
 
@@ -116,7 +118,7 @@ class Page:
             own = [f"{name}@" if inside else name]
             for values in _NAMES.findall(attributes):
                 own += [f".{p.lower()}" for p in _PART.findall("".join(values))]
-            labelled = self.contexts[parent][2] or "data-main" in attributes
+            labelled = (self.contexts[parent][2] or "data-main" in attributes) and "data-other" not in attributes
             self.contexts.append((tuple(own), parent, labelled))
             stack.append((name, len(self.contexts) - 1))
         end_block()
@@ -186,14 +188,14 @@ def main_blocks(page: Page, weights: dict[str, float]) -> list[str]:
             path.append(page.contexts[path[-1]][1])
         paths.append(path[::-1])
     shared = [c[0] for c in zip(*paths, strict=False) if len(set(c)) == 1]
-    holder = shared[-1] if shared else 0
-    tight = [k for k in shared if page.contexts[k][0] and page.contexts[k][0][0].rstrip("@") not in ("html", "body")]
-    if len(paths) == 1 and tight:  # one block alone: its container, where that reads as main text
-        holder = next((k for k in reversed(tight) if max(weights.get(f, 0.0) for f in page.contexts[k][0]) > 1.5 and page.contexts[k][0][0].rstrip("@") not in CLOSED_BY["p"] - {"article", "main", "div", "section"}), holder)
-    outer = next((k for k in shared if page.contexts[k][0] and page.contexts[k][0][0] in ("article", "main")), holder if holder in tight else None)
+    name = ["", *(own[0].rstrip("@") for own, _, _ in page.contexts[1:])]
+    # Its container; an article or main element around that is meant as a whole.
+    holder = next((k for k in reversed(shared) if name[k] not in TEXT), 0)
+    holder = next((k for k in shared if name[k] in ("article", "main")), holder)
+    loose = name[holder] in ("", "html", "body")
     within = [False] * len(page.contexts)
     for k, (_, parent, _) in enumerate(page.contexts):
-        within[k] = k == outer or parent >= 0 and within[parent]
+        within[k] = k == holder or parent >= 0 and within[parent] and (not loose or name[k] in TEXT)
     return [text for context, first, text in page.blocks if value[context] > NEGATIVE and (within[context] or span[0] <= first <= span[1])]
 
 
