@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,3 +105,130 @@ def op10_maximum_subsequence_html(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES["op10_maximum_subsequence_html"] = op10_maximum_subsequence_html
+
+
+#: Tools of the conversations' calls: field to (type, required).
+SCHEMAS = {
+    "search": {"query": ("string", True), "limit": ("integer", True), "exact": ("boolean", False)},
+    "lookup": {"key": ("string", True)},
+    "convert": {"unit": ("string", True), "value": ("integer", True)},
+}
+
+
+def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results that stand for a conversation: assistant turns are calls, the user turns after them results.
+
+    The length n of a turn's text picks its tool and, by its last digit, a fault: 3 a limit that is text, 5 a required
+    field left out, 9 a cut-off argument text. A call needs the calls at half and a third of its turn number.
+    """
+    n = F.length("text")
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    digit = n % 10
+    search = F.format_string(
+        '{ "query": "%s", "limit": %s, "exact": %s }', word, F.when(digit == 3, F.format_string('"%d"', n % 50)).otherwise((n % 50).cast("string")), F.when(n % 2 == 0, F.lit("true")).otherwise(F.lit("false"))
+    )
+    full = F.when(n % 3 == 0, search).when(n % 3 == 1, F.format_string('{"key":"%s"}', word)).otherwise(F.format_string('{"value": %d, "unit":"%s"}', n, word))
+    short = F.when(n % 3 == 0, F.format_string('{"limit":%d}', n % 50)).when(n % 3 == 1, F.lit("{}")).otherwise(F.format_string('{"unit":"%s"}', word))
+    arguments = F.when(digit == 5, short).when(digit == 9, F.lit('{"query": ')).otherwise(full)
+    name = F.when(n % 3 == 0, F.lit("search")).when(n % 3 == 1, F.lit("lookup")).when(n % 3 == 2, F.lit("convert"))
+    call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    turn = F.col("turn")
+    needs = F.array(call_id(F.floor(turn / 2).cast("long")), call_id(F.floor(turn / 3).cast("long")))
+    calls = conversations.where("role = 'assistant'").select("conv_id", call_id(turn).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), needs.alias("needs"))
+    results = conversations.where("role = 'user'").select("conv_id", call_id(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all conversations with their results, levels, faults and canonical messages."""
+    from .tool_calls import link
+
+    return link(spark, *conversation_calls(_read(spark, sf_dir, "conversations")), SCHEMAS)
+
+
+def listed_patterns(pages: DataFrame) -> DataFrame:
+    """A dated list over the pages' own sites: which are listed and when follows from the MD5 of the pattern.
+
+    Byte 1 of the sum picks every fifth pattern; it is listed on day byte 2 of 2024, taken off 30 days later and as many
+    more as byte 3 says, and listed again 200 days after the first time.
+    """
+    from .url_filter import patterns, url_host, url_segment
+
+    sites = pages.select(url_host(F.col("url")).alias("host"), url_segment(F.col("url")).alias("segment")).where("host is not null").distinct()
+    found = sites.select(F.explode(patterns(F.col("host"), F.col("segment"))).alias("pattern")).distinct()
+    byte = lambda i: F.conv(F.substring(F.md5("pattern"), 2 * i - 1, 2), 16, 10).cast("int")
+    first = F.date_add(F.lit("2024-01-01").cast("date"), byte(2))
+    event = lambda day, active: F.struct(day.alias("day"), F.lit(active).alias("active"))
+    events = F.array(event(first, True), event(F.date_add(first, byte(3) + 30), False), event(F.date_add(first, 200), True))
+    return found.where(byte(1) % 5 == 0).select("pattern", F.explode(events).alias("e")).select("pattern", "e.*")
+
+
+def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with the list's verdict at their fetch day, page_id mod 366 days into 2024."""
+    from .url_filter import evaluate
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
+    return evaluate(spark, pages.withColumn("day", day), listed_patterns(pages)).withColumnRenamed("day", "fetch_day")
+
+
+QUERIES["op2_tool_call_linking"] = op2_tool_call_linking
+QUERIES["op8_temporal_url_filter"] = op8_temporal_url_filter
+ORACLES["op2_tool_call_linking"] = """
+with recursive m as (select conv_id, turn, role, text, length(text) as n, regexp_extract(text, '[A-Za-z]+', 0) as w from conversations where conv_id is not null and turn is not null),
+calls as (
+  select conv_id, turn, 'call_' || turn as call_id, n, w,
+    case n % 3 when 0 then 'search' when 1 then 'lookup' when 2 then 'convert' end as name,
+    case when n % 10 = 9 then 'malformed'
+         when n % 10 = 5 then case n % 3 when 0 then 'missing:query' when 1 then 'missing:key' else 'missing:value' end
+         when n % 10 = 3 and n % 3 = 0 then 'type:limit' end as fault,
+    case when n % 10 = 9 then null
+         when n % 10 = 5 then case n % 3 when 0 then '{"limit":' || (n % 50) || '}' when 1 then '{}' else '{"unit":"' || w || '"}' end
+         when n % 3 = 0 then '{"exact":' || (case when n % 2 = 0 then 'true' else 'false' end) || ',"limit":'
+              || (case when n % 10 = 3 then '"' || (n % 50) || '"' else (n % 50)::varchar end) || ',"query":"' || w || '"}'
+         when n % 3 = 1 then '{"key":"' || w || '"}'
+         else '{"unit":"' || w || '","value":' || n || '}' end as arguments
+  from m where role = 'assistant'),
+needs as (select distinct conv_id, turn, p as parent from (select conv_id, turn, unnest([turn // 2, turn // 3]) as p from calls)),
+edges as (select e.* from needs e join calls c on c.conv_id = e.conv_id and c.turn = e.parent where e.parent <> e.turn),
+paths as (
+  select conv_id, turn, 0 as level from calls
+  union
+  select e.conv_id, e.turn, p.level + 1 from paths p join edges e on e.conv_id = p.conv_id and e.parent = p.turn),
+level as (select conv_id, turn, max(level) as level from paths group by 1, 2)
+select c.conv_id, c.call_id, c.turn, c.name, l.level::integer as level,
+  ((select count(*) from needs n where n.conv_id = c.conv_id and n.turn = c.turn)
+   - (select count(*) from edges n where n.conv_id = c.conv_id and n.turn = c.turn))::integer as n_missing,
+  c.arguments, c.fault, r.turn as result_turn, r.text as content,
+  '{"arguments":' || coalesce(c.arguments, 'null') || ',"id":"' || c.call_id || '","name":' || coalesce('"' || c.name || '"', 'null')
+    || ',"result":' || coalesce(to_json(r.text)::varchar, 'null') || '}' as message
+from calls c join level l using (conv_id, turn) left join m r on r.conv_id = c.conv_id and r.turn = c.turn + 1 and r.role = 'user'
+"""
+ORACLES["op8_temporal_url_filter"] = r"""
+with captures as (
+  select page_id, url, date '2024-01-01' + (page_id % 366)::integer as fetch_day,
+    nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)', 1) as segment
+  from pages),
+asked as (
+  select distinct page_id, pattern from (
+    select page_id, unnest(list_concat(
+      list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
+      case when segment <> '' then [host || '/' || segment] else [] end)) as pattern
+    from captures where host is not null)),
+sums as (select pattern, md5(pattern) as m from (select distinct pattern from asked)),
+days as (
+  select pattern, ('0x' || substr(m, 1, 2))::integer as b1, date '2024-01-01' + ('0x' || substr(m, 3, 2))::integer as first_day, ('0x' || substr(m, 5, 2))::integer as b3 from sums),
+events as (
+  select pattern, day, bool_or(active) as active from (
+    select pattern, first_day as day, true as active from days where b1 % 5 = 0
+    union all select pattern, first_day + b3 + 30, false from days where b1 % 5 = 0
+    union all select pattern, first_day + 200, true from days where b1 % 5 = 0) group by 1, 2),
+spans as (select pattern, day as valid_from, lead(day) over (partition by pattern order by day) as valid_to, active from events),
+hits as (
+  select c.page_id, a.pattern, s.valid_from from captures c join asked a using (page_id) join spans s using (pattern)
+  where s.active and c.fetch_day >= s.valid_from and (s.valid_to is null or c.fetch_day < s.valid_to)),
+best as (select *, count(*) over (partition by page_id) as n, row_number() over (partition by page_id order by length(pattern) desc, pattern) as r from hits)
+select c.page_id, c.url, c.fetch_day::date as fetch_day, b.n is not null as blocked, coalesce(b.n, 0)::bigint as n_matches, b.pattern, b.valid_from::date as listed_from
+from captures c left join best b on b.page_id = c.page_id and b.r = 1
+"""
