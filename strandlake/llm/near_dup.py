@@ -86,11 +86,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
 
 
+def _texts(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The written texts (doc_id, text) of some documents."""
+    ids = scratch.table(ids.distinct(), "ids")
+    few = ids.count() <= FEW
+    return scratch.table(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+
+
 def verified(spark: SparkSession, scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union, in a written table."""
-    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= FEW
-    texts = scratch.table(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+    texts = _texts(scratch, docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
@@ -109,7 +114,7 @@ def verified(spark: SparkSession, scratch: Scratch, docs: DataFrame, pairs: Data
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     out = scratch.table(both.mapInArrow(check, "a long, b long").distinct(), "links")
-    scratch.drop(ids, texts)
+    scratch.drop(texts)
     return out
 
 
@@ -133,42 +138,99 @@ def components(spark: SparkSession, scratch: Scratch, links: DataFrame) -> DataF
         scratch.drop(old, least, large, lower)
 
 
-def _leftover(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components from buckets that the stars did not join into one.
+def _cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of buckets that are still apart, dealt to cells of at most about two blocks.
 
-    members: bucket, c, n, component, sig, main (component of the bucket's hub). Pairs inside the main component are
-    never formed; a bucket's other members meet the main ones and each other in blocks of about ``BLOCK``.
+    members: bucket, c, n, component, main (component of the bucket's hub), sig and more. Pairs inside the main component
+    are never met; a bucket's other members meet the main ones (kind 0) and each other (kind 1).
     """
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     rows = members.join(sizes, "bucket").withColumn("apart", F.col("component") != F.col("main"))
-    rows = rows.withColumn("blocks", F.ceil(F.when(F.col("apart"), F.col("n_apart")).otherwise(F.col("n_main")) / BLOCK)).withColumn("own", own)
-    others = F.ceil(F.col("n_apart") / BLOCK).cast("int")
-    mains = F.ceil(F.col("n_main") / BLOCK).cast("int")
+    blocks = F.ceil(F.when(F.col("apart"), F.col("n_apart")).otherwise(F.col("n_main")) / BLOCK)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int"))
+    others, mains = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("n_apart", "n_main"))
     all_of = lambda n: F.sequence(F.lit(0), n - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    kept = ("bucket", "c", "n", "component", "sig", "apart", "own")
-    main = rows.where("not apart").select(*kept, F.explode(F.transform(all_of(others), lambda j: cell(0, F.col("own"), j))).alias("cell"))
-    cross = rows.where("apart").select(*kept, F.explode(F.transform(all_of(mains), lambda i: cell(0, i, F.col("own")))).alias("cell"))
-    among = rows.where("apart").select(*kept, F.explode(F.transform(all_of(others), lambda j: cell(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))).alias("cell"))
-    # With 160 coordinates a pair at the threshold agrees on fewer than this with a probability of about 1e-10.
-    least = int(COORDINATES * (percent / 100 - 6.3 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5))
+    main = F.transform(all_of(others), lambda j: cell(0, F.col("own"), j))
+    cross = F.transform(all_of(mains), lambda i: cell(0, i, F.col("own")))
+    among = F.transform(all_of(others), lambda j: cell(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    cells = F.explode(F.when(F.col("apart"), F.concat(cross, among)).otherwise(main))
+    return rows.select(*members.columns, "apart", "own", cells.alias("cell")).select(*members.columns, "apart", "own", "cell.*").drop("main")
+
+
+def _sides(key: tuple, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a cell that are compared with each other."""
+    kind, i, j = (x.as_py() for x in key[1:4])
+    own, apart = table.column("own").to_numpy(), table.column("apart").to_numpy()
+    return (np.flatnonzero(apart), np.flatnonzero(~apart)) if kind == 0 else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def nearest(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """For each member that is apart, the pair (a, b) with the likeliest member of another component in its cell."""
 
     def compare(key, table):
-        kind, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        own_, apart = table.column("own").to_numpy(), table.column("apart").to_numpy()
+        left, right = _sides(key, table)
         c, n, comp = (table.column(x).to_numpy() for x in ("c", "n", "component"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(c), -1)
-        left = np.flatnonzero(apart if kind == 0 else own_ == i)
-        right = np.flatnonzero(~apart if kind == 0 else own_ == j)
-        a, b = [], []
+        sig, out = _signatures(table), set()
         for x in left:
             ok = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            ok = ok[(sig[ok] == sig[x]).sum(1) >= least]
-            a.append(np.minimum(c[ok], c[x])), b.append(np.maximum(c[ok], c[x]))
-        return pa.table({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
+            if len(ok):
+                y = ok[int((sig[ok] == sig[x]).sum(1).argmax())]
+                out.add((min(c[x], c[y]), max(c[x], c[y])))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return _cells(members, sizes).groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def joining(members: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different components inside the cells, verified on full sets there; members also has text.
+
+    Every pair of a cell whose components are still different is decided: by its sizes, by its signature (a pair at the
+    threshold falls under the limit with a probability of about 1e-10), or by its sets. Only links are returned, and of
+    those only enough to join what they join. A pair is left to the first bucket that it shares.
+    """
+    share = percent / 100
+    least = int(COORDINATES * (share - 6.3 * (share * (1 - share) / COORDINATES) ** 0.5))
+
+    def compare(key, table):
+        left, right = _sides(key, table)
+        c, n, names = (table.column(x).to_numpy() for x in ("c", "n", "component"))
+        sig = _signatures(table)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        texts, bucket = table.column("text"), key[0].as_py()
+        _, comp = np.unique(names, return_inverse=True)
+        sets: dict[int, np.ndarray] = {}
+        a, b = [], []
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                if len(sets) > BLOCK:
+                    sets.clear()
+                sets[i] = shingle_set(texts[i].as_py(), width)
+            return sets[i]
+
+        for x in left.tolist():
+            ok = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            agree = (sig[ok] == sig[x]).sum(1)
+            ok, agree = ok[agree >= least], agree[agree >= least]
+            shared = bands[ok] == bands[x]
+            first = bands[x][shared.argmax(1)] == bucket
+            ok = ok[first][np.argsort(-agree[first], kind="stable")]
+            own = shingle_set(texts[x].as_py(), width) if len(ok) else None
+            for y in ok.tolist():
+                if comp[y] == comp[x]:
+                    continue
+                other = shingles(y)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(other) - both) > 0:
+                    a.append(c[x]), b.append(c[y])
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    cells = main.union(cross).union(among).select("bucket", "cell.*", "c", "n", "component", "sig", "apart", "own")
-    return cells.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return _cells(members, sizes).groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,25 +254,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     hubs = bands.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = scratch.table(bands.join(scratch.table(hubs, "hubs"), "bucket").select("bucket", "c", "n", "size", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
     stars = members.where(F.expr(f"c <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")).select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
-    stars = scratch.table(stars, "stars")
+    tried = stars = scratch.table(stars, "stars")
     links = verified(spark, scratch, docs, stars, width, percent)
     found = components(spark, scratch, links)
-    # Buckets of three and more whose members are still apart.
-    label = lambda df, c, out: df.join(found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(out, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-    large = label(label(members.where("size > 2").select("bucket", "c", "n", "hub"), "hub", "main"), "c", "component")
-    large = scratch.table(large, "large")
-    sizes = large.groupBy("bucket").agg(F.count_if(F.col("component") != F.col("main")).alias("n_apart"), F.count_if(F.col("component") == F.col("main")).alias("n_main")).where("n_apart > 0")
-    sizes = scratch.table(sizes, "sizes")
-    if sizes.limit(1).count():
-        apart = large.join(sizes.select("bucket"), "bucket", "left_semi").join(reps.select("c", "sig"), "c").drop("hub")
-        more = scratch.table(_leftover(apart, sizes, percent).join(stars, ["a", "b"], "left_anti"), "more")
-        if more.limit(1).count():
-            more = verified(spark, scratch, docs, more, width, percent)
-            found = components(spark, scratch, links.union(more))
+    for step in range(4):
+        # Buckets of three and more whose members are still apart: first likely pairs, as long as they join something.
+        label = lambda df, c, out: df.join(found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(out, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        large = scratch.table(label(label(members.where("size > 2").select("bucket", "c", "n", "hub"), "hub", "main"), "c", "component").drop("hub"), "large")
+        sizes = large.groupBy("bucket").agg(F.count_if(F.col("component") != F.col("main")).alias("n_apart"), F.count_if(F.col("component") == F.col("main")).alias("n_main")).where("n_apart > 0")
+        sizes = scratch.table(sizes, "sizes")
+        if not sizes.limit(1).count():
+            break
+        apart = large.join(sizes.select("bucket"), "bucket", "left_semi")
+        if step < 3:
+            pairs = scratch.table(nearest(apart.join(reps.select("c", "sig"), "c"), sizes, percent).join(tried, ["a", "b"], "left_anti"), "nearest")
+            more = verified(spark, scratch, docs, pairs, width, percent)
+            tried = tried.union(pairs)
+        if step == 3 or not more.limit(1).count():
+            apart = scratch.table(apart, "apart")
+            texts = _texts(scratch, docs, apart.select(F.col("c").alias("doc_id")))
+            known = reps.join(texts.withColumnRenamed("doc_id", "c"), "c").select("c", "sig", "bands", "text")
+            more = scratch.table(joining(apart.join(known, "c"), sizes, width, percent), "joining")
+            step = 3
+        links = links.union(more)
+        found = components(spark, scratch, links)
+        scratch.drop(large, sizes)
+        if step == 3:
+            break
     final = scratch.table(classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("component", "c").alias("component")), "final")
     out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(final, "key", "left")
     component = F.coalesce("component", "doc_id")
-    scratch.drop(members, stars, reps, large, sizes)
+    scratch.drop(members, stars, reps)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
