@@ -155,6 +155,7 @@ class Tree:
             near = np.flatnonzero(np.abs(dist - to_own) <= limit) if limit < np.inf else np.arange(len(ids))
             if not len(near):
                 continue
+            near = near[ids[near] != query_id]
             counts[0] += len(near)
             scores = x[near] @ q
             if len(best) == k and limit < np.inf:
@@ -164,8 +165,6 @@ class Tree:
                 cut = np.partition(scores, len(scores) - k)[len(scores) - k]
                 near, scores = near[scores >= cut], scores[scores >= cut]
             for s, v in zip(scores.tolist(), ids[near].tolist(), strict=True):
-                if v == query_id:
-                    continue
                 item = (int(s), -v)
                 if len(best) < k:
                     heapq.heappush(best, item)
