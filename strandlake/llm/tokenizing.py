@@ -8,6 +8,8 @@ than the run (rare characters, repeated blanks, special-token marks) go through
 
 from __future__ import annotations
 
+import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +17,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+# Tasks already fill the cores; the library's own threads would only add memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Characters whose class (letter, digit, blank, other) is the same in every Unicode version; others go the whole-text way.
 _ODD = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ff}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bd}]|<\|"
 #: In these the byte-level vocabulary's blanks do not simply lead the next run.
 _BLANKS = r"|  | \n|\n | $|^ |\n\n|[\t\r]|\n$"
 #: Bytes of text handled at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: New runs handed to the library at once: what it returns is large.
+LOT = 1024
 
 
 def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
@@ -37,7 +44,7 @@ def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit words; a null text has none."""
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str().replace('": ', '":')
         self.known: dict[str, bytes] = {}
@@ -50,21 +57,23 @@ class Encoder:
     def _of_runs(self, runs: list[str]) -> list[bytes]:
         known = self.known
         new = [x for x in runs if x not in known]
-        if new:
-            if len(known) + len(new) > self.bound:
-                known.clear()
-                new = runs
-            # A run's mark says what stood before it: the text's start, a line break (part of the run) or a blank.
-            raw = new if self.by_word else [x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in new]
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(raw, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return [known[x] for x in runs]
+        now = {}
+        for at in range(0, len(new), LOT):
+            lot = new[at : at + LOT]
+            # Frequent runs come early, so what is known first is kept and rare later runs are not.
+            to = known if len(known) < self.bound else now
+            for x, e in zip(lot, self.tokenizer.encode_batch_fast(lot, add_special_tokens=False), strict=True):
+                to[x] = struct.pack(f"<{len(e)}I", *e.ids)
+        return [known[x] if x in known else now[x] for x in runs]
 
     def _plain(self, texts: pa.Array) -> list[memoryview]:
         if self.by_word:
-            runs = pc.utf8_split_whitespace(texts)
+            # The vocabulary drops blanks and case, so both go before runs are told apart.
+            runs = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"([a-z])([,.;:!?])", r"\1 \2"))
         else:
-            runs = pc.split_pattern(pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+            # A mark before each blank, line break and closing punctuation: the library parts pieces there too.
+            texts = pc.replace_substring(pc.replace_substring(texts, " ", "\1 "), "\n", "\1\n")
+            runs = pc.split_pattern(pc.replace_substring_regex(texts, r"([A-Za-z])([,.;:!?])", "\\1\1\\2"), "\1")
         coded = runs.flatten().dictionary_encode()
         ids = pa.array(self._of_runs(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
