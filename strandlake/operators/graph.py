@@ -174,3 +174,12 @@ def longest_per_node(es: DataFrame) -> DataFrame:
     """Each node's longest edge out (ties: smaller target)."""
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("len"), "dst"))
     return es.withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def reach(es: DataFrame, hops: int) -> DataFrame:
+    """(src, node): nodes that each node reaches in 1 to ``hops`` edges; one join a hop, duplicates gone after each."""
+    step = found = es.select("src", F.col("dst").alias("node")).distinct()
+    for _ in range(hops - 1):
+        step = step.join(es.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select("src", F.col("next").alias("node")).distinct()
+        found = found.union(step).distinct()
+    return found

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import filterexpr
 from ..functions import sequence as sq
-from ..operators import bridge, graph, ids, olfilter, quantiles, seeds, tags, trim
+from ..operators import bridge, consensus, graph, ids, olfilter, quantiles, seeds, tags, trim
 from ..operators import intervals as iv
 from ..operators import overlap as ov
 from ..operators import reads as rd
+from ..sources import formats
 from ..sources import projections as pr
+from . import pipeline
 from .stages import Stages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,3 +454,84 @@ def concat_subjects(s, d):
     rows = pr.reads(s, d).withColumn("bucket", F.floor(F.col("read_id") / 100))
     sums = rows.groupBy("bucket").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("read_id", "seq"))), lambda x: x["seq"]), "")).alias("sum"), F.sum(F.col("len").cast("long")).alias("bases"))
     return sums.select("bucket", "sum", "bases", (F.sum("bases").over(total) - F.col("bases")).alias("offset"))
+
+
+@query
+def partial_scan(s, d):
+    """Reads that a batch of overlaps needs, and no others."""
+    wanted = pr.overlaps(s, d).where("ident >= 99").select(F.col("qid").cast("long").alias("read_id")).distinct()
+    return pr.reads(s, d).join(wanted, "read_id", "left_semi").select("read_id", "len")
+
+
+@query
+def residue_counts(s, d):
+    """How often each base occurs, counted per read before anything moves."""
+    counts = F.array(*[F.struct(F.lit(b).alias("base"), F.regexp_count("seq", F.lit(b)).cast("long").alias("n")) for b in "ACGT"])
+    return pr.reads(s, d).select(F.explode(counts).alias("c")).groupBy("c.base").agg(F.sum("c.n").alias("n"))
+
+
+@query
+def evalues(s, d):
+    """Expected chance hits of each overlap's score, in units of 1e-6 of a search of all reads, by the closed formula."""
+    bits = (F.lit(0.267) * (F.col("alen") / 100) - F.log(F.lit(0.041))) / F.log(F.lit(2.0))
+    return pr.overlaps(s, d).select(*_PLACE, "qsize", "ssize", ov.aligned_length().alias("alen")).select(*_PLACE, F.round(bits, 4).alias("bits"), F.round(F.col("qsize").cast("long") * F.col("ssize") * F.pow(F.lit(2.0), -bits), 4).alias("evalue"))
+
+
+@query
+def two_hop(s, d):
+    """Nodes that each node reaches in one or two best edges."""
+    es = graph.best_edges(_edges(s, d)).select("src", "dst")
+    return graph.reach(es, 2).groupBy("src").agg(F.count("*").alias("reached"))
+
+
+@query
+def m4_roundtrip(s, d):
+    """Overlaps written as M4 lines and parsed again."""
+    rows = pr.overlaps(s, d).withColumn("score", -ov.aligned_length())
+    return formats.parse_m4(formats.m4_lines(rows)).select(*ov.COLUMNS)
+
+
+@query
+def paf_parse(s, d):
+    """Overlaps written as PAF lines and parsed again: identity from matches and block length."""
+    return formats.parse_paf(formats.paf_lines(pr.overlaps(s, d)))
+
+
+@query
+def chain_candidates(s, d):
+    return consensus.chained(_seeds(s, d), K)
+
+
+def _alignments(s, d):
+    """The best chained subject of every read, extended."""
+    chains = consensus.chained(_seeds(s, d), K)
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "sid")
+    one = chains.withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    return Stages(s, "alignments").keep(consensus.aligned(one, pr.reads(s, d)), "alignments")
+
+
+@query
+def align_pairs(s, d):
+    return _alignments(s, d).select("qid", "sid", "qoff", "qend", "soff", "send", "ident", "score")
+
+
+@query
+def cigar(s, d):
+    return _alignments(s, d).mapInArrow(formats.cigars, "qid long, sid long, cigar string, md string")
+
+
+@query
+def align_tags(s, d):
+    return consensus.align_tags(_alignments(s, d))
+
+
+@query
+def read_consensus(s, d):
+    return consensus.consensus(consensus.align_tags(_alignments(s, d))).select("sid", F.length("seq").alias("len"), F.md5("seq").alias("sum"))
+
+
+@query
+def pipeline_assemble(s, d):
+    """Filter, graph, paths and contigs over the proper overlaps, with sequences made from read ids."""
+    reads = s.range(2000).select(F.col("id").cast("int").alias("read_id")).select("read_id", F.expr("substring(repeat(translate(md5(cast(read_id as string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 400), 1, cast(3100 + (read_id * 7919) % 9000 as int))").alias("seq"))
+    return pipeline.assemble(s, reads, pr.overlaps(s, d, (0, 1, 3)), 90.0, 11).select("name", "len", F.md5("seq").alias("sum"))

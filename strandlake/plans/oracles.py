@@ -310,4 +310,12 @@ ORACLES: dict[str, str] = {
       select p.qid, p.sid, count(*)::bigint as common from pairs p join adj a on a.read = p.qid and a.other <> p.sid join adj b on b.read = p.sid and b.other = a.other group by p.qid, p.sid""",
     "concat_subjects": f"""with {_reads()}, s as (select (read_id // 100)::bigint as bucket, md5(string_agg(seq, '' order by read_id)) as sum, sum(len)::bigint as bases from reads group by 1)
       select bucket, sum, bases, (sum(bases) over (order by bucket) - bases)::bigint as offset from s""",
+    "partial_scan": f"with {_reads()}, {_overlaps()} select read_id, len from reads where read_id in (select qid from olaps where ident >= 99)",
+    "residue_counts": f"with {_reads()} select base, sum(len(seq) - len(replace(seq, base, '')))::bigint as n from reads, (select unnest(['A', 'C', 'G', 'T']) as base) group by base",
+    "evalues": f"""with {_overlaps()}, b as (select *, (0.267::double * ({ALEN} / 100.0::double) - ln(0.041::double)) / ln(2.0::double) as bits from olaps)
+      select {_P}, round(bits, 4) as bits, round(qsize::bigint * ssize * pow(2.0::double, -bits), 4) as evalue from b""",
+    "two_hop": f"""with {_BEST_EDGES} select src, count(*)::bigint as reached from (select src, dst from best union select a.src, b.dst from best a join best b on b.src = a.dst) group by src""",
+    "m4_roundtrip": f"with {_overlaps()} select * from olaps",
+    "paf_parse": f"""with {_overlaps()}, b as (select *, greatest(qend - qoff, send - soff) as block from olaps)
+      select qid::varchar as qid, sid::varchar as sid, round(100.0::double * round(block * ident / 100)::integer / block, 4) as ident, (-block)::integer as score, 0::integer as qdir, qoff, qend, qsize, sdir, soff, send, ssize from b""",
 }
