@@ -141,34 +141,55 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000) ->
     if not counts or size == lower_bound(counts, capacity):
         return best
     least = lower_bound(counts, capacity)
-    stack: list[tuple[dict[int, int], list[Group], int]] = [(counts, [], 0)]
-    while stack and nodes > 0 and size > least:
-        nodes -= 1
-        rest, groups, used = stack.pop()
-        if used + lower_bound(rest, capacity) >= size:
+    rest, path, used = dict(counts), [], 0
+    levels = [iter(_completions(rest, capacity))]
+
+    def undo() -> int:
+        pattern, times = path.pop()
+        for x, n in pattern.items():
+            rest[x] = rest.get(x, 0) + n * times
+        return times
+
+    # One histogram is filled and emptied again along the branch, so memory is that of the branch alone.
+    while levels and nodes > 0 and size > least:
+        pattern = next(levels[-1], None)
+        if pattern is None:
+            levels.pop()
+            used -= undo() if path else 0
             continue
-        if groups:
+        nodes -= 1
+        times = min(rest[x] // n for x, n in pattern.items())
+        for x, n in pattern.items():
+            rest[x] -= n * times
+            if not rest[x]:
+                del rest[x]
+        path.append((pattern, times))
+        used += times
+        if used + lower_bound(rest, capacity) < size:
             tail = best_fit(rest, capacity)
             if used + (n := sum(k for _, k in tail)) < size:
-                best, size = groups + tail, used + n
-        if not rest:
-            continue
-        top = max(rest)
-        own = {x: n for x, n in rest.items()}
-        own[top] -= 1
-        lengths = sorted(x for x, n in own.items() if n)
-        branches = []
-        for filling in undominated(own, lengths, capacity - top):
-            pattern = {top: 1}
-            for x in filling:
-                pattern[x] = pattern.get(x, 0) + 1
-            times = min(rest[x] // n for x, n in pattern.items())
-            after = {x: m for x, n in rest.items() if (m := n - times * pattern.get(x, 0))}
-            branches.append((after, [*groups, (pattern, times)], used + times))
-        stack += reversed(branches)
+                best, size = path + tail, used + n
+            if rest:
+                levels.append(iter(_completions(rest, capacity)))
+                continue
+        used -= undo()
     return best
 
 
+def _completions(rest: dict[int, int], capacity: int) -> list[dict[int, int]]:
+    """Bins around the largest piece left, as {length: pieces}, the fullest first."""
+    top = max(rest)
+    own = dict(rest)
+    own[top] -= 1
+    out = []
+    for filling in undominated(own, sorted(x for x, n in own.items() if n), capacity - top):
+        pattern = {top: 1}
+        for x in filling:
+            pattern[x] = pattern.get(x, 0) + 1
+        out.append(pattern)
+    return out
+
+
 def places(groups: list[Group], longest_first: bool = True) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, first sequence, pieces a sequence, offset) of runs of pieces; by length, then rank."""
     out, ranks, sequence = [], {}, 0
