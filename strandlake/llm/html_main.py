@@ -58,6 +58,10 @@ def builtin_pages() -> list[str]:
     return pages
 
 
+#: A word in surroundings with a weight under this stands outside main text, whatever else is around it.
+NEGATIVE = -1.5
+
+
 class Page:
     """Blocks of a page in order: (first token, words, ancestors), and its tokens as (score key, kind)."""
 
@@ -123,17 +127,20 @@ class Page:
             stack.append((name, len(self.contexts) - 1))
         end_block()
 
-    def marked(self, by_markup: bool) -> list[bool]:
-        """For each context, whether it is inside main text by its label, or by an article or main element."""
+    def marked(self, known: dict[str, float] | None) -> list[bool]:
+        """For each context, whether it is inside main text: by its label, or where weights are known already, by an
+        article or main element around it and nothing that stands outside main text in between."""
         out: list[bool] = []
-        for own, parent, labelled in self.contexts:
-            out.append(labelled if not by_markup else (parent >= 0 and out[parent]) or bool(own) and own[0] in ("article", "main"))
+        value = values(self, known) if known else []
+        for k, (own, parent, labelled) in enumerate(self.contexts):
+            inside = labelled if known is None else parent >= 0 and out[parent] or bool(own) and own[0] in ("article", "main")
+            out.append(inside and (known is None or value[k] > NEGATIVE))
         return out
 
 
-def count(page: Page, by_markup: bool, main: Counter, other: Counter) -> None:
+def count(page: Page, known: dict[str, float] | None, main: Counter, other: Counter) -> None:
     """Adds the page's words under each feature, and its tags, to the counts of main and other text."""
-    inside = page.marked(by_markup)
+    inside = page.marked(known)
     if not any(inside):
         return
     words = Counter()
@@ -157,18 +164,20 @@ def log_odds(main: Counter, other: Counter) -> dict[str, float]:
     return {f: float(np.log(main[f] + 0.5) - np.log(other[f] + 0.5)) for f in main.keys() | other.keys()}
 
 
-#: A word in surroundings with a weight under this stands outside main text, whatever else is around it.
-NEGATIVE = -1.5
+def values(page: Page, weights: dict[str, float]) -> list[float]:
+    """How much each context reads as main text: the best weight around it, or the worst if one is under NEGATIVE."""
+    out: list[float] = []
+    for own, parent, _ in page.contexts:
+        up = out[parent] if parent >= 0 else 0.0
+        w = [weights.get(f, 0.0) for f in own]
+        low = min(w, default=0.0)
+        out.append(min(up, low) if low <= NEGATIVE or up <= NEGATIVE else min(4.0, max(up, max(w, default=0.0))))
+    return out
 
 
 def main_blocks(page: Page, weights: dict[str, float]) -> list[str]:
     """Texts of the blocks of the best run of tokens, widened to the element that holds it."""
-    value: list[float] = []
-    for own, parent, _ in page.contexts:
-        up = value[parent] if parent >= 0 else 0.0
-        w = [weights.get(f, 0.0) for f in own]
-        low = min(w, default=0.0)
-        value.append(min(up, low) if low <= NEGATIVE or up <= NEGATIVE else min(4.0, max(up, max(w, default=0.0))))
+    value = values(page, weights)
     score = [1.0 if v > NEGATIVE else -2.0 for v in value]
     best, run, start, span = 0.0, 0.0, 0, (0, -1)
     for i, (context, tag, n) in enumerate(page.tokens):
@@ -206,20 +215,22 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
 def train(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from the built-in pages and from a bounded sample of ``pages`` (page_id, html) that name their article."""
 
+    main, other = Counter(), Counter()
+    for text in builtin_pages():
+        count(Page(text), None, main, other)
+    known = log_odds(main, other)
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             main, other = Counter(), Counter()
             for source in batch.column("html"):
-                count(Page(source.as_py()), True, main, other)
+                count(Page(source.as_py()), known, main, other)
             names = sorted(main.keys() | other.keys())
             yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "main": pa.array([main[f] for f in names], pa.int64()), "other": pa.array([other[f] for f in names], pa.int64())})
 
     first = pages.where("page_id is not null and html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     some = pages.select("page_id", "html").join(F.broadcast(first), "page_id", "left_semi")
     found = some.mapInArrow(counts, "feature string, main long, other long").groupBy("feature").agg(F.sum("main").alias("main"), F.sum("other").alias("other"))
-    main, other = Counter(), Counter()
-    for text in builtin_pages():
-        count(Page(text), False, main, other)
     rows = found.orderBy(F.desc(F.col("main") + F.col("other")), "feature").limit(FEATURES).collect()
     # A table's pages count as much as the built-in ones, not more: usual names keep their meaning on pages of one make.
     share = min(1.0, sum(main.values()) / max(1, sum(r["main"] + r["other"] for r in rows)))
