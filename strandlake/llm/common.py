@@ -7,9 +7,12 @@ reach it, so a lost executor costs a recomputation of its tasks and nothing else
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -60,10 +63,27 @@ class Scratch:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_HELD: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What a worker process remembers between tasks: one thing at a time, so that stages' memories do not add up."""
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps what it freed
+                pass
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash, remembered up to a bound of entries."""
 
-    def __init__(self, seed: int = 0, bound: int = 600_000):
+    def __init__(self, seed: int = 0, bound: int = 400_000):
         super().__init__()
         self.seed, self.bound = seed, bound
 
@@ -85,6 +105,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@cache
 def odd_constants(n: int, seed: int) -> np.ndarray:
     """``n`` odd multipliers drawn from a seeded generator."""
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,7 +121,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = words[: n - width + 1] * mult[0]
         for j in range(1, width):
-            out = out + mix64(words[j : n - width + 1 + j]) * mult[j]
+            out += words[j : n - width + 1 + j] * mult[j]
     return mix64(out)
 
 

@@ -22,7 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, ascii_words, mix64, odd_constants, shingle_hashes
+from .common import Scratch, WordHashes, ascii_words, kept, mix64, odd_constants, shingle_hashes
 
 BITS, ROWS, BANDS = 20, 5, 32
 COORDINATES = ROWS * BANDS
@@ -30,7 +30,6 @@ COORDINATES = ROWS * BANDS
 BLOCK = 2000
 #: Ids up to this many are sent to all executors (8 bytes each); beyond, a shuffled join takes their place.
 FEW = 1_000_000
-_WORDS = WordHashes()
 
 
 @cache
@@ -42,7 +41,7 @@ def _table() -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle, an empty one has none."""
-    return np.unique(shingle_hashes(_WORDS.of(ascii_words(text)), width))
+    return np.unique(shingle_hashes(kept("words", WordHashes).of(ascii_words(text)), width))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:

@@ -8,7 +8,9 @@ draws k documents without replacement, in proportion to their weights.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Scratch, kept, mix64
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
@@ -28,10 +30,10 @@ _MARKS = ".,;:!?()[]{}\"'«»„“”‘’…*_-–—/\\|#$%&+=<>~^@"
 class _Vocabulary(dict):
     """Word to a row of arrays: hash of its core, hash of its closing marks, shape. Emptied beyond a bound of words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 300_000):
         super().__init__()
         self.bound = bound
-        self.rows: list[tuple[int, int, int]] = []
+        self.rows = array("Q")
 
     def __missing__(self, word: str) -> int:
         core = word.strip(_MARKS)
@@ -46,22 +48,21 @@ class _Vocabulary(dict):
             shape = 2
         else:
             shape = int(core[0].isupper())
-        self.rows.append((xxhash.xxh3_64_intdigest(core.lower()), xxhash.xxh3_64_intdigest(marks, 1) if marks else 0, shape))
-        self[word] = len(self.rows) - 1
-        return len(self.rows) - 1
-
-
-_KEPT = _Vocabulary()
+        self.rows.extend((xxhash.xxh3_64_intdigest(core.lower()), xxhash.xxh3_64_intdigest(marks, 1) if marks else 0, shape))
+        self[word] = len(self.rows) // 3 - 1
+        return self[word]
 
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of some texts, and the number of each text's."""
-    if len(_KEPT) > _KEPT.bound:
-        _KEPT.clear(), _KEPT.rows.clear()
+    known = kept("vocabulary", _Vocabulary)
+    if len(known) > known.bound:
+        known.clear()
+        known.rows = array("Q")
     split = [t.split() if t else [] for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
-    index = np.fromiter((_KEPT[w] for words in split for w in words), np.int64, sizes.sum())
-    table = np.array(_KEPT.rows, np.uint64).reshape(-1, 3)
+    index = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
+    table = np.array(known.rows, np.uint64).reshape(-1, 3)
     core, marks, shape = table[index, 0], table[index, 1], table[index, 2]
     owner = np.repeat(np.arange(len(texts)), sizes)
     near = np.flatnonzero(owner[1:] == owner[:-1])

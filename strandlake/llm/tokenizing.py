@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .common import kept
+
 # Tasks already fill the cores; the library's own threads would only add memory.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -44,7 +46,7 @@ def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit words; a null text has none."""
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str().replace('": ', '":')
         self.known: dict[str, bytes] = {}
@@ -93,11 +95,6 @@ class Encoder:
         return [self.whole(texts[i].as_py()) if w else next(easy) for i, w in enumerate(whole.to_pylist())]
 
 
-_KEPT: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and vocabulary."""
-    if path not in _KEPT:
-        _KEPT[path] = Encoder(path)
-    return _KEPT[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
