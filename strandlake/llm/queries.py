@@ -232,3 +232,18 @@ best as (select *, count(*) over (partition by page_id) as n, row_number() over
 select c.page_id, c.url, c.fetch_day::date as fetch_day, b.n is not null as blocked, coalesce(b.n, 0)::bigint as n_matches, b.pattern, b.valid_from::date as listed_from
 from captures c left join best b on b.page_id = c.page_id and b.r = 1
 """
+ORACLES["op9_circulant_minhash"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) end) as s from words),
+sizes as (select doc_id, count(*)::bigint as n from shingles group by doc_id),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as k from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all),
+links as (select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * k >= 80 * (p.n + q.n - k)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as node from words union select r.doc_id, e.b from reach r join both_ways e on e.a = r.node),
+component as (select doc_id, min(node) as component_id from reach group by doc_id)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id, w.doc_id = c.component_id as kept
+from words w join component c using (doc_id) left join sizes using (doc_id)
+"""
