@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mix64, shingle_hashes
+from .common import Scratch, WordHashes, kept, mix64, shingle_hashes
 
 WIDTH, BLOCKS, NEAR = 5, 16, 3
 #: Two fingerprints this near agree in one of the blocks up to NEAR bits.
@@ -29,7 +29,6 @@ RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Items whose index a worker holds at once (about 45 kB each); more items take further passes.
 LOT = 2000
 _DROPPED = b".,;:!?\"'()[]{}*_`"
-_WORDS = WordHashes(4)
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -78,10 +77,11 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], percent: int):
         self.percent = percent
+        self.words = WordHashes()
         self.ids, self.shingles, prints = [], [], []
         by_size = defaultdict(list)
         for item_id, text in rows:
-            words = _WORDS.of(item_words(text))
+            words = self.words.of(item_words(text))
             if not len(words):
                 continue
             own = shingle_hashes(words, WIDTH)
@@ -91,8 +91,16 @@ class Items:
             prints.append(packed(bit_rows(own).sum(0)[None])[0])
         self.sizes = {n: np.array(i) for n, i in sorted(by_size.items())}
         self.index = {n: HammingIndex(np.stack([prints[k] for k in i])) for n, i in self.sizes.items()}
-        #: Shingles of items by the width they were cut at: short items are one shingle of all their words.
-        self.known = {w: np.array(sorted({s for n, i in self.sizes.items() if min(n, WIDTH) == w for k in i for s in self.shingles[k]}), np.uint64) for w in range(1, WIDTH + 1)}
+        #: Shingles of items by the width they were cut at (short items are one shingle of all their words), which sizes
+        #: of items have each, and a filter on their low bits.
+        self.known = {}
+        for width in sorted({min(n, WIDTH) for n in self.sizes}):
+            sizes = [n for n in self.sizes if min(n, WIDTH) == width]
+            of_size = [np.array(sorted({x for k in self.sizes[n] for x in self.shingles[k]}), np.uint64) for n in sizes]
+            known = np.unique(np.concatenate(of_size))
+            sieve = np.zeros(1 << 18, bool)
+            sieve[(known & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+            self.known[width] = (known, sieve, {n: np.isin(known, own) for n, own in zip(sizes, of_size, strict=True)})
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         other = self.shingles[item]
@@ -102,28 +110,32 @@ class Items:
 
     def search(self, text: str | None) -> dict[int, tuple[float, int, int]]:
         """Item to its best window in a text: similarity, first word, words."""
-        words = _WORDS.of(item_words(text))
+        words = self.words.of(item_words(text))
         best: dict[int, tuple[float, int, int]] = {}
-        for width, known in self.known.items():
-            if not len(known) or not len(words):
+        for width, (known, sieve, members) in self.known.items():
+            if not len(words):
                 continue
-            width = min(width, len(words))
-            own = shingle_hashes(words, width)
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            hits = known[at] == own
-            if not hits.any():
+            cut = min(width, len(words))
+            own = shingle_hashes(words, cut)
+            hits = np.flatnonzero(sieve[(own & np.uint64((1 << 18) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(known, own[hits]), len(known) - 1)
+            found = known[at] == own[hits]
+            hits, at = hits[found], at[found]
+            if not len(hits):
                 continue
-            upto = np.concatenate(([0], np.cumsum(hits)))
-            for n, members in self.sizes.items():
-                if min(n, WIDTH) != width and n > len(words) or min(n, len(words), WIDTH) != width:
-                    continue
-                span = min(n, len(words)) - width + 1
+            for n, has in members.items():
+                span = min(n, len(words)) - cut + 1
                 # Weighted Jaccard of p percent needs p percent of the item's shingles in the window.
-                least = -(-self.percent * (n - min(n, WIDTH) + 1) // 100)
-                starts = np.flatnonzero(upto[span:] - upto[:-span] >= least)
-                if not len(starts):
+                least = -(-self.percent * (n - width + 1) // 100)
+                mine = hits[has[at]]
+                if len(mine) < least:
                     continue
-                self._windows(own, starts, span, n, members, best, width)
+                upto = np.zeros(len(own) + 1, np.int64)
+                upto[mine + 1] = 1
+                upto = np.cumsum(upto)
+                starts = np.flatnonzero(upto[span:] - upto[:-span] >= least)
+                if len(starts):
+                    self._windows(own, starts, span, n, self.sizes[n], best, cut)
         return best
 
     def _windows(self, own, starts, span, n, members, best, width) -> None:
@@ -149,6 +161,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, per
     rows count once. Items are searched for in lots, each in one pass over all documents.
     """
     scratch = Scratch(spark, "decontaminate")
+    run = scratch.root
     items = scratch.table(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null"), "items")
     lots = max(1, -(-items.count() // LOT))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -158,8 +171,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, per
         own = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == lot).collect())
         sent = spark.sparkContext.broadcast(own)
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found = Items(sent.value, percent)
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, lot=lot) -> Iterator[pa.RecordBatch]:
+            found = kept(f"items {run} {lot}", lambda: Items(sent.value, percent))
             for batch in batches:
                 docs_, items_, sims, firsts, sizes = [], [], [], [], []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
