@@ -499,35 +499,41 @@ def paf_parse(s, d):
 
 @query
 def chain_candidates(s, d):
-    return consensus.chained(_seeds(s, d), K)
+    return pipeline.candidates(pr.reads(s, d), K).select(F.floor(F.col("qid") / 2).alias("qid"), "sid", (F.col("qid") % 2).cast("int").alias("qdir"), "score", "seeds", "qoff", "soff")
 
 
 def _alignments(s, d):
-    """The best chained subject of every read, extended."""
-    chains = consensus.chained(_seeds(s, d), K)
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "sid")
-    one = chains.withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    return Stages(s, "alignments").keep(consensus.aligned(one, pr.reads(s, d)), "alignments")
+    """All chained candidates of both strands extended, each pair of reads and strand once."""
+    st, reads = Stages(s, "alignments"), pr.reads(s, d)
+    return st.keep(pipeline.align_candidates(st.keep(pipeline.candidates(reads, K), "chains"), reads), "alignments")
+
+
+def _subject_alignments(s, d, cut=lambda chains: chains):
+    """Alignments to every read as subject; ``cut`` chooses among the candidates in both roles."""
+    st, reads = Stages(s, "subjects"), pr.reads(s, d)
+    chains = st.keep(pipeline.both_roles(st.keep(pipeline.candidates(reads, K), "chains"), reads, K), "roles")
+    return st.keep(pipeline.align_candidates(cut(chains), reads), "alignments")
 
 
 @query
 def align_pairs(s, d):
-    return _alignments(s, d).select("qid", "sid", "qoff", "qend", "soff", "send", "ident", "score")
+    return pipeline.forward_offsets(_alignments(s, d)).select("qid", "sid", "qdir", "qoff", "qend", "soff", "send", "ident", "score")
 
 
 @query
 def cigar(s, d):
-    return _alignments(s, d).mapInArrow(formats.cigars, "qid long, sid long, cigar string, md string")
+    rows = _alignments(s, d).withColumn("qid", F.col("qid") * 2 + F.col("qdir")).mapInArrow(formats.cigars, "qid long, sid long, cigar string, md string")
+    return rows.select(F.floor(F.col("qid") / 2).alias("qid"), "sid", (F.col("qid") % 2).cast("int").alias("qdir"), "cigar", "md")
 
 
 @query
 def align_tags(s, d):
-    return consensus.align_tags(_alignments(s, d))
+    return consensus.align_tags(_subject_alignments(s, d))
 
 
 @query
 def read_consensus(s, d):
-    return consensus.consensus(consensus.align_tags(_alignments(s, d))).select("sid", F.length("seq").alias("len"), F.md5("seq").alias("sum"))
+    return consensus.consensus(consensus.align_tags(_subject_alignments(s, d, seeds.consensus_candidates))).select("sid", F.length("seq").alias("len"), F.md5("seq").alias("sum"))
 
 
 @query
