@@ -297,6 +297,24 @@ def clear_range(s, d):
     return trim.clear_ranges(ranges, _gaps(s, d))
 
 
+def _adapters(s, d):
+    """Gaps of all overlaps that enough pairs show and few overlaps run across."""
+    o = pr.overlaps(s, d)
+    return trim.unspanned(trim.adapter_gaps(o, 250, 250, 4000), ov.by_read(o))
+
+
+@query
+def subread_detect_whole(s, d):
+    return _adapters(s, d)
+
+
+@query
+def clear_range_whole(s, d):
+    o = pr.overlaps(s, d)
+    ranges = o.groupBy(F.col("qid").alias("read")).agg(F.min("qoff").alias("left"), F.max("qend").alias("right"))
+    return trim.clear_ranges(ranges, _adapters(s, d))
+
+
 @query
 def top300(s, d):
     return trim.top_overlaps(pr.overlaps(s, d), 3).groupBy("read").agg(F.count("*").alias("kept"), F.min("ident").alias("worst"), F.sum(F.col("alen").cast("long")).alias("aligned"))

@@ -166,6 +166,9 @@ twins as (select x.qid as read, least(x.qend, y.qoff)::bigint as lo, (greatest(x
   from ranked x join ranked y on x.qid = y.qid and x.sid = y.sid and x.r = 1 and y.r = 2 where x.n = 2
    and least(x.qend, y.qend) - greatest(x.qoff, y.qoff) <= 250 and least(x.send, y.send) - greatest(x.soff, y.soff) >= 250),
 small as (select * from twins where hi - lo <= 4000)"""
+_ADAPTERS = f"""{_GAPS.replace(" where qdir <> sdir or qid % 2 = 0", "")}, {_merged('small', 'merged', 'read')}, {_by_read('olaps')},
+across as (select m.read, m.lo, m.hi, count(*) as across from merged m join sides s on s.read = m.read and s.a < m.lo - 100 and s.b >= m.hi + 100 group by all),
+gaps as (select read, lo, hi, ct from merged left join across using (read, lo, hi) where coalesce(across, 0) <= 9 and ct >= 3)"""
 _TAGS = """flags as (select qid, sid, ident, qsize, qoff <= 200 and qsize - qend <= 200 as whole, qoff <= 200 as b, qsize - qend <= 200 as e, qdir <> sdir as t from olaps),
 pair as (select qid, sid, max(qsize) as size, bool_or(whole) as whole, max(case when whole then ident end) as ident, bool_or(b and not whole) as b, bool_or(e and not whole) as e, bool_or(t) as rev, bool_or(not t) as fwd from flags group by all),
 per_read as (select qid, max(size)::integer as size, count(*) filter (where whole) as nw, max(ident) as hi, min(ident) as lo, bool_or(b and e and not rev) as circ, bool_or(rev and fwd) as rcdup, bool_or(b or e) as ends from pair group by qid),
@@ -261,6 +264,12 @@ ORACLES: dict[str, str] = {
       ordered as (select *, coalesce(lag(hi) over (partition by read order by lo), l) as before, lead(lo) over (partition by read order by lo) as nxt from hit),
       free as (select read, before as lo, lo as hi from ordered union all select read, hi, r from ordered where nxt is null union all select read, l, r from ranges where read not in (select read from hit))
       select read, lo as "left", hi as "right", hi - lo as size from (select *, row_number() over (partition by read order by hi - lo desc, lo) as k from free where lo < hi) where k = 1 and hi - lo >= 1000""",
+    "subread_detect_whole": f"with {_overlaps()}, {_ADAPTERS} select * from gaps",
+    "clear_range_whole": f"""with {_overlaps()}, {_ADAPTERS}, ranges as (select qid as read, min(qoff)::bigint as l, max(qend)::bigint as r from olaps group by qid),
+      hit as (select g.read, g.lo, g.hi, l, r from gaps g join ranges using (read) where g.hi > l and g.lo < r),
+      ordered as (select *, coalesce(lag(hi) over (partition by read order by lo), l) as before, lead(lo) over (partition by read order by lo) as nxt from hit),
+      free as (select read, before as lo, lo as hi from ordered union all select read, hi, r from ordered where nxt is null union all select read, l, r from ranges where read not in (select read from hit))
+      select read, lo as "left", hi as "right", hi - lo as size from (select *, row_number() over (partition by read order by hi - lo desc, lo) as k from free where lo < hi) where k = 1 and hi - lo >= 1000""",
     "top300": f"""with {_overlaps()}, {_by_read('olaps')}, r as (select *, {ALEN} as alen, row_number() over (partition by read order by ident desc, {ALEN} desc, other, a, b, oa, ob, odir, dir_) as k from sides)
       select read, count(*)::bigint as kept, min(ident) as worst, sum(alen)::bigint as aligned from r where k <= 3 group by read""",
     "cns_candidates60": f"""with {_overlaps()}, m as (select qid, sid, (qoff + qend) // 2 as q, (soff + send) // 2 as s, {ALEN} // 100 as score from olaps),

@@ -21,3 +21,24 @@ def test_alignments_of_all_subjects_and_strands(spark, tmp_path):
     bases = text.upper().translate(str.maketrans("ABCD", "ACGT"))
     want = {i: hashlib.md5((bases[::-1].translate(TURN) if i == 4 else bases).encode()).hexdigest() for i in range(5)}
     assert {r["sid"]: r["sum"] for r in QUERIES["read_consensus"](spark, str(tmp_path)).collect()} == want
+
+
+def _size(read):
+    return 3100 + read * 7919 % 9000
+
+
+def _lineitem(spark, folder, rows):
+    """rows: (query, subject, line number, discount); lines 4 and 1 lie at the query's end and begin, 2 across the shorter."""
+    cols = "l_orderkey long, l_partkey long, l_linenumber int, l_discount double, l_suppkey long, l_quantity double"
+    spark.createDataFrame([(*r, 0, 0.0) for r in rows], cols).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_gaps_of_same_strand_odd_reads_need_witnesses_and_no_spans(spark, tmp_path):
+    shown, few, spanned = [r for r in range(1, 2000, 2) if 5500 < _size(r) < 7500][:3]
+    short = [r for r in range(0, 2000, 2) if _size(r) < 3600][:3]
+    long = [r for r in range(0, 2000, 2) if _size(r) > 9000][:10]
+    pairs = [(shown, s) for s in short] + [(few, s) for s in short[:2]] + [(spanned, s) for s in short]
+    _lineitem(spark, tmp_path, [(q, s, n, 0.0) for q, s in pairs for n in (4, 1)] + [(spanned, s, 2, 0.0) for s in long])
+    assert [(r["read"], r["ct"]) for r in QUERIES["subread_detect_whole"](spark, str(tmp_path)).collect()] == [(shown, 3)]
+    cut = {r["read"]: r["size"] for r in QUERIES["clear_range_whole"](spark, str(tmp_path)).collect()}
+    assert cut[shown] < _size(shown) - 500 and (cut[few], cut[spanned]) == (_size(few), _size(spanned))
