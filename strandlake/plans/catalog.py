@@ -364,6 +364,13 @@ def spur(s, d):
     return graph.spurs(best, es.where("len % 3 <> 0"))
 
 
+@query
+def spur_whole(s, d):
+    """Spurs where every edge of the graph counts as a continuation."""
+    es = _edges(s, d)
+    return graph.spurs(graph.best_edges(es), es)
+
+
 @query
 def best_edges(s, d):
     return graph.best_edges(_edges(s, d)).select("src", "dst", "len", "score")

@@ -287,6 +287,10 @@ ORACLES: dict[str, str] = {
       found as (select src, dst from best where src in (select src from best group by src having count(*) > 1) and dst not in (select src from whole)
         union select src, dst from best where dst in (select dst from best group by dst having count(*) > 1) and src not in (select dst from whole))
       select src, dst from found union select (-dst)::integer, (-src)::integer from found""",
+    "spur_whole": f"""with {_BEST_EDGES}, whole as (select * from edges),
+      found as (select src, dst from best where src in (select src from best group by src having count(*) > 1) and dst not in (select src from whole)
+        union select src, dst from best where dst in (select dst from best group by dst having count(*) > 1) and src not in (select dst from whole))
+      select src, dst from found union select (-dst)::integer, (-src)::integer from found""",
     "best_edges": f"with {_BEST_EDGES} select src, dst, len, score from best",
     "simple_paths": f"with recursive {_PATHS} select path, max(case when pos = 0 then src end)::integer as first, arg_max(dst, pos)::integer as last, count(*)::bigint as edges, sum(len)::bigint as bases from paths group by path",
     "repeat_bridge": f"""with {_BEST_EDGES}, deg as (select node, sum(o) as o, sum(i) as i from (select src as node, 1 as o, 0 as i from best union all select dst, 0, 1 from best) group by node)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+from strandlake.plans import catalog
 from strandlake.plans.catalog import QUERIES
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -42,3 +43,11 @@ def test_gaps_of_same_strand_odd_reads_need_witnesses_and_no_spans(spark, tmp_pa
     assert [(r["read"], r["ct"]) for r in QUERIES["subread_detect_whole"](spark, str(tmp_path)).collect()] == [(shown, 3)]
     cut = {r["read"]: r["size"] for r in QUERIES["clear_range_whole"](spark, str(tmp_path)).collect()}
     assert cut[shown] < _size(shown) - 500 and (cut[few], cut[spanned]) == (_size(few), _size(spanned))
+
+
+def test_spurs_count_every_edge(spark, monkeypatch):
+    rows = [(-1, -2, 10), (-2, -3, 10), (-3, -4, 10), (-2, -9, 10), (-9, -10, 9)]
+    es = spark.createDataFrame([(*e, 1, 99.0, 0, 0, 1) for a, b, n in rows for e in ((a, b, n), (-b, -a, n))], "src int, dst int, len int, score int, ident double, read int, start int, end int")
+    monkeypatch.setattr(catalog, "_edges", lambda s, d: es)
+    found = {name: {tuple(r) for r in QUERIES[name](spark, "").collect()} for name in ("spur", "spur_whole")}
+    assert (-2, -9) in found["spur"] and (-2, -9) not in found["spur_whole"]
