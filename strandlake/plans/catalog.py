@@ -240,6 +240,11 @@ def bestn(s, d):
     return olfilter.best_n(ov.best_of_pair(ov.snap_ends(pr.overlaps(s, d, (0, 1, 3)), 11)), 5).select("qid", "sid")
 
 
+@query
+def bestn_whole(s, d):
+    return olfilter.best_n(_proper(s, d)).select("qid", "sid")
+
+
 @query
 def filter_report(s, d):
     o = pr.overlaps(s, d)
@@ -315,15 +320,36 @@ def clear_range_whole(s, d):
     return trim.clear_ranges(ranges, _adapters(s, d))
 
 
+def _top_summary(rows):
+    return rows.groupBy("read").agg(F.count("*").alias("kept"), F.min("ident").alias("worst"), F.sum(F.col("alen").cast("long")).alias("aligned"))
+
+
 @query
 def top300(s, d):
-    return trim.top_overlaps(pr.overlaps(s, d), 3).groupBy("read").agg(F.count("*").alias("kept"), F.min("ident").alias("worst"), F.sum(F.col("alen").cast("long")).alias("aligned"))
+    return _top_summary(trim.top_overlaps(pr.overlaps(s, d), 3))
+
+
+def _candidates(s, d):
+    return pr.overlaps(s, d).select("qid", "sid", F.expr("(qoff + qend) div 2").cast("int").alias("qoff"), F.expr("(soff + send) div 2").cast("int").alias("soff"), F.floor(ov.aligned_length() / 100).cast("int").alias("score"), (1 - F.col("sdir")).alias("strand"))
+
+
+def _candidate_summary(rows):
+    return rows.groupBy("sid").agg(F.count("*").alias("kept"), F.min("score").alias("worst"), F.sum(F.col("qid").cast("long")).alias("sum_qid"))
 
 
 @query
 def cns_candidates60(s, d):
-    mid = pr.overlaps(s, d).select("qid", "sid", F.expr("(qoff + qend) div 2").cast("int").alias("qoff"), F.expr("(soff + send) div 2").cast("int").alias("soff"), F.floor(ov.aligned_length() / 100).cast("int").alias("score"), (1 - F.col("sdir")).alias("strand"))
-    return seeds.consensus_candidates(mid, 10).groupBy("sid").agg(F.count("*").alias("kept"), F.min("score").alias("worst"), F.sum(F.col("qid").cast("long")).alias("sum_qid"))
+    return _candidate_summary(seeds.consensus_candidates(_candidates(s, d), 10))
+
+
+@query
+def top300_whole(s, d):
+    return _top_summary(trim.top_overlaps(pr.overlaps(s, d)))
+
+
+@query
+def cns_candidates60_whole(s, d):
+    return _candidate_summary(seeds.consensus_candidates(_candidates(s, d)))
 
 
 @query

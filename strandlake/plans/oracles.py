@@ -240,6 +240,9 @@ ORACLES: dict[str, str] = {
     "bestn": f"""with {_PROPER}, l as (select *, {_location(0)} as loc, {ALEN} as alen from pairs), p as (select * from l where loc in ('Left', 'Right')),
       v as (select *, qid as read, loc as side from p union all select *, sid, case when qdir = sdir and loc = 'Left' then 'Right' when qdir = sdir then 'Left' else loc end from p)
       select distinct qid, sid from (select *, row_number() over (partition by read, side order by {_ORDER}) as r from v) where r <= 5""",
+    "bestn_whole": f"""with {_PROPER}, l as (select *, {_location(0)} as loc, {ALEN} as alen from pairs), p as (select * from l where loc in ('Left', 'Right')),
+      v as (select *, qid as read, loc as side from p union all select *, sid, case when qdir = sdir and loc = 'Left' then 'Right' when qdir = sdir then 'Left' else loc end from p)
+      select distinct qid, sid from (select *, row_number() over (partition by read, side order by {_ORDER}) as r from v) where r <= 10""",
     "filter_report": f"""with {_overlaps()}, t as (select case when ident < 92 then 'identity' when least(qsize, ssize) < 2500 then 'length' when {ALEN} < 2500 then 'aligned' when {_location(10)} = 'Abnormal' then 'location' else 'kept' end as reason from olaps)
       select reason, count(*)::bigint as overlaps from t group by reason union all select 'total', count(*)::bigint from t""",
     "interval_merge": f"with {_INTERVALS}, {_merged('intervals', 'merged')} select * from merged",
@@ -272,9 +275,14 @@ ORACLES: dict[str, str] = {
       select read, lo as "left", hi as "right", hi - lo as size from (select *, row_number() over (partition by read order by hi - lo desc, lo) as k from free where lo < hi) where k = 1 and hi - lo >= 1000""",
     "top300": f"""with {_overlaps()}, {_by_read('olaps')}, r as (select *, {ALEN} as alen, row_number() over (partition by read order by ident desc, {ALEN} desc, other, a, b, oa, ob, odir, dir_) as k from sides)
       select read, count(*)::bigint as kept, min(ident) as worst, sum(alen)::bigint as aligned from r where k <= 3 group by read""",
+    "top300_whole": f"""with {_overlaps()}, {_by_read('olaps')}, r as (select *, {ALEN} as alen, row_number() over (partition by read order by ident desc, {ALEN} desc, other, a, b, oa, ob, odir, dir_) as k from sides)
+      select read, count(*)::bigint as kept, min(ident) as worst, sum(alen)::bigint as aligned from r where k <= 300 group by read""",
     "cns_candidates60": f"""with {_overlaps()}, m as (select qid, sid, (qoff + qend) // 2 as q, (soff + send) // 2 as s, {ALEN} // 100 as score from olaps),
       r as (select *, row_number() over (partition by sid order by score desc, qid, q, s) as k, count(*) over (partition by sid) as n from m)
       select sid, count(*)::bigint as kept, min(score)::integer as worst, sum(qid)::bigint as sum_qid from r where n >= 4 and k <= 10 group by sid""",
+    "cns_candidates60_whole": f"""with {_overlaps()}, m as (select qid, sid, (qoff + qend) // 2 as q, (soff + send) // 2 as s, {ALEN} // 100 as score from olaps),
+      r as (select *, row_number() over (partition by sid order by score desc, qid, q, s) as k, count(*) over (partition by sid) as n from m)
+      select sid, count(*)::bigint as kept, min(score)::integer as worst, sum(qid)::bigint as sum_qid from r where n >= 4 and k <= 60 group by sid""",
     "coverage_runs": f"""with {_INTERVALS}, {_depths('intervals', 'd')}, deep as (select grp, lo, hi from d where depth >= 3), {_merged('deep', 'runs')}
       select grp, lo, hi, hi - lo as size from (select *, row_number() over (partition by grp order by hi - lo desc, lo) as r from runs) where r = 1 and hi - lo >= 50""",
     "edge_admission": f"with {_ADMITTED} select {_P} from admitted",

@@ -51,3 +51,19 @@ def test_spurs_count_every_edge(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_edges", lambda s, d: es)
     found = {name: {tuple(r) for r in QUERIES[name](spark, "").collect()} for name in ("spur", "spur_whole")}
     assert (-2, -9) in found["spur"] and (-2, -9) not in found["spur_whole"]
+
+
+def test_counts_kept_are_the_survey_s(spark, tmp_path):
+    long = [r for r in range(2000) if _size(r) > 6000][:331]
+    _lineitem(spark, tmp_path, [(s, long[0], 1, i % 10 / 100) for i, s in enumerate(long[1:])])
+    kept = {r["read"]: r["kept"] for r in QUERIES["top300_whole"](spark, str(tmp_path)).collect()}
+    assert (kept[long[0]], kept[long[1]]) == (300, 1)
+    assert [(r["sid"], r["kept"]) for r in QUERIES["cns_candidates60_whole"](spark, str(tmp_path)).collect()] == [(long[0], 60)]
+
+
+def test_best_ten_an_end(spark, tmp_path):
+    hub, *rest = [r for r in range(2000) if _size(r) > 6000][:25]
+    subjects = [(s, h) for s in rest[:12] for h in rest[12:24]]
+    _lineitem(spark, tmp_path, [(hub, s, 1, i / 100) for i, s in enumerate(rest[:12])] + [(s, h, 4, 0.0) for s, h in subjects])
+    kept = {name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("bestn", "bestn_whole")}
+    assert kept["bestn"] < kept["bestn_whole"]
