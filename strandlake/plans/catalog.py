@@ -587,8 +587,21 @@ def read_consensus(s, d):
     return consensus.consensus(consensus.align_tags(_subject_alignments(s, d, seeds.consensus_candidates))).select("sid", F.length("seq").alias("len"), F.md5("seq").alias("sum"))
 
 
+@query
+def find_overlaps(s, d):
+    return pipeline.find_overlaps(s, pr.reads(s, d), K)
+
+
+@query
+def overlap_filter(s, d):
+    """Overlaps with the reason of the filter's step that drops them, by its automatic limits."""
+    o = pr.overlaps(s, d)
+    chosen = olfilter.limits(o)
+    return olfilter.run(o, chosen["min_identity"], chosen["max_overhang"], keep=Stages(s, "filter").keep).select("qid", "sid", "reason")
+
+
 @query
 def pipeline_assemble(s, d):
-    """Filter, graph, paths and contigs over the proper overlaps, with sequences made from read ids."""
+    """Load filter with limits from the overlaps, graph, paths and contigs, with sequences made from read ids."""
     reads = s.range(2000).select(F.col("id").cast("int").alias("read_id")).select("read_id", F.expr("substring(repeat(translate(md5(cast(read_id as string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 400), 1, cast(3100 + (read_id * 7919) % 9000 as int))").alias("seq"))
-    return pipeline.assemble(s, reads, pr.overlaps(s, d, (0, 1, 3)), 90.0, 11).select("name", "len", F.md5("seq").alias("sum"))
+    return pipeline.assemble(s, reads, pr.overlaps(s, d)).select("name", "len", F.md5("seq").alias("sum"))

@@ -67,3 +67,12 @@ def test_best_ten_an_end(spark, tmp_path):
     _lineitem(spark, tmp_path, [(hub, s, 1, i / 100) for i, s in enumerate(rest[:12])] + [(s, h, 4, 0.0) for s, h in subjects])
     kept = {name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("bestn", "bestn_whole")}
     assert kept["bestn"] < kept["bestn_whole"]
+
+
+def test_contained_reads_do_not_reach_contigs(spark, tmp_path):
+    inner, other = [r for r in range(2000) if 4000 < _size(r) < 5000][:2]
+    outer, beside = [r for r in range(2000) if _size(r) > 9000][:2]
+    _lineitem(spark, tmp_path, [(outer, beside, 1, 0.0), (inner, outer, 2, 0.0), (inner, other, 1, 0.0)])
+    names = [r["name"] for r in QUERIES["pipeline_assemble"](spark, str(tmp_path)).collect()]
+    assert {abs(int(n)) - 1 for name in names for n in name.removeprefix("ctg_").split("~")} == {outer, beside}
+    assert {(r["qid"], r["sid"]) for r in QUERIES["overlap_filter"](spark, str(tmp_path)).collect()} == {(outer, beside), (inner, outer), (inner, other)}
