@@ -2,8 +2,8 @@
 
 Both models are bags of hashed n-grams: words, closing marks, pairs of neighbouring words and of word shapes. The target
 model comes from labelled good rows (a bounded sample), the raw one from all documents. A document's log weight is the
-sum of log ratios over its n-grams. Adding Gumbel noise to the weights over a temperature and keeping the k largest
-draws k documents without replacement, in proportion to their weights.
+sum of log ratios over its n-grams, its score their mean. Gumbel noise is added to the score over a temperature, and the
+k largest are kept: at the low temperature used, nearly a cut-off at the k-th score, not a draw in proportion to weights.
 """
 
 from __future__ import annotations
