@@ -6,33 +6,22 @@ reach it, so a lost executor costs a recomputation of its tasks and nothing else
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
-
+from ..plans.stages import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder shared by all machines; where the setting is missing (tests in one process), a temporary one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    if "://" not in found:
-        found = "file://" + found.removeprefix("file:") if found.removeprefix("file:").startswith("/") else found
-    return found.rstrip("/")
+MASK64 = (1 << 64) - 1
 
 
 class Scratch:
@@ -63,6 +52,42 @@ class Scratch:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def place(schema: pa.Schema, name: str) -> int:
+    """Place of a column, whatever the case of its name."""
+    return [n.lower() for n in schema.names].index(name)
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text column of a batch as strings."""
+    return pc.cast(batch.column(place(batch.schema, "text")), pa.string())
+
+
+def rows_where(docs: DataFrame, keep: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """Rows of ``docs`` whose texts pass a test of the workers (a batch's texts to a flag each); all columns stay."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(texts_of(batch)), pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, on: list[str], size: str, partitions: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written ``lookup`` of unique, non-null ``on`` keys, of which few may hold most rows.
+
+    ``lookup`` tells in column ``size`` how many rows have each key. Keys with more than a quarter of a task's fair share
+    are at most 4 * ``partitions``, whatever the data; those are broadcast, so their rows stay where they are. All other
+    rows meet their key in a shuffled join, where no key is large.
+    """
+    total, most = lookup.agg(F.sum(size), F.max(size)).first()
+    limit = max(100, (total or 0) // (4 * partitions))
+    if not most or most <= limit:
+        return rows.join(lookup.drop(size), on, how)
+    heavy, light = lookup.where(F.col(size) > limit), lookup.where(F.col(size) <= limit).drop(size)
+    at_heavy = rows.join(F.broadcast(heavy.drop(size)), on, "inner")
+    return at_heavy.union(rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how).select(at_heavy.columns))
+
+
 _HELD: dict[str, object] = {}
 
 

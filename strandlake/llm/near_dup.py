@@ -6,8 +6,10 @@ coordinate. A shingle's values for all coordinates are thus one run of the table
 the document's runs. Bands of ``ROWS`` coordinates make candidates; at Jaccard 0.8 a pair misses all bands with a
 probability of 3e-6, and full sets confirm every link.
 
-Nothing quadratic in a group: equal sets are one class; a bucket links its members to its smallest one; only members
-that are then still in different components are compared further, in blocks of bounded size.
+Equal sets are one class; a bucket links its members to its smallest one; only members that are then still in different
+components are compared further, in cells of bounded size: their pairs grow with the square of those still apart in one
+bucket, as any two of them may be linked, but most are told apart by size and signature. Joins on keys that few groups
+may fill (a set's key, a bucket, a hub) broadcast the few heavy keys (``spread_join``).
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, ascii_words, kept, mix64, odd_constants, shingle_hashes
+from .common import Scratch, WordHashes, ascii_words, kept, mix64, odd_constants, shingle_hashes, spread_join
 
 BITS, ROWS, BANDS = 20, 5, 32
 COORDINATES = ROWS * BANDS
 #: Members of a bucket compared at once in a task.
 BLOCK = 2000
+#: Shingles of texts that a task remembers at most (8 bytes each), besides the two it compares.
+REMEMBERED = 1 << 22
+#: Pairs of a hub that share a copy of its text.
+PAIRS = 500
 #: Ids up to this many are sent to all executors (8 bytes each); beyond, a shuffled join takes their place.
 FEW = 1_000_000
 
@@ -110,15 +116,21 @@ def verified(spark: SparkSession, scratch: Scratch, docs: DataFrame, pairs: Data
                     keep.append(i)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.int64()), "b": pa.array([b[i] for i in keep], pa.int64())})
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    # A hub's text is copied once for every so many pairs, which are dealt to the copies by their other end.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hubs = scratch.table(pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("copies", F.ceil(F.col("size") / PAIRS).cast("int")), "hubs")
+    salted = spread_join(pairs, hubs, ["a"], "size", partitions).select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
+    with_b = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    hub_texts = hubs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    both = with_b.join(hub_texts, ["a", "salt"]).select("a", "b", "ta", "tb")
     out = scratch.table(both.mapInArrow(check, "a long, b long").distinct(), "links")
-    scratch.drop(texts)
+    scratch.drop(texts, hubs)
     return out
 
 
 def components(spark: SparkSession, scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``links`` (a, b) reaches, by alternating stars."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
@@ -128,11 +140,11 @@ def components(spark: SparkSession, scratch: Scratch, links: DataFrame) -> DataF
         seen, old = mark, edges
         # Large star: a node's larger neighbours go to the smallest of its neighbourhood.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = scratch.table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size"), "least")
+        large = scratch.table(spread_join(both.where("v > u"), least, ["u"], "size", partitions).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        lower = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
-        moved = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        lower = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")), "lower")
+        moved = spread_join(large, lower, ["u"], "size", partitions).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = scratch.table(moved.union(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
         scratch.drop(old, least, large, lower)
 
@@ -144,9 +156,8 @@ def _cells(members: DataFrame, sizes: DataFrame) -> DataFrame:
     are never met; a bucket's other members meet the main ones (kind 0) and each other (kind 1).
     """
     rows = members.join(sizes, "bucket").withColumn("apart", F.col("component") != F.col("main"))
-    blocks = F.ceil(F.when(F.col("apart"), F.col("n_apart")).otherwise(F.col("n_main")) / BLOCK)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int"))
-    others, mains = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("n_apart", "n_main"))
+    others, mains = F.col("b_apart"), F.col("b_main")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.when(F.col("apart"), others).otherwise(mains)).cast("int"))
     all_of = lambda n: F.sequence(F.lit(0), n - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     main = F.transform(all_of(others), lambda j: cell(0, F.col("own"), j))
@@ -202,13 +213,17 @@ def joining(members: DataFrame, sizes: DataFrame, width: int, percent: int) -> D
         texts, bucket = table.column("text"), key[0].as_py()
         _, comp = np.unique(names, return_inverse=True)
         sets: dict[int, np.ndarray] = {}
+        held = 0
         a, b = [], []
 
         def shingles(i: int) -> np.ndarray:
+            nonlocal held
             if i not in sets:
-                if len(sets) > BLOCK:
+                if held > REMEMBERED:
                     sets.clear()
+                    held = 0
                 sets[i] = shingle_set(texts[i].as_py(), width)
+                held += len(sets[i])
             return sets[i]
 
         for x in left.tolist():
@@ -245,13 +260,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = scratch.table(sketches(docs, width), "sketches")
     usable = sketch.where("doc_id is not null and key is not null")
-    # Equal sets are one class, named by its smallest document.
-    classes = scratch.table(usable.groupBy("key").agg(F.min("doc_id").alias("c")), "classes")
-    named = usable.join(classes, "key").where(F.col("doc_id") == F.col("c"))
-    reps = scratch.table(named.select("c", F.col("n_shingles").alias("n"), "bands", "sig"), "reps")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Equal sets are one class, named by its smallest document; copies are dealt by their own ids, never by the set's key.
+    classes = scratch.table(usable.groupBy("key").agg(F.min("doc_id").alias("c"), F.count("*").alias("copies")), "classes")
+    named = usable.join(classes.select("key", F.col("c").alias("doc_id")), ["key", "doc_id"]).groupBy("key", "doc_id").agg(*[F.first(x).alias(x) for x in ("n_shingles", "bands", "sig")])
+    reps = scratch.table(named.select(F.col("doc_id").alias("c"), F.col("n_shingles").alias("n"), "bands", "sig"), "reps")
     bands = reps.select("c", "n", F.explode("bands").alias("bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.table(bands.join(scratch.table(hubs, "hubs"), "bucket").select("bucket", "c", "n", "size", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    hubs = bands.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("h"), F.count("*").alias("size")).where("size > 1")
+    hubs = scratch.table(hubs.select("bucket", F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"), F.col("size").alias("large"), "size"), "hubs")
+    members = scratch.table(spread_join(bands, hubs, ["bucket"], "size", partitions).select("bucket", "c", "n", F.col("large").alias("size"), "hub", "hub_n"), "members")
     stars = members.where(F.expr(f"c <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")).select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
     tried = stars = scratch.table(stars, "stars")
     links = verified(spark, scratch, docs, stars, width, percent)
@@ -260,7 +277,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         # Buckets of three and more whose members are still apart: first likely pairs, as long as they join something.
         label = lambda df, c, out: df.join(found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(out, F.coalesce(f"_{c}", c)).drop(f"_{c}")
         large = scratch.table(label(label(members.where("size > 2").select("bucket", "c", "n", "hub"), "hub", "main"), "c", "component").drop("hub"), "large")
-        sizes = large.groupBy("bucket").agg(F.count_if(F.col("component") != F.col("main")).alias("n_apart"), F.count_if(F.col("component") == F.col("main")).alias("n_main")).where("n_apart > 0")
+        # Blocks of at most about BLOCK members and REMEMBERED shingles.
+        block = lambda apart: F.ceil(F.greatest(F.count_if(apart) / BLOCK, F.sum(F.when(apart, F.col("n")).otherwise(0)) / REMEMBERED)).cast("int")
+        sizes = large.groupBy("bucket").agg(block(F.col("component") != F.col("main")).alias("b_apart"), block(F.col("component") == F.col("main")).alias("b_main")).where("b_apart > 0")
         sizes = scratch.table(sizes, "sizes")
         if not sizes.limit(1).count():
             break
@@ -280,21 +299,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         scratch.drop(large, sizes)
         if step == 3:
             break
-    final = scratch.table(classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("component", "c").alias("component")), "final")
-    out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(final, "key", "left")
-    component = F.coalesce("component", "doc_id")
-    scratch.drop(members, stars, reps)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    final = scratch.table(classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("component", "c").alias("component"), "copies"), "final")
+    # Rows without an id or a set are alone; the others find their class, whose large ones are broadcast.
+    alone = sketch.where("doc_id is null or key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    out = spread_join(usable.select("doc_id", "n_shingles", "key"), final, ["key"], "copies", partitions).select("doc_id", "n_shingles", "component").union(alone)
+    scratch.drop(members, stars, reps, classes, hubs)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, once."""
-    decided = near_duplicates(spark, docs, width, percent)
+    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest doc_id.
+
+    Every row is a document of its own, by a number it gets here: rows that share a doc_id go only if their texts are
+    near copies, and rows with a null doc_id are compared like any (of equals a row with an id stays, then the first by
+    number). Rows with a null, empty or blank text all stay.
+    """
     scratch = Scratch(spark, "kept")
-    decided = scratch.table(decided.where("doc_id is not null"), "decided")
-    gone = scratch.table(decided.where("not kept").select("doc_id").distinct(), "gone")
-    twice = scratch.table(decided.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    rest = docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, "doc_id", "left_anti")
-    if not twice.limit(1).count():
-        return rest
-    return rest.join(twice, "doc_id", "left_anti").union(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    row = next(f"row{'_' * i}" for i in range(len(docs.columns) + 1) if f"row{'_' * i}" not in {c.lower() for c in docs.columns})
+    rows = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    decided = near_duplicates(spark, rows.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text")), width, percent)
+    # Rows of components of several: the one that stays is the smallest by doc_id.
+    some = scratch.table(decided.select(F.col("doc_id").alias("row"), "component_id"), "decided")
+    first = some.where("row <> component_id").select("component_id").distinct()
+    members = some.join(F.broadcast(first) if first.count() <= FEW else first, "component_id", "left_semi")
+    ids = rows.select(F.col(row).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"))
+    named = scratch.table(members.join(ids, "row"), "members")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("s")).select("s.row")
+    gone = scratch.table(named.select("row").join(stays, "row", "left_anti"), "gone").withColumnRenamed("row", row)
+    scratch.drop(some, named)
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])

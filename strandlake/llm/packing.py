@@ -8,8 +8,7 @@ of the same length: a count per task gives every task its first rank, so no grou
 from __future__ import annotations
 
 import math
-import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .tokenizing import encoder, slices
 
+#: Ranks that are sent to all executors (24 bytes each): up to so many; beyond, pieces are joined with them by a shuffle.
+FEW = 1_000_000
 #: A group of equal bins: the pieces of one bin as {length: how many}, and how many bins.
 Group = tuple[dict[int, int], int]
 
@@ -86,108 +87,170 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Group]:
     return done + [g for groups in open_bins.values() for g in groups]
 
 
-def undominated(counts: dict[int, int], lengths: list[int], room: int, at_most: int = 12, steps: int = 4000) -> list[tuple[int, ...]]:
-    """Fillings of ``room``, fullest first: none can swap some of its pieces for one remaining piece that fills more."""
-    found: list[tuple[int, ...]] = []
-    left = [steps]
-
-    def swap(filling: tuple[int, ...], slack: int) -> bool:
-        used = {x: filling.count(x) for x in filling}
-        sums = {x: 1 for x in filling} | {a + b: 2 for i, a in enumerate(filling) for b in filling[i + 1 :]}
-        for total, size in sums.items():
-            i = bisect_right(lengths, total + slack) - 1
-            while i >= 0 and lengths[i] >= total:
-                x = lengths[i]
-                if (x > total or size > 1) and counts[x] > used.get(x, 0):
-                    return True
-                i -= 1
-        i = bisect_right(lengths, slack) - 1
-        return any(counts[lengths[k]] > used.get(lengths[k], 0) for k in range(i + 1))
-
-    def grow(filling: tuple[int, ...], space: int, top: int) -> None:
-        left[0] -= 1
-        if left[0] < 0 or len(found) >= 8 * at_most:
+class Stock:
+    """Pieces left by length, with the lengths present as bits of a number, and the same bits mirrored."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.counts = [0] * (capacity + 1)
+        self.present = self.mirrored = 0
+        for x, n in counts.items():
+            self.add(x, n)
+
+    def add(self, x: int, n: int) -> None:
+        """``n`` more pieces of a length, or fewer where it is negative."""
+        before = self.counts[x]
+        self.counts[x] = before + n
+        if bool(before) != bool(before + n):
+            self.present ^= 1 << x
+            self.mirrored ^= 1 << (self.capacity - x)
+
+    def longest(self) -> int:
+        return self.present.bit_length() - 1
+
+    def left(self) -> dict[int, int]:
+        return {x: n for x, n in enumerate(self.counts) if n}
+
+
+def _smeared(bits: int, by: int) -> int:
+    """Bits moved up by 0 to ``by`` places, all of them."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: tuple[int, ...], slack: int, stock: Stock) -> bool:
+    """Whether some of a filling's pieces (or none, or all) can give way to one longer piece that is left: a single
+    piece to a longer one, several to one of at least their sum, within the slack. All subsets are looked at, as sums."""
+    one = several = free = 0
+    for x in filling:
+        several |= (several | one) << x
+        one |= 1 << x
+    free = stock.present
+    for x in set(filling):
+        if stock.counts[x] <= filling.count(x):
+            free &= ~(1 << x)
+    if free & ((2 << slack) - 1):
+        return True
+    return bool(slack and free & _smeared(one << 1, slack - 1)) or bool(free & _smeared(several, slack))
+
+
+def undominated(stock: Stock, room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room``, the fullest first, made as they are asked for.
+
+    A piece as long as the room dominates every other filling. Pairs that fill the room come from the bits of the
+    lengths and their mirror, those of the most equal pieces first, so that short pieces last. Then come all others,
+    by the sums that can be reached with the lengths up to each: no step of theirs leads nowhere.
+    """
+    if stock.present >> room & 1 and room:
+        yield (room,)
+        return
+    pairs = stock.present & (stock.mirrored >> (stock.capacity - room)) & ~((1 << ((room + 1) // 2)) - 1)
+    while pairs:
+        low = pairs & -pairs
+        pairs ^= low
+        x = low.bit_length() - 1
+        if (2 * x != room or stock.counts[x] > 1) and not dominated((x, room - x), 0, stock):
+            yield (x, room - x)
+    lengths = [x for x in range(1, room + 1) if stock.counts[x]]
+    reach = [1]
+    for x in lengths:
+        sums, n, part = reach[-1], min(stock.counts[x], room // x), 1
+        while n > 0:
+            sums |= sums << (x * min(part, n))
+            n, part = n - part, 2 * part
+        reach.append(sums & ((2 << room) - 1))
+
+    def fill(total: int, i: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
             return
-        i = bisect_right(lengths, min(space, top)) - 1
-        if i < 0 or not space:
-            found.append(filling)
+        if not i or not reach[i] >> total & 1:
             return
-        tried = 0
-        while i >= 0 and tried < at_most and left[0] > 0:
-            x = lengths[i]
-            if counts[x] > filling.count(x):
-                tried += 1
-                grow((*filling, x), space - x, x)
-                if space == x:
-                    break
-            i -= 1
-        if not tried:
-            found.append(filling)
-
-    grow((), room, room)
-    kept = {f for f in found if not swap(f, room - sum(f))} or set(found[:1])
-    return sorted(kept, key=lambda f: (room - sum(f), len(f), [-x for x in f]))[:at_most]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000) -> list[Group]:
-    """Fewest bins found by completing the bin of the largest piece, again and again.
-
-    The search starts from best fit, and stops when it meets the lower bound or after ``nodes`` steps; a branch ends
-    when the waste so far leaves no room for fewer bins than the best packing known.
+        x = lengths[i - 1]
+        for n in range(min(stock.counts[x], total // x), -1, -1):
+            for rest in fill(total - n * x, i - 1):
+                yield (x,) * n + rest
+
+    for slack in range(room + 1):
+        if reach[-1] >> (room - slack) & 1:
+            for filling in fill(room - slack, len(lengths)):
+                if not (slack == 0 and len(filling) == 2) and not dominated(filling, slack, stock):
+                    yield filling
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, patience: int = 2_000) -> list[Group]:
+    """Fewest bins found by completing the bin of the longest piece, again and again.
+
+    Best fit gives the first incumbent, and the search ends at once where that meets the lower bound. Otherwise each node
+    completes the bin around the longest piece left by an undominated filling, for as many bins as there are pieces for,
+    or for one. A branch ends when its waste is more than any packing with a bin less than the incumbent can have; where
+    the pieces left have halved since, best fit of the rest is tried as a new incumbent. A dive uses up a length with
+    almost every node, so it takes a few nodes a length, whatever the number of pieces. The search is exhaustive unless
+    ``nodes`` run out, or ``patience`` nodes after a whole dive or a better packing bring no other; then the incumbent
+    stands, and ``lower_bound`` tells how near it is.
     """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
-    size = sum(n for _, n in best)
-    if not counts or size == lower_bound(counts, capacity):
+    size, least = sum(n for _, n in best), lower_bound(counts, capacity)
+    if not counts or size == least:
         return best
-    least = lower_bound(counts, capacity)
-    rest, path, used = dict(counts), [], 0
-    levels = [iter(_completions(rest, capacity))]
-
-    def undo() -> int:
-        pattern, times = path.pop()
-        for x, n in pattern.items():
-            rest[x] = rest.get(x, 0) + n * times
-        return times
-
-    # One histogram is filled and emptied again along the branch, so memory is that of the branch alone.
-    while levels and nodes > 0 and size > least:
-        pattern = next(levels[-1], None)
-        if pattern is None:
+    total, stock = sum(x * n for x, n in counts.items()), Stock(counts, capacity)
+    left, path, waste, tried, wait = sum(counts.values()), [], 0, sum(counts.values()), nodes
+    levels = [_completions(stock)]
+    while levels and nodes > 0 and wait > 0 and size > least:
+        allowed = (size - 1) * capacity - total - waste
+        step = next(levels[-1], None)
+        if step is not None:
+            pattern, times, slack = step
+            times = min(times, allowed // slack) if slack else times
+        if step is None or times < 1:
+            # No filling left, or all that follow waste too much.
             levels.pop()
-            used -= undo() if path else 0
+            wait = min(wait, patience)
+            if path:
+                pattern, times, slack = path.pop()
+                for x, n in pattern.items():
+                    stock.add(x, n * times)
+                left, waste = left + times * sum(pattern.values()), waste - slack * times
             continue
-        nodes -= 1
-        times = min(rest[x] // n for x, n in pattern.items())
+        nodes, wait = nodes - 1, wait - 1
         for x, n in pattern.items():
-            rest[x] -= n * times
-            if not rest[x]:
-                del rest[x]
-        path.append((pattern, times))
-        used += times
-        if used + lower_bound(rest, capacity) < size:
-            tail = best_fit(rest, capacity)
+            stock.add(x, -n * times)
+        path.append((pattern, times, slack))
+        left, waste = left - times * sum(pattern.values()), waste + slack * times
+        if not left or 2 * left <= tried or left <= 12:
+            tried = left
+            tail, used = best_fit(stock.left(), capacity), sum(t for _, t, _ in path)
             if used + (n := sum(k for _, k in tail)) < size:
-                best, size = path + tail, used + n
-            if rest:
-                levels.append(iter(_completions(rest, capacity)))
-                continue
-        used -= undo()
+                best, size, wait = [(p, t) for p, t, _ in path] + tail, used + n, max(wait, patience)
+        levels.append(_completions(stock) if left else iter(()))
     return best
 
 
-def _completions(rest: dict[int, int], capacity: int) -> list[dict[int, int]]:
-    """Bins around the largest piece left, as {length: pieces}, the fullest first."""
-    top = max(rest)
-    own = dict(rest)
-    own[top] -= 1
-    out = []
-    for filling in undominated(own, sorted(x for x, n in own.items() if n), capacity - top):
+def _completions(stock: Stock) -> Iterator[tuple[dict[int, int], int, int]]:
+    """Bins around the longest piece left, the fullest first: {length: pieces}, for how many bins, and the waste of one."""
+    top = stock.longest()
+    stock.add(top, -1)
+    fillings = undominated(stock, stock.capacity - top)
+    while True:
+        filling = next(fillings, None)
+        if filling is None:
+            stock.add(top, 1)
+            return
         pattern = {top: 1}
         for x in filling:
             pattern[x] = pattern.get(x, 0) + 1
-        out.append(pattern)
-    return out
+        slack = stock.capacity - top - sum(filling)
+        stock.add(top, 1)
+        times = min(stock.counts[x] // n for x, n in pattern.items())
+        yield pattern, times, slack
+        if times > 1:
+            yield pattern, 1, slack
+        stock.add(top, -1)
 
 
 def places(groups: list[Group], longest_first: bool = True) -> list[tuple[int, int, int, int, int]]:
@@ -213,29 +276,29 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> Dat
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for at, part in slices(batch.column("text")):
-                rows: dict[str, list] = {k: [] for k in ("task", "nth", "doc_id", "piece", "start", "length", "ids", "ids_crc32")}
+                rows: dict[str, list] = {k: [] for k in ("task", "nth", "doc_id", "piece", "start", "length", "ids")}
                 for k, raw in enumerate(encoder(tokenizer_path).encode(part)):
                     raw = bytes(raw) + end_id.to_bytes(4, "little")
                     for i in range(0, len(raw), 4 * capacity):
                         own = raw[i : i + 4 * capacity]
                         n = len(own) // 4
-                        for name, value in zip(rows, (task, seen.get(n, 0), ids[at + k], i // (4 * capacity), i // 4, n, own, zlib.crc32(own)), strict=True):
+                        for name, value in zip(rows, (task, seen.get(n, 0), ids[at + k], i // (4 * capacity), i // 4, n, own), strict=True):
                             rows[name].append(value)
                         seen[n] = seen.get(n, 0) + 1
                 types = [pa.binary() if name == "ids" else pa.int64() for name in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], list(rows))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(pieces, "task long, nth long, doc_id long, piece long, start long, length long, ids binary, ids_crc32 long")
+    return rows.mapInArrow(pieces, "task long, nth long, doc_id long, piece long, start long, length long, ids binary")
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096) -> DataFrame:
     """Packs all documents into as few sequences of at most ``capacity`` tokens as the search finds.
 
     docs: doc_id long, text string; other columns are ignored. A null or empty text is its end id alone. Documents
     over ``capacity`` ids are cut into pieces of ``capacity``, the last shorter. Null and repeated doc_ids are packed
-    like any. An empty table gives no rows. Returns doc_id, piece, start, length, ids (little-endian unsigned 32-bit
-    words, if ``with_ids``), ids_crc32, sequence_id, offset.
+    like any; equal pieces stand for one another. An empty table gives no rows. Returns doc_id, piece, start, length,
+    ids (little-endian unsigned 32-bit words), sequence_id, offset.
     """
     scratch = Scratch(spark, "packing")
     pieces = scratch.table(cut(docs, tokenizer_path, end_id, capacity), "pieces")
@@ -264,10 +327,12 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int,
             kept = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(sequence[at] + bins), pa.array(offset[at] + slot * x)], [*kept, "sequence_id", "offset"])
 
-    base = by_task.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
-    kept = ["doc_id", "piece", "start", "length", *["ids"] * with_ids, "ids_crc32"]
-    ranked = pieces.join(base, ["task", "length"]).select(*kept, (F.col("base") + F.col("nth")).alias("rank"))
+    # A task's pieces of one length are as many as its texts hold, so (task, length) is no hot key.
+    base = scratch.table(by_task.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base")), "base")
+    kept = ["doc_id", "piece", "start", "length", "ids"]
+    ranked = pieces.join(F.broadcast(base) if base.count() <= FEW else base.hint("merge"), ["task", "length"]).select(*kept, (F.col("base") + F.col("nth")).alias("rank"))
     kinds = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in kept)
+    scratch.drop(by_task)
     return ranked.mapInArrow(placed, f"{kinds}, sequence_id long, offset long")
 
 

@@ -2,8 +2,9 @@
 
 Both models are bags of hashed n-grams: words, closing marks, pairs of neighbouring words and of word shapes. The target
 model comes from labelled good rows (a bounded sample), the raw one from all documents. A document's log weight is the
-sum of log ratios over its n-grams, its score their mean. Gumbel noise is added to the score over a temperature, and the
-k largest are kept: at the low temperature used, nearly a cut-off at the k-th score, not a draw in proportion to weights.
+sum of log ratios over its n-grams. Gumbel noise is added to it, and the k largest are drawn: a sample without
+replacement in proportion to the weights. Long documents of either kind have weights far from 0, where noise of about 1.3
+changes nothing; among short ones, and near the end of the draw, it decides.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import Scratch, kept, mix64
+from .common import Scratch, kept, mix64, texts_of
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
@@ -99,34 +101,40 @@ def _model(counts: DataFrame) -> np.ndarray:
     return np.log(n / n.sum())
 
 
-def log_weights(spark: SparkSession, docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, n_grams, log_weight of every row."""
+def with_log_weights(spark: SparkSession, docs: DataFrame, ratio: np.ndarray, weight: str, size: str) -> DataFrame:
+    """All rows of ``docs`` with their log weight and number of n-grams in two more columns."""
     sent = spark.sparkContext.broadcast(ratio)  # BUCKETS numbers
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = sent.value
         for batch in batches:
-            column, sums, sizes = batch.column("text").to_pylist(), [], []
+            column, sums, sizes = texts_of(batch).to_pylist(), [], []
             for at in range(0, len(column), 500):
                 part = column[at : at + 500]
                 buckets, of = ngrams(part)
                 sums.append(np.bincount(of, ratio[buckets], len(part)))
                 sizes.append(np.bincount(of, minlength=len(part)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_grams": pa.array(np.concatenate(sizes), pa.int64()), "log_weight": pa.array(np.concatenate(sums), pa.float64())})
-
-    return docs.select("doc_id", "text").mapInArrow(weigh, "doc_id long, n_grams long, log_weight double")
-
-
-def cut_off(scores: list[tuple[float, int]]) -> float:
-    """The score between the classes with the fewest mistakes on labelled rows, halfway between its neighbours."""
-    if not scores:
-        return -np.inf
-    rows = sorted(scores)
-    s, good = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    wrong = np.concatenate(([(1 - good).sum()], (1 - good).sum() + np.cumsum(2 * good - 1)))
-    edges = np.concatenate(([s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]))
-    wrong[1:-1][s[1:] == s[:-1]] = len(s) + 1
-    return float(edges[int(np.argmin(wrong))])
+            more = [pa.array(np.concatenate(sums or [[]]), pa.float64()), pa.array(np.concatenate(sizes or [[]]), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, weight, size])
+
+    return docs.mapInArrow(weigh, StructType([*docs.schema.fields, StructField(weight, DoubleType()), StructField(size, LongType())]))
+
+
+def calibrated(rows: list[tuple[float, int]], rounds: int = 50) -> tuple[float, float]:
+    """Slope and constant of the chance that a row is good, given its log weight: logistic regression by Newton steps,
+    on weights cut to +-30, with a weak prior that keeps the slope finite where the classes do not overlap."""
+    x, y = np.clip(np.array([r[0] for r in rows]), -30, 30), np.array([r[1] for r in rows], float)
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        v = p * (1 - p)
+        g = np.array([((p - y) * x).sum() + (a - 1.0), (p - y).sum() + 0.1 * b])
+        h = np.array([[(v * x * x).sum() + 1.0, (v * x).sum()], [(v * x).sum(), v.sum() + 0.1]])
+        step = np.linalg.solve(h, g)
+        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
+        if abs(step).max() < 1e-9:
+            break
+    return float(a), float(b)
 
 
 def top_k(keyed: DataFrame, k: int) -> tuple[float, int] | None:
@@ -155,32 +163,70 @@ def top_k(keyed: DataFrame, k: int) -> tuple[float, int] | None:
     return last[0], -last[1]
 
 
-def importance_resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, temperature: float = 0.002, seed: int = 6, sample: int = SAMPLE) -> DataFrame:
-    """Draws as many documents as look like the target; returns doc_id, n_grams, log_weight, score, key, kept.
+def weighed(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, weight: str, size: str, sample: int = SAMPLE) -> tuple[DataFrame, int]:
+    """A written table of ``docs`` with log weights, and how many target-like documents it is expected to hold.
 
-    docs: doc_id long, text string; labels: doc_id long, quality 0/1; other columns are ignored. ``score`` is the log
-    weight per n-gram; ``key`` adds Gumbel noise, fixed by the doc_id and the seed, to score / temperature. The k
-    documents with the largest keys are kept (ties: smaller doc_id), where k is the number of documents whose score is
-    over the cut-off that parts labelled rows best. Null and empty texts have weight and score 0. Without labelled good
-    rows all documents are kept. Null doc_ids are kept out of the draw (key null, kept false); repeated rows share a
-    key and are kept together. An empty table gives no rows.
+    That number is the sum, over all documents, of the chance that one of its log weight is good, as labelled rows (at
+    most ``sample``) tell; without labelled good rows every document counts.
     """
-    scratch = Scratch(spark, "quality")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     first = scratch.table(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
-    table = scratch.table(docs.join(F.broadcast(first), "doc_id"), "sample")
-    target = counted(table.where("quality > 0"))
-    raw = counted(docs)
-    ratio = _model(target) - _model(raw) if table.where("quality > 0").limit(1).count() else np.zeros(BUCKETS)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = scratch.table(own.join(F.broadcast(first), "doc_id"), "sample")
+    if not table.where("quality > 0").limit(1).count():
+        out = scratch.table(with_log_weights(spark, docs, np.zeros(BUCKETS), weight, size), "weights")
+        return out, out.count()
+    ratio = _model(counted(table.where("quality > 0"))) - _model(counted(own))
     # The target is part of the raw text: the bound on what one n-gram can say keeps unseen ones from deciding alone.
-    weighed = scratch.table(log_weights(spark, docs, np.clip(ratio, -4.0, 4.0)).withColumn("score", F.col("log_weight") / F.greatest("n_grams", F.lit(1))), "weights")
-    # At most ``sample`` rows.
-    known = weighed.join(F.broadcast(first), "doc_id").where("n_grams > 0").select("score", "quality").collect()
-    threshold = cut_off([(r["score"], int(r["quality"] > 0)) for r in known]) if ratio.any() else -np.inf
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = weighed.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("score") / temperature - F.log(-F.log(uniform))))
-    k = keyed.where(F.col("key").isNotNull() & ((F.col("score") >= threshold) if np.isfinite(threshold) else F.lit(True))).count()
-    last = top_k(keyed.where("key is not null").select("doc_id", "key"), k)
-    kept = F.lit(False) if last is None else (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (F.col("doc_id") <= last[1]))
-    return keyed.withColumn("kept", F.coalesce(kept, F.lit(False)))
+    out = scratch.table(with_log_weights(spark, docs, np.clip(ratio, -4.0, 4.0), weight, size), "weights")
+    # At most ``sample`` labelled rows (and rows that repeat their ids).
+    known = out.select(F.col("doc_id").cast("long").alias("doc_id"), weight).join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min(weight).alias("w"), F.min("quality").alias("q")).collect()
+    a, b = calibrated([(r["w"], int(r["q"] > 0)) for r in known])
+    likely = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(weight))) + b))))
+    scratch.drop(table)
+    return out, int(round(out.agg(F.sum(likely)).first()[0] or 0.0))
+
+
+def draw(rows: DataFrame, k: int, weight: str, key: str, temperature: float = 1.0, seed: int = 6) -> tuple[DataFrame, Column]:
+    """Gumbel top-k: ``rows`` with their ``key``, and the condition that holds for the k drawn ones.
+
+    The key is the log weight over ``temperature`` plus Gumbel noise, so at temperature 1 the k largest keys are a draw
+    without replacement in proportion to the weights. The noise is fixed by the seed, the doc_id and the text: rows
+    alike in both share a key. Ties go to the smaller doc_id, null last; rows alike in key and doc_id go together.
+    """
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keyed = rows.withColumn(key, F.col(weight) / temperature - F.log(-F.log(uniform)))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    last = top_k(keyed.select(doc.alias("doc_id"), F.col(key).alias("key")), k)
+    return keyed, F.lit(False) if last is None else (F.col(key) > last[0]) | ((F.col(key) == last[0]) & (doc <= last[1]))
+
+
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(f"{n}{'_' * i}" for i in range(len(taken) + 1) if f"{n}{'_' * i}" not in taken) for n in names]
+
+
+def importance_resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 6, sample: int = SAMPLE) -> DataFrame:
+    """Draws ``k`` documents in proportion to their importance weights: doc_id, n_grams, log_weight, score, key, kept.
+
+    docs: doc_id long, text string; labels: doc_id long, quality 0/1; other columns are ignored. ``log_weight`` is the
+    sum of log ratios over a document's n-grams, ``score`` their mean, ``key`` what Gumbel top-k compares (see ``draw``).
+    The caller gives k; without it, it is the number of target-like documents that the table is expected to hold (see
+    ``weighed``). Null and empty texts have weight 0. Without labelled good rows all weights are 0 and all documents are
+    drawn. Null doc_ids take part; repeated rows share a key and go together, so that a tie at the end may give more
+    than k. Very long texts are weighed whole. An empty table gives no rows.
+    """
+    scratch = Scratch(spark, "quality")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table, expected = weighed(spark, rows, labels, scratch, "log_weight", "n_grams", sample)
+    keyed, drawn = draw(table, expected if k is None else k, "log_weight", "key", temperature, seed)
+    return keyed.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") / F.greatest("n_grams", F.lit(1))).alias("score"), "key", drawn.alias("kept"))
+
+
+def resampled(spark: SparkSession, docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all their columns; each row has the weight of its own text."""
+    weight, size, key = _fresh(docs, "log_weight", "n_grams", "key")
+    table, expected = weighed(spark, docs, labels, Scratch(spark, "quality"), weight, size)
+    keyed, drawn = draw(table, expected if k is None else k, weight, key)
+    return keyed.where(drawn).select(*[f"`{c}`" for c in docs.columns])

@@ -29,7 +29,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
+    packed = pack(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 QUERIES["op7_best_fit_packing"] = op7_best_fit_packing

@@ -2,8 +2,12 @@
 
 A document's features are its words with their first four, five and seven letters and their last five, present or not.
 Counts over a bounded sample of labelled rows choose the features that tell the classes apart, and logistic regression
-weighs them. Each labelled text that names a group is also scored with the group's name swapped for another; the
-squared difference of the two scores is part of the loss, so a name alone cannot carry weight.
+weighs them. Each labelled text with an identity term is also scored with the term swapped for another of its group; the
+squared difference of the two scores is part of the loss, so a term alone cannot carry weight.
+
+Identity terms are the caller's groups and groups learned from the labelled sample itself, for corpora that name other
+groups than the list knows: frequent words whose share does not differ between the classes, put together with those that
+occur in the same texts. Their parts (first and last letters) do get chosen as features, by words that share them.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, rows_where
 
 #: Labelled rows used at most; they are the first by a hash of their id.
 SAMPLE = 8000
 #: Features weighed at most.
 FEATURES = 4000
+#: Words looked at for learned groups at most, and words in one group.
+TERMS, GROUP = 256, 4
 THRESHOLD = 0.3
 #: Groups whose names may stand for one another, by language.
 IDENTITIES = (
@@ -40,7 +46,6 @@ IDENTITIES = (
     ("mujeres", "hombres", "chicas", "chicos"),
     ("musulmanes", "cristianos", "judíos", "hindúes"),
 )
-_SWAP = {x: group[(i + 1) % len(group)] for group in IDENTITIES for i, x in enumerate(group)}
 _EDGES = ".,;:!?()[]{}\"'«»„“”‘’…*_-–—/\\|"
 
 
@@ -70,10 +75,48 @@ class _Cache(dict):
         return out
 
 
-def swapped(text: str) -> str | None:
-    """The text with group names exchanged within their groups; None if it has none."""
-    found = words(text)
-    return " ".join(_SWAP.get(w, w) for w in found) if any(w in _SWAP for w in found) else None
+def swaps(groups) -> dict[str, str]:
+    """Each term to the next of its group; a term of several groups keeps its first."""
+    out: dict[str, str] = {}
+    for group in groups:
+        for i, x in enumerate(group):
+            out.setdefault(x, group[(i + 1) % len(group)])
+    return out
+
+
+def neutral_words(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+    """The most frequent words of ``sample`` (text, toxic) whose share is the same in both classes, TERMS at most."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for w in set(words(text)):
+                    seen.setdefault(w, [0, 0])[int(toxic > 0)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([x[i] for x in seen.values()], pa.int64()) for i in (0, 1))], ["word", "clean", "toxic"])
+
+    found = sample.select("text", "toxic").mapInArrow(counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    pool = (F.col("a") + F.col("b") + 1) / (n_toxic + n_clean + 2)
+    z = F.abs(F.col("a") / n_clean - F.col("b") / n_toxic) / F.sqrt(pool * (1 - pool) * (1 / n_toxic + 1 / n_clean))
+    rows = found.where((F.col("a") + F.col("b")) * 100 >= n_toxic + n_clean).where(z < 1).orderBy(F.desc(F.col("a") + F.col("b")), "word").limit(TERMS).collect()
+    return [r["word"] for r in rows]
+
+
+def learned_groups(terms: list[str], presence: np.ndarray) -> list[tuple[str, ...]]:
+    """Groups of GROUP terms that occur in the same texts: ``presence`` has a row a text and a column a term.
+
+    From the most frequent term down, each takes the terms nearest to it (cosine of 0.2 and more) that are still free.
+    """
+    x = presence.astype(float)
+    x /= np.maximum(np.sqrt(x.sum(0)), 1e-9)
+    near, free, out = x.T @ x, set(range(len(terms))), []
+    for i in range(len(terms)):
+        if i in free:
+            some = sorted((j for j in free if j != i and near[i, j] >= 0.2), key=lambda j: (-near[i, j], j))[: GROUP - 1]
+            if some:
+                free -= {i, *some}
+                out.append(tuple(terms[j] for j in (i, *some)))
+    return out
 
 
 def _presence(texts: pa.Array, cache: dict) -> Iterator[set[int]]:
@@ -132,8 +175,15 @@ def fit(examples: list[tuple[list[int], float]], twins: list[tuple[list[int], li
     return w
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> tuple[dict[int, float], float]:
-    """Weights by feature and the constant, from at most ``sample`` labelled rows that are not held out."""
+def change(w: np.ndarray, twins: list[tuple[list[int], list[int]]]) -> float:
+    """Mean absolute change of the score between twins."""
+    score = lambda x: 1 / (1 + np.exp(-np.clip(w[x].sum() + w[-1], -30, 30)))
+    return float(np.mean([abs(score(a) - score(b)) for a, b in twins])) if twins else 0.0
+
+
+def examples_of(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, identities=IDENTITIES, sample: int = SAMPLE):
+    """Chosen features, examples (features, class) and twins (features, features after the swap), or None and the class
+    there is where labels are of one class alone; from at most ``sample`` labelled rows that are not held out."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     first = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -141,24 +191,46 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
     sizes = {r["toxic"]: r["n"] for r in table.groupBy(F.col("toxic") > 0).agg(F.count("*").alias("n")).toDF("toxic", "n").collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
-        return {}, 30.0 if n_toxic else -30.0
+        return None, n_toxic
     chosen = chosen_features(count_features(table), n_toxic, n_clean)
     index = {f: i for i, f in enumerate(chosen)}
+    terms = neutral_words(table, n_toxic, n_clean)
+    column = {w: i for i, w in enumerate(terms)}
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"terms": pa.array([sorted({column[w] for w in words(t) if w in column}) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))})
+
+    presence = np.zeros((n_toxic + n_clean, len(terms)), bool)
+    # At most ``sample`` rows of at most TERMS places.
+    for i, r in enumerate(table.select("text").mapInArrow(holding, "terms array<int>").collect()):
+        presence[i, r["terms"]] = True
+    swap = swaps([*identities, *learned_groups(terms, presence)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = _Cache(lambda w: tuple(index[f] for f in features(w) if f in index))
+        swapped = _Cache(lambda w: tuple(index[f] for f in features(swap.get(w, w)) if f in index))
         for batch in batches:
-            other = pa.array([swapped(t) if t else None for t in batch.column("text").to_pylist()], pa.string())
             own = [sorted(x) for x in _presence(batch.column("text"), pick)]
-            twin = [sorted(x) if o.is_valid else None for x, o in zip(_presence(other, pick), other, strict=True)]
+            twin = [sorted(x) for x in _presence(batch.column("text"), swapped)]
+            # A swap that touches no chosen feature says nothing.
+            twin = [x if x != o else None for x, o in zip(twin, own, strict=True)]
             yield pa.RecordBatch.from_pydict({"own": pa.array(own, pa.list_(pa.int32())), "twin": pa.array(twin, pa.list_(pa.int32())), "toxic": batch.column("toxic")})
 
     # At most ``sample`` rows of chosen features.
     got = table.mapInArrow(rows, "own array<int>, twin array<int>, toxic int").collect()
     examples = sorted((r["own"], float(r["toxic"] > 0)) for r in got)
-    w = fit(examples, sorted((r["own"], r["twin"]) for r in got if r["twin"] is not None), len(chosen))
     scratch.drop(table)
-    return {f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1])
+    return chosen, examples, sorted((r["own"], r["twin"]) for r in got if r["twin"] is not None)
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, identities=IDENTITIES) -> tuple[dict[int, float], float]:
+    """Weights by feature and the constant."""
+    chosen, *rest = examples_of(spark, docs, labels, scratch, identities)
+    if chosen is None:
+        return {}, 30.0 if rest[0] else -30.0
+    w = fit(*rest, len(chosen))
+    return {f: float(w[i]) for i, f in enumerate(chosen) if w[i]}, float(w[-1])
 
 
 def held_out(doc_id):
@@ -166,27 +238,45 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scorer(spark: SparkSession, docs: DataFrame, labels: DataFrame, identities=IDENTITIES):
+    """A function for tasks: a column of texts to their scores."""
+    weights, constant = train(spark, docs, labels, Scratch(spark, "toxicity"), identities)
+    # At most FEATURES weights.
+    sent = spark.sparkContext.broadcast(({f: i for i, f in enumerate(weights)}, np.array(list(weights.values()) or [0.0])))
+
+    def scores(texts: pa.Array, held: list = []) -> np.ndarray:  # noqa: B006 (a task's memory)
+        index, w = sent.value
+        if not held:
+            held.append(_Cache(lambda x: tuple(index[f] for f in features(x) if f in index)))
+        z = np.array([w[sorted(x)].sum() if x else 0.0 for x in _presence(texts, held[0])]) + constant
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    return scores
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; each row is decided by its own text.
+
+    Null and repeated doc_ids are rows like any other; a null or empty text has the constant's score.
+    """
+    scores = scorer(spark, docs, labels)
+    return rows_where(docs, lambda texts: (scores(texts) < THRESHOLD).tolist())
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, identities=IDENTITIES) -> DataFrame:
     """Scores every document; returns doc_id, held_out, score (0 to 1), predicted (1 from 0.3).
 
-    docs: doc_id long, text string; labels: doc_id long, toxic 0/1; other columns are ignored. Rows of labels with
-    nulls are ignored, and of several for a document the largest counts. Without labels of both classes the score is
+    docs: doc_id long, text string; labels: doc_id long, toxic 0/1; other columns are ignored. ``identities`` are groups
+    of terms that may stand for one another, besides those learned from the labelled texts. Rows of labels with nulls are ignored, and of several for a document the largest counts. Without labels of both classes the score is
     the one class's (0 with none). A null or empty text has the constant's score; a null doc_id is kept and not held
     out. Repeated rows are scored alike. An empty table gives no rows.
     """
-    weights, constant = train(spark, docs, labels, Scratch(spark, "toxicity"))
-    index = {f: i for i, f in enumerate(weights)}
-    # At most FEATURES weights.
-    sent = spark.sparkContext.broadcast((index, np.array(list(weights.values()) or [0.0])))
+    scores = scorer(spark, docs, labels, identities)
 
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, w = sent.value
-        pick = _Cache(lambda x: tuple(index[f] for f in features(x) if f in index))
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(x) for x in _presence(batch.column("text"), pick)]
-            z = np.array([w[x].sum() if x else 0.0 for x in found]) + constant
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores(batch.column("text")), pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(scores, "doc_id long, score double")
+    out = rows.mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and extra columns."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -22,6 +23,7 @@ from strandlake.llm import token_store as ts
 from strandlake.llm import tool_calls as tc
 from strandlake.llm import toxicity as tx
 from strandlake.llm import url_filter as uf
+from strandlake.llm.common import spread_join
 from strandlake.llm.queries import ORACLES, QUERIES, SCHEMAS
 from strandlake.llm.tokenizing import Encoder
 
@@ -200,7 +202,47 @@ def test_hamming_index_finds_all_within_the_radius():
         bits[rng.choice(256, dc.RADIUS, replace=False)] = 1
         query = prints[k] ^ np.packbits(bits).view(np.uint16)
         near = np.flatnonzero(np.bitwise_count(prints ^ query).sum(1) <= dc.RADIUS)
-        assert index.near(query).tolist() == near.tolist() and k in near
+        asked, found = index.near(np.stack([query, prints[k]]))
+        assert found[asked == 0].tolist() == near.tolist() and k in near
+
+
+@pytest.mark.parametrize("repeat", [0, 11])
+def test_pairs_at_the_threshold_are_within_the_radius(repeat):
+    """Recall of the sketch itself: pairs of weighted similarity 0.80 to 0.86, with and without repeated words."""
+    rng, tried = random.Random(repeat), 0
+    cut = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    while tried < 300:
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(30, 120))] + ["go"] * repeat
+        v = w[: len(w) - repeat] + ["no"] * repeat if tried % 2 else list(w)
+        similar = 1.0
+        while similar > 0.86:
+            v[rng.randrange(len(v))] = f"x{rng.randint(0, 10**6)}"
+            both = sum((cut(w) & cut(v)).values())
+            similar = both / (2 * (len(w) - 4) - both)
+        if similar >= 0.8:
+            tried += 1
+            assert 0 in dc.Items([(1, " ".join(w))], 80).search(" ".join(v))
+
+
+def test_window_sums_count_occurrences():
+    rng = np.random.default_rng(4)
+    for values in (rng.integers(0, 6, 40), np.zeros(30, int), rng.integers(0, 1 << 40, 40)):
+        shingles = dc.mix64(values.astype(np.uint64))
+        for span in (1, 7, 25):
+            want = [dc.bit_rows(dc.elements(shingles[i : i + span], dc.occurrences(shingles[i : i + span]))).sum(0) for i in range(len(shingles) - span + 1)]
+            assert (dc.window_sums(shingles, span) == np.array(want)).all()
+
+
+def test_decontamination_in_lots_with_nulls(spark, monkeypatch):
+    monkeypatch.setattr(dc, "LOT", 5)
+    rng = random.Random(16)
+    items = [(i if i % 7 else None, " ".join(f"w{rng.randint(0, 300)}" for _ in range(rng.choice([4, 25, 40])))) for i in range(24)] + [(-1, "one two three four five six seven")]
+    docs = [(None, items[3][1]), (None, "nothing here"), (1, items[0][1]), (1, "clean text of row one"), (2, items[24][1] + " tail"), (2, items[24][1] + " tail"), (3, None)]
+    schema = "item_id long, text string"
+    got = rows(dc.contaminated(spark, spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, schema)), "doc_id", "item_id")
+    assert got == sorted({(None, 3), (1, None), (2, -1)} | set(brute_leaks([d for d in docs if d[1] and d[1] not in (items[3][1], items[0][1]) and d[0] != 2], items)), key=repr)
+    left = dc.without_contaminated(spark, clashing(spark.createDataFrame(docs, DOCS)), spark.createDataFrame(items, schema))
+    assert rows(left, "doc_id", "text") == sorted([docs[1], docs[3], docs[6]], key=repr) and "kept" in left.columns
 
 
 # --- op5, op6 --------------------------------------------------------------------------------------------------------
@@ -244,19 +286,97 @@ def test_counterfactual_penalty_takes_weight_from_names():
     twins = [([1], [2])] * 20
     free, fair = tx.fit(examples, [], 3), tx.fit(examples, twins, 3, fairness=20.0)
     assert abs(fair[1] - fair[2]) < abs(free[1] - free[2])
+    assert tx.change(fair, twins) < 0.5 * tx.change(free, twins)
+
+
+def test_learned_groups_hold_words_of_the_same_texts():
+    presence = np.zeros((100, 4), bool)
+    presence[:50, :2] = True
+    presence[50:, 2:] = True
+    assert tx.learned_groups(["mira", "tolo", "hana", "suvi"], presence) == [("mira", "tolo"), ("hana", "suvi")]
+    assert tx.swaps([("a", "b"), ("b", "c")]) == {"a": "b", "b": "a", "c": "b"}
+
+
+def test_penalty_on_terms_learned_from_labelled_texts(spark, tmp_path):
+    """Groups that no list names: their first letters are those of insults, and the penalty takes that weight away."""
+    rng, docs, labels = random.Random(12), [], []
+    for i in range(800):
+        toxic = i % 4 == 0
+        # Neutral mentions of two groups; insults share the beginning of one group's name.
+        text = [rng.choice(["ba", "lo", "mi"]) + rng.choice(["tur", "en", "sa"]) for _ in range(30)] + (["scumari"] if rng.random() < 0.3 else []) + (["velanor"] if rng.random() < 0.3 else [])
+        docs.append((i, " ".join(text + (rng.sample(["scumble", "scumhead", "trashy"], 1) if toxic else []))))
+        labels.append((i, 1, int(toxic)))
+    frame, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    chosen, examples, twins = tx.examples_of(spark, frame, marks, tx.Scratch(spark, "t"), identities=())
+    assert twins
+    free, fair = tx.fit(examples, [], len(chosen)), tx.fit(examples, twins, len(chosen))
+    assert tx.change(fair, twins) < tx.change(free, twins)
+    got = {r["doc_id"]: r["predicted"] for r in tx.toxicity(spark, frame, marks, identities=()).collect()}
+    assert sum(got[i] == (i % 4 == 0) for i in range(800)) > 780
+
+
+def test_rows_are_rejected_one_by_one(spark):
+    docs, labels = labelled(400)
+    bad, junk = "scumble idiotus trashy", " ".join(["ba&&& lo&&& mi&&&"] * 12)
+    docs += [(None, bad), (None, docs[1][1]), (2, bad), (2, docs[2][1]), (9001, junk), (9001, docs[5][1])]
+    frame, marks = clashing(spark.createDataFrame(docs, DOCS)).withColumn("log_weight", F.lit(1)), spark.createDataFrame(labels, LABELS)
+    for out, gone in ((tx.without_toxic(spark, frame, marks), bad), (ql.resampled(spark, frame, marks), junk)):
+        assert out.columns == frame.columns
+        left = Counter((r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect())
+        extra = Counter(d for d in docs[400:] if d[1] not in (bad, junk))
+        assert not extra - left and not any(t == gone for _, t in left)
+        assert out.limit(0).count() == 0
+    assert tx.without_toxic(spark, frame.limit(0), marks).count() == ql.resampled(spark, frame.limit(0), marks).count() == 0
 
 
 def test_quality(spark):
     docs, labels = labelled(400)
-    extra = [(9000, None), (9001, ""), (None, "ba lo mi")]
+    extra = [(9000, None), (9001, ""), (None, "ba lo mi"), (9002, LONG)]
     got = {r["doc_id"]: r for r in ql.importance_resample(spark, clashing(spark.createDataFrame(docs + extra + docs[1:2], DOCS)), spark.createDataFrame(labels + [(None, 1, 1), (3, None, None)], LABELS)).collect()}
-    assert sum(got[i]["kept"] == (i % 7 != 0) for i in range(400)) >= 398
-    assert got[9000]["score"] == got[9001]["score"] == 0 and not got[None]["kept"]
+    assert sum(got[i]["kept"] == (i % 7 != 0) for i in range(400)) >= 396
+    assert got[9000]["log_weight"] == got[9001]["log_weight"] == 0 and got[None]["key"] is not None
     none = spark.createDataFrame([], LABELS)
     assert all(r["kept"] for r in ql.importance_resample(spark, spark.createDataFrame(docs[:9], DOCS), none).collect())
     assert ql.importance_resample(spark, spark.createDataFrame([], DOCS), none).count() == 0
 
 
+def test_log_weights_against_brute_force(spark):
+    docs, labels = labelled(90)
+    good = {i for i, q, _ in labels if q}
+    raw, target = Counter(), Counter()
+    for i, text in docs:
+        own = Counter(ql.ngrams([text])[0].tolist())
+        raw += own
+        if i in good:
+            target += own
+    share = lambda model, b: (model[b] + 1) / (sum(model.values()) + ql.BUCKETS)
+    got = ql.importance_resample(spark, spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), k=30).collect()
+    for r in got:
+        own = ql.ngrams([docs[r["doc_id"]][1]])[0].tolist()
+        want = sum(min(4.0, max(-4.0, np.log(share(target, b) / share(raw, b)))) for b in own)
+        assert abs(r["log_weight"] - want) < 1e-6 and r["n_grams"] == len(own)
+    assert sum(r["kept"] for r in got) == 30 and {r["doc_id"] for r in got if r["kept"]} == {r["doc_id"] for r in sorted(got, key=lambda r: (-r["key"], r["doc_id"]))[:30]}
+
+
+def test_noise_draws_in_proportion_to_weights(spark):
+    """Of two kinds whose weights are as 3 to 1, a draw takes about three of one for one of the other."""
+    frame = spark.createDataFrame([(i, f"t{i}", float(np.log(3)) if i % 2 else 0.0) for i in range(20_000)], "doc_id long, text string, w double")
+    keyed, drawn = ql.draw(frame, 1000, "w", "key")
+    heavy = [r["doc_id"] % 2 for r in keyed.where(drawn).collect()]
+    assert len(heavy) == 1000 and 0.70 < sum(heavy) / 1000 < 0.80
+    cold, first = ql.draw(frame, 1000, "w", "key", temperature=1e-6)
+    assert cold.where(first).where("w = 0").count() == 0
+
+
+def test_calibration_counts_the_good():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 4, 20_000)
+    y = rng.random(20_000) < 1 / (1 + np.exp(-(0.7 * x + 1)))
+    a, b = ql.calibrated(list(zip(x.tolist(), y.astype(int).tolist(), strict=True))[:5000])
+    assert abs(a - 0.7) < 0.08 and abs(b - 1) < 0.15
+    assert ql.calibrated([(5.0, 1)] * 10)[1] > 0
+
+
 @pytest.mark.parametrize("k", [1, 17, 500, 1000])
 def test_top_k_by_narrowing(spark, k):
     rng = random.Random(k)
@@ -271,7 +391,7 @@ def test_top_k_by_narrowing(spark, k):
 @settings(deadline=None, max_examples=80)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 6), max_size=8))
 def test_bins_hold_every_piece(counts):
-    groups = pk.bin_completion(counts, 50, 200)
+    groups = pk.bin_completion(counts, 50)
     used = Counter()
     for pattern, n in groups:
         assert sum(x * k for x, k in pattern.items()) <= 50
@@ -306,6 +426,41 @@ def test_small_packings_are_optimal(pieces):
     assert sum(n for _, n in pk.bin_completion(Counter(pieces), 50)) == fewest_bins(sorted(pieces, reverse=True), 50)
 
 
+def brute_fillings(stock, room):
+    """Undominated fillings by their definition: no other filling whose pieces hold this one's, in disjoint subsets."""
+    pieces = [x for x, n in stock.items() for _ in range(n)]
+    every = {tuple(sorted(c, reverse=True)) for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k) if sum(c) <= room}
+
+    def holds(a, b):
+        if not b:
+            return True
+        return any(b[0] <= a[i] and holds(tuple(sorted([*a[:i], a[i] - b[0], *a[i + 1 :]], reverse=True)), b[1:]) for i in range(len(a)))
+
+    return {b for b in every if not any(a != b and holds(a, b) for a in every)}
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.dictionaries(st.integers(1, 14), st.integers(1, 2), min_size=1, max_size=5), st.integers(1, 24))
+def test_undominated_fillings(stock, room):
+    got = [tuple(sorted(f, reverse=True)) for f in pk.undominated(pk.Stock(stock, 24), room)]
+    assert len(got) == len(set(got)) and set(got) == brute_fillings(stock, room)
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_completion_finds_fewer_bins_than_best_fit():
+    rng = random.Random(1)
+    counts = Counter(rng.randint(500, 1500) for _ in range(1000))
+    assert sum(n for _, n in pk.bin_completion(counts, 4096, 3000, 500)) < sum(n for _, n in pk.best_fit(counts, 4096))
+
+
+def test_packing_joins_ranks_beyond_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 17)) for i in range(300)], DOCS)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few = rows(pk.pack(spark, docs, path, 1, 64), "doc_id", "piece", "sequence_id", "offset")
+    monkeypatch.setattr(pk, "FEW", 3)
+    assert rows(pk.pack(spark, docs, path, 1, 64), "doc_id", "piece", "sequence_id", "offset") == few
+
+
 def test_packing(spark):
     got = pk.pack(spark, clashing(spark.createDataFrame(TEXTS, DOCS)), public_tokenizers.path("word_bpe_49k.json"), 1, 64).collect()
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -313,8 +468,8 @@ def test_packing(spark):
     for i, text in TEXTS:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         for k in range(0, len(ids), 64):
-            want[(i, k // 64, k, len(ids[k : k + 64]), ids[k : k + 64].tobytes(), zlib.crc32(ids[k : k + 64].tobytes()))] += 1
-    assert Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r[:6]) for r in got) == want
+            want[(i, k // 64, k, len(ids[k : k + 64]), ids[k : k + 64].tobytes())] += 1
+    assert Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r[:5]) for r in got) == want
     places = {}
     for r in got:
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -402,11 +557,29 @@ def test_near_duplicates(spark, monkeypatch, width):
     assert {(r[0], r[2]) for r in got if r[0] is not None} == set(want.items())
     assert all(r[3] == (r[0] is None or r[0] == r[2]) for r in got) and len(got) == len(docs) + 1
     assert {r[1] for r in got if r[0] in (90, 91, 94)} == {0}
-    kept = nd.without_near_duplicates(spark, spark.createDataFrame(docs, DOCS), width)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
+    rest = nd.without_near_duplicates(spark, clashing(spark.createDataFrame(docs, DOCS)).withColumn("row", F.lit(1)), width)
+    assert sorted(r["doc_id"] for r in rest.collect()) == sorted(i for i, c in want.items() if i == c) and "row" in rest.columns
     assert nd.near_duplicates(spark, spark.createDataFrame([], DOCS), width).count() == 0
 
 
+def test_copies_go_row_by_row(spark):
+    docs = near_copies()
+    text = docs[3][1]
+    more = [(None, text), (None, "quite another text of no copy"), (None, "quite another text of no copy"), (3, "a second text under the same id"), (-5, text), (None, None), (None, None)]
+    rest = nd.without_near_duplicates(spark, spark.createDataFrame(docs + more, DOCS), 5)
+    got = Counter(tuple(r) for r in rest.collect())
+    of = lambda t: sum(n for (_, x), n in got.items() if x == t)
+    assert of(text) == 1 and got[(-5, text)] == 1 and of(more[1][1]) == 1 and got[more[3]] == 1 and got[(None, None)] == 2
+
+
+def test_spread_join_of_hot_keys(spark):
+    left = spark.createDataFrame([(i % 3 if i % 10 else i, i) for i in range(3000)], "k long, v long")
+    lookup = left.groupBy("k").count().withColumn("w", F.col("k") * 2)
+    want = rows(left.join(lookup.drop("count"), "k"), "k", "v", "w")
+    assert rows(spread_join(left, lookup, ["k"], "count", 2), "k", "v", "w") == want
+    assert rows(spread_join(left, lookup.where("k > 1"), ["k"], "count", 2, "left"), "k", "v", "w") == rows(left.join(lookup.where("k > 1").drop("count"), "k", "left"), "k", "v", "w")
+
+
 def test_circulant_signature_is_the_shifted_permutation():
     shingles = nd.shingle_set("one two three four five six seven", 3)
     points = (nd.mix64(shingles) >> np.uint64(64 - nd.BITS)).astype(int)
