@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandlake.llm.common import Scratch
 from strandlake.llm.decontaminate import without_contaminated
-from strandlake.llm.near_dup import FEW, without_near_duplicates
+from strandlake.llm.near_dup import without_near_duplicates
 from strandlake.llm.packing import pack
-from strandlake.llm.quality import importance_resample
-from strandlake.llm.toxicity import toxicity
+from strandlake.llm.quality import resampled
+from strandlake.llm.toxicity import without_toxic
 
 #: SQL cannot express the trained stages; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -25,34 +24,51 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(spark: SparkSession, docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among the rejected ones; null doc_ids stay."""
-    gone = Scratch(spark, name).table(rejected.select("doc_id").where("doc_id is not null").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, "doc_id", "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not predict toxic."""
-    return _without(spark, docs, toxicity(spark, docs, _table(spark, sf_dir, "labels")).where("predicted = 1"), "toxic").select(docs.columns)
+    """Documents that the toxicity classifier does not predict toxic.
+
+    Each row is decided by its own text: null and repeated doc_ids are rows like any other, repeated rows are decided
+    alike. A null or empty text has the classifier's constant as its score. Scores of exactly 0.3 are toxic. An empty
+    table gives an empty one; without labels of both classes nothing or, if all are toxic, everything is rejected. Extra
+    columns, whatever their names, stay.
+    """
+    return without_toxic(spark, docs, _table(spark, sf_dir, "labels"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance resampling towards labelled good text."""
-    return _without(spark, docs, importance_resample(spark, docs, _table(spark, sf_dir, "labels")).where("not kept"), "low").select(docs.columns)
+    """Documents drawn by importance resampling towards labelled good text, as many as are expected to be like it.
+
+    Each row has the weight of its own text; a null or empty text has weight 0. Rows alike in doc_id and text go
+    together; ties go to the smaller doc_id, null last. An empty table gives an empty one; without labelled good rows
+    all rows stay. Extra columns, whatever their names, stay.
+    """
+    return resampled(spark, docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component (five-word shingles, Jaccard 0.8 and more)."""
-    return without_near_duplicates(spark, docs, width=5, percent=80).select(docs.columns)
+    """One document of each near-duplicate component (five-word shingles, Jaccard 0.8 and more): the smallest doc_id.
+
+    Every row is a document: rows that share a doc_id, or have none, are compared by their texts. Rows with a null,
+    empty or blank text all stay. An empty table gives an empty one. Extra columns, whatever their names, stay.
+    """
+    return without_near_duplicates(spark, docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return without_contaminated(spark, docs, _table(spark, sf_dir, "benchmark")).select(docs.columns)
+    """Documents without a benchmark passage (weighted similarity of an item-sized window of 0.8 and more).
+
+    Each row is decided by its own text; null and empty texts stay, and an empty benchmark rejects nothing. An empty
+    table gives an empty one. Extra columns, whatever their names, stay.
+    """
+    return without_contaminated(spark, docs, _table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 4096 tokens."""
+    """Pieces of the remaining documents in sequences of at most 4096 tokens.
+
+    Every row is packed: null and repeated doc_ids come out as they are, a null or empty text is its end id alone. An
+    empty table gives no rows; other columns are left out.
+    """
     return pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
