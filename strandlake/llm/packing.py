@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,10 @@ from .tokenizing import encoder, slices
 
 #: Ranks that are sent to all executors (24 bytes each): up to so many; beyond, pieces are joined with them by a shuffle.
 FEW = 1_000_000
+#: Dominated fillings that a completion looks at in a row before it gives up.
+LOOKS = 500
+#: Tables of reachable sums that the search holds at once (2 MB each at most).
+TABLES = 32
 #: A group of equal bins: the pieces of one bin as {length: how many}, and how many bins.
 Group = tuple[dict[int, int], int]
 
@@ -138,12 +143,14 @@ def dominated(filling: tuple[int, ...], slack: int, stock: Stock) -> bool:
     return bool(slack and free & _smeared(one << 1, slack - 1)) or bool(free & _smeared(several, slack))
 
 
-def undominated(stock: Stock, room: int) -> Iterator[tuple[int, ...]]:
+def undominated(stock: Stock, room: int, tables: deque[list] | None = None) -> Iterator[tuple[int, ...]]:
     """All undominated fillings of ``room``, the fullest first, made as they are asked for.
 
     A piece as long as the room dominates every other filling. Pairs that fill the room come from the bits of the
     lengths and their mirror, those of the most equal pieces first, so that short pieces last. Then come all others,
-    by the sums that can be reached with the lengths up to each: no step of theirs leads nowhere.
+    by the sums that can be reached with the lengths up to each: no step of theirs leads nowhere. ``tables`` holds the
+    sums of the latest searches; those of earlier ones are dropped, and made again when more fillings are asked for.
+    Where LOOKS fillings in a row are dominated, the rest are not looked at.
     """
     if stock.present >> room & 1 and room:
         yield (room,)
@@ -155,31 +162,47 @@ def undominated(stock: Stock, room: int) -> Iterator[tuple[int, ...]]:
         x = low.bit_length() - 1
         if (2 * x != room or stock.counts[x] > 1) and not dominated((x, room - x), 0, stock):
             yield (x, room - x)
-    lengths = [x for x in range(1, room + 1) if stock.counts[x]]
-    reach = [1]
-    for x in lengths:
-        sums, n, part = reach[-1], min(stock.counts[x], room // x), 1
-        while n > 0:
-            sums |= sums << (x * min(part, n))
-            n, part = n - part, 2 * part
-        reach.append(sums & ((2 << room) - 1))
+    own: list = []
+    looked = 0
+
+    def table() -> tuple[list[int], list[int]]:
+        """Lengths of up to ``room``, and for each number of them the sums they reach, as bits."""
+        if not own:
+            lengths = [x for x in range(1, room + 1) if stock.counts[x]]
+            reach = [1]
+            for x in lengths:
+                sums, n, part = reach[-1], min(stock.counts[x], room // x), 1
+                while n > 0:
+                    sums |= sums << (x * min(part, n))
+                    n, part = n - part, 2 * part
+                reach.append(sums & ((2 << room) - 1))
+            own.extend((lengths, reach))
+            if tables is not None:
+                tables.append(own)
+                if len(tables) > TABLES:
+                    tables.popleft().clear()
+        return own[0], own[1]
 
     def fill(total: int, i: int) -> Iterator[tuple[int, ...]]:
         if not total:
             yield ()
             return
-        if not i or not reach[i] >> total & 1:
-            return
-        x = lengths[i - 1]
-        for n in range(min(stock.counts[x], total // x), -1, -1):
-            for rest in fill(total - n * x, i - 1):
-                yield (x,) * n + rest
+        while i and table()[1][i] >> total & 1:
+            x = table()[0][i - 1]
+            for n in range(min(stock.counts[x], total // x), 0, -1):
+                for rest in fill(total - n * x, i - 1):
+                    yield (x,) * n + rest
+            i -= 1
 
     for slack in range(room + 1):
-        if reach[-1] >> (room - slack) & 1:
-            for filling in fill(room - slack, len(lengths)):
+        if table()[1][-1] >> (room - slack) & 1:
+            for filling in fill(room - slack, len(table()[0])):
+                looked += 1
+                if looked > LOOKS:
+                    return
                 if not (slack == 0 and len(filling) == 2) and not dominated(filling, slack, stock):
                     yield filling
+                    looked = 0
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, patience: int = 2_000) -> list[Group]:
@@ -191,7 +214,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, p
     the pieces left have halved since, best fit of the rest is tried as a new incumbent. A dive uses up a length with
     almost every node, so it takes a few nodes a length, whatever the number of pieces. The search is exhaustive unless
     ``nodes`` run out, or ``patience`` nodes after a whole dive or a better packing bring no other; then the incumbent
-    stands, and ``lower_bound`` tells how near it is.
+    stands, and ``lower_bound`` tells how near it is. (LOOKS is the third limit.)
     """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
@@ -200,7 +223,8 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, p
         return best
     total, stock = sum(x * n for x, n in counts.items()), Stock(counts, capacity)
     left, path, waste, tried, wait = sum(counts.values()), [], 0, sum(counts.values()), nodes
-    levels = [_completions(stock)]
+    tables: deque[list] = deque()
+    levels = [_completions(stock, tables)]
     while levels and nodes > 0 and wait > 0 and size > least:
         allowed = (size - 1) * capacity - total - waste
         step = next(levels[-1], None)
@@ -227,15 +251,15 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, p
             tail, used = best_fit(stock.left(), capacity), sum(t for _, t, _ in path)
             if used + (n := sum(k for _, k in tail)) < size:
                 best, size, wait = [(p, t) for p, t, _ in path] + tail, used + n, max(wait, patience)
-        levels.append(_completions(stock) if left else iter(()))
+        levels.append(_completions(stock, tables) if left else iter(()))
     return best
 
 
-def _completions(stock: Stock) -> Iterator[tuple[dict[int, int], int, int]]:
+def _completions(stock: Stock, tables: deque[list]) -> Iterator[tuple[dict[int, int], int, int]]:
     """Bins around the longest piece left, the fullest first: {length: pieces}, for how many bins, and the waste of one."""
     top = stock.longest()
     stock.add(top, -1)
-    fillings = undominated(stock, stock.capacity - top)
+    fillings = undominated(stock, stock.capacity - top, tables)
     while True:
         filling = next(fillings, None)
         if filling is None:
