@@ -450,7 +450,7 @@ def test_undominated_fillings(stock, room):
 def test_completion_finds_fewer_bins_than_best_fit():
     rng = random.Random(1)
     counts = Counter(rng.randint(500, 1500) for _ in range(1000))
-    assert sum(n for _, n in pk.bin_completion(counts, 4096, 3000, 500)) < sum(n for _, n in pk.best_fit(counts, 4096))
+    assert sum(n for _, n in pk.bin_completion(counts, 4096, 600, 100)) < sum(n for _, n in pk.best_fit(counts, 4096))
 
 
 def test_packing_joins_ranks_beyond_a_broadcast(spark, monkeypatch):
@@ -616,3 +616,68 @@ def test_main_text(spark):
     assert [got[i]["text"] for i in range(len(made))] == [w for _, w in made]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and got[None]["text"] == "x y"
     assert hm.extract(spark, df.limit(0)).count() == 0
+
+
+HARD = {
+    "<p title=it's>one two three</p><p>four's end</p>": "one two three\n\nfour's end",
+    "<article><p>before <script>var x='</p><p>';</script>after</p></article>": "before after",
+    f'<body class="has-sidebar"><div class="sidebar">{p("links")}</div><article>{p(WORDS)}</article></body>': WORDS,
+    f'<div id="content" class="with-sidebar">{p(WORDS)}</div>': WORDS,
+    f'<div class="sidebar"><h1>T</h1>{p(WORDS)}</div><footer>x</footer>': f"T\n\n{WORDS}",
+    f'<article>{p("one")}<div class="share-price">{p(WORDS)}</div><h2 class=meta-title>two</h2><div class="social share">tweet</div></article>': f"one\n\n{WORDS}\n\ntwo",
+    "<p>a < b and c <5</p>": "a < b and c <5",
+    "<p>x<!-- > <p>no</p> --> y</p><![CDATA[z]]><template><p>no</p></template>": "x y",
+    "<p>last <b": "last",
+    f"<article>{p('x')}<form><p>name</p></form><table><tr><td>a</td><td>b</td></tr></table></article>": "x\n\na\n\nb",
+}
+
+
+def test_main_text_of_hard_pages(spark):
+    made = [*HARD.items(), *list(HARD.items())[:1]]
+    got = hm.extract(spark, spark.createDataFrame([(i, None, h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: w for i, (_, w) in enumerate(made)}
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.floats(-5, 5).map(lambda x: round(x, 1)), max_size=25))
+def test_best_run_against_all_runs(scores):
+    first, last = hm.best_run(scores)
+    best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0.0)
+    assert (first, last) == (0, -1) if best <= 0 else abs(sum(scores[first : last + 1]) - best) < 1e-9
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        list(hm.markup(page))
+        return time.process_time() - began
+
+    for piece in ('<a "', "<a x='>", "<p>word </p>", "<!-", "</", '<a b="c'):
+        short, long = seconds(piece * 20_000), seconds(piece * 200_000)
+        assert long < 30 * short + 0.5
+
+
+def test_the_scan_alone_finds_the_article(spark):
+    """With every word alike, whatever the names around it, the costs of tags part the article from the rest."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = hm.train(pages)
+    named, alone = hm.Model(*hm.prior()), 0
+    named.weights, named.costs = {}, model.costs
+    rows_ = pages.select("html").collect()
+    for (source,) in rows_:
+        page = hm.Page(source)
+        first, last = hm.best_run(named.scores(page, [hm.NEUTRAL] * len(page.contexts)))
+        inside = [k for k, (_, parent, name) in enumerate(page.contexts) if name == "article"]
+        words = [c for c, tag, _ in page.tokens[first : last + 1] if not tag]
+        alone += all(any(k in _path(page, c) for k in inside) for c in words)
+    assert alone > 0.9 * len(rows_)
+
+
+def _path(page, k):
+    out = []
+    while k >= 0:
+        out.append(k)
+        k = page.contexts[k][1]
+    return out
