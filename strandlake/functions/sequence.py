@@ -19,13 +19,14 @@ def slice_strand(seq: Column, start: Column, end: Column, strand: Column) -> Col
     return F.when(strand == 1, reverse_complement(part)).otherwise(part)
 
 
-def kmer_positions(length: Column, k: int, step: int = 1) -> Column:
-    """Start positions of k-mers every ``step`` bases."""
-    return F.when(length >= k, F.sequence(F.lit(0), length - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
+def kmer_number(digits: Column, position: Column, k: int) -> Column:
+    """A k-mer as a number of k decimal digits, k up to 18: ``digits`` has 1 to 4 for A, C, G and T; null for others."""
+    return F.substring(digits, position + 1, F.lit(k)).try_cast("bigint")
 
 
-def kmer_at(seq: Column, position: Column, k: int) -> Column:
-    return F.substring(seq, position + 1, F.lit(k))
+def kmer_text(number: Column) -> Column:
+    """The bases of a k-mer's number."""
+    return F.translate(number.cast("string"), "1234", "ACGT")
 
 
 def kmer_code(kmer: Column) -> Column:

@@ -8,7 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmer_at, kmer_positions
+from ..functions.sequence import kmer_number
+
+#: Bases of the pieces that k-mers are cut from.
+PIECE = 256
 
 
 def length_histogram(reads: DataFrame) -> DataFrame:
@@ -88,9 +91,20 @@ def volumes(reads: DataFrame, most_bases: int, most_reads: int) -> DataFrame:
 
 
 def kmers(reads: DataFrame, k: int, step: int = 1) -> DataFrame:
-    """read_id, len, pos, kmer."""
-    rows = reads.select("read_id", "len", "seq", F.explode(kmer_positions(F.col("len"), k, step)).alias("pos"))
-    return rows.select("read_id", "len", "pos", kmer_at(F.col("seq"), F.col("pos"), k).alias("kmer"))
+    """read_id, len, pos, kmer: k-mers of A, C, G and T every ``step`` bases, as numbers (see ``kmer_number``), k up to 18.
+
+    Reads are first cut into pieces of about PIECE bases that overlap by k - 1, in one pass, and k-mers are cut from
+    pieces: time grows in proportion to a read's length, and no row carries a whole read. K-mers are numbers from the
+    start, so joins and aggregations move 8 bytes for each. Reads are dealt out before: that moves each base once, and
+    files of few row groups or a stretch of long reads keep no task behind.
+    """
+    reads = reads.select("read_id", "len", "seq").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "read_id")
+    size = step * max(1, PIECE // step)
+    pieces = F.regexp_extract_all(F.translate("seq", "ACGT", "1234"), F.lit(f"(?=(.{{1,{size + k - 1}}})).{{1,{size}}}"), F.lit(1))
+    rows = reads.select("read_id", "len", F.posexplode(pieces).alias("_nth", "_piece")).where(F.length("_piece") >= k)
+    starts = F.sequence(F.lit(0), F.least(F.lit(size - 1), F.length("_piece") - k), F.lit(step))
+    each = rows.select("read_id", "len", "_nth", "_piece", F.explode(starts).alias("_at"))
+    return each.select("read_id", "len", (F.col("_nth") * size + F.col("_at")).alias("pos"), kmer_number(F.col("_piece"), F.col("_at"), k).alias("kmer")).where("kmer is not null")
 
 
 def kmer_spectrum(reads: DataFrame, k: int) -> DataFrame:

@@ -89,7 +89,8 @@ def kmer_spectrum(s, d):
 
 @query
 def kmer_capped_index(s, d):
-    return seeds.capped_index(pr.reads(s, d), K).groupBy("kmer").agg(F.count("*").alias("places"), F.min("sid").alias("first_read")).withColumn("code", sq.kmer_code(F.col("kmer")))
+    found = seeds.capped_index(pr.reads(s, d), K).groupBy("kmer").agg(F.count("*").alias("places"), F.min("sid").alias("first_read"))
+    return found.withColumn("kmer", sq.kmer_text(F.col("kmer"))).withColumn("code", sq.kmer_code(F.col("kmer")))
 
 
 def _seeds(s, d):

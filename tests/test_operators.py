@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequence import kmer_text
 from strandlake.operators import graph
 from strandlake.operators import intervals as iv
 from strandlake.operators import overlap as ov
@@ -121,4 +122,26 @@ def test_index_stream(spark, tmp_path):
     for p in (tmp_path / "in/a").glob("*.parquet"):
         p.rename(tmp_path / "flat" / p.name)
     index_stream(spark, str(tmp_path / "flat"), str(tmp_path / "index"), str(tmp_path / "cp"), 13, 1).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "index")).where(F.col("kmer") == "ACGTACGTACGTA").count() == 1
+    assert spark.read.parquet(str(tmp_path / "index")).where(kmer_text(F.col("kmer")) == "ACGTACGTACGTA").count() == 1
+
+
+def test_kmers_of_long_reads_in_linear_time(spark):
+    import time
+
+    from strandlake.operators import reads as rd
+
+    rng = random.Random(4)
+    seq = "".join(rng.choice("ACGT") for _ in range(2000)) + "N" + "".join(rng.choice("ACGT") for _ in range(900))
+    df = spark.createDataFrame([(1, seq, len(seq)), (2, "ACG", 3), (3, "", 0)], "read_id long, seq string, len int")
+    for step in (1, 10):
+        got = sorted((r["pos"], r["t"]) for r in rd.kmers(df, 13, step).select("pos", kmer_text(F.col("kmer")).alias("t")).collect())
+        assert got == [(i, seq[i : i + 13]) for i in range(0, len(seq) - 12, step) if "N" not in seq[i : i + 13]]
+
+    def seconds(n):
+        one = spark.range(1).select(F.lit(1).alias("read_id"), F.repeat(F.lit("ACGTTGCAAC"), n // 10).alias("seq"), F.lit(n).alias("len"))
+        began = time.perf_counter()
+        assert rd.kmers(one, 13).agg(F.sum("kmer")).first()[0] > 0
+        return time.perf_counter() - began
+
+    seconds(50_000)
+    assert seconds(1_000_000) < 20 * seconds(100_000) + 2
