@@ -25,8 +25,8 @@ from .common import Scratch
 PAGE = 256
 #: Vectors of the sample that routing vectors and first bounds come from; routing vectors at most.
 SAMPLE, ROUTERS = 4096, 512
-#: Queries searched for in one pass over the pages.
-BLOCK = 4096
+#: Queries searched for in one pass over the pages; no more are on the driver or in a task at once.
+BLOCK = 8192
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -207,7 +207,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, query: str, k: int = 5, scale
     pages = build(rows, routers, float(top), scratch, partitions)
     queries = scratch.table(rows.where(query).dropDuplicates(), "queries")
     blocks = max(1, -(-queries.count() // BLOCK))
-    out = None
+    found = []
     for b in range(blocks):
         # About BLOCK queries at a time.
         own = sorted((r["vec_id"], r["v"]) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect())
@@ -233,9 +233,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, query: str, k: int = 5, scale
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
 
         part = pages.repartition(partitions, "page").mapInArrow(search, "query_id long, vec_id long, score long")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return empty
-    # Each task sends at most k rows a query and batch, and cuts them to k before the shuffle (window group limit).
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        # Each task sends at most k rows a query and batch, and cuts them to k before the shuffle (window group limit).
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        # A block's results are written before the next is collected.
+        found.append(scratch.path("found"))
+        best.write.parquet(found[-1])
+        sent.unpersist()
+    scratch.drop(pages, queries)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(*found) if found else empty

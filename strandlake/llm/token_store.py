@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import Scratch
 from .tokenizing import encoder, slices
@@ -50,7 +52,7 @@ class EliasFano:
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros((top >> low_bits) + n + 1, np.uint8)
         bits[ones] = 1
-        return cls(n, top, low_bits, np.concatenate(packed) if packed else np.empty(0, np.uint8), np.packbits(bits, bitorder="little"), ones[::EVERY].astype("<u4"))
+        return cls(n, top, low_bits, np.concatenate(packed) if packed else np.empty(0, np.uint8), np.packbits(bits, bitorder="little"), ones[::EVERY].astype("<u8"))
 
     def to_bytes(self) -> bytes:
         return self.HEAD.pack(self.n, self.top, self.low_bits) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
@@ -62,7 +64,7 @@ class EliasFano:
         whole, rest = divmod(n, 1 << 16)
         sizes = (whole * (low_bits << 13) + (rest * low_bits + 7) // 8, ((top >> low_bits) + n + 8) // 8)
         low, high = raw[at : at + sizes[0]], raw[at + sizes[0] : at + sum(sizes)]
-        return cls(n, top, low_bits, low, high, raw[at + sum(sizes) :].view("<u4"))
+        return cls(n, top, low_bits, low, high, raw[at + sum(sizes) :].view("<u8"))
 
     def select(self, i: int) -> int:
         """The i-th value (from 0): from the nearest sample, count ones in the upper bits, then add the low bits."""
@@ -88,18 +90,25 @@ class EliasFano:
         part = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
         return (part >> (first % 8)) & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All values in order."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def run(self, first: int, end: int) -> np.ndarray:
+        """Values ``first`` to ``end``: ``select`` of many neighbours, from the sample before them to the one behind."""
+        if first >= end:
+            return np.empty(0, np.uint64)
+        at, behind = int(self.samples[first // EVERY]), -(-end // EVERY)
+        stop = int(self.samples[behind]) if behind < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[at // 8 : stop // 8 + 1], bitorder="little")
+        ones = np.flatnonzero(bits[at % 8 :])[first % EVERY :][: end - first] + at
+        out = (ones - np.arange(first, end)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            for at in range(0, self.n, 1 << 16):
-                n = min(1 << 16, self.n - at)
-                first = at * self.low_bits // 8
-                bits = np.unpackbits(self.low[first : first + (n * self.low_bits + 7) // 8], bitorder="little")[: n * self.low_bits]
-                out[at : at + n] |= (bits.reshape(n, -1).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            bit, last = first * self.low_bits, end * self.low_bits
+            low = np.unpackbits(self.low[bit // 8 : (last + 7) // 8], bitorder="little")[bit % 8 :][: last - bit]
+            out |= (low.reshape(-1, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return out
 
+    def values(self) -> np.ndarray:
+        """All values in order."""
+        return np.concatenate([np.empty(0, np.uint64), *(self.run(i, min(i + (1 << 16), self.n)) for i in range(0, self.n, 1 << 16))])
+
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI in the shared folder."""
@@ -115,22 +124,27 @@ class ShardWriter:
         where.create_dir(self.at.rpartition("/")[0], recursive=True)
         self.where, self.out = where, where.open_output_stream(self.at + ".part", buffer_size=1 << 20)
         self.out.write(MAGIC)
-        self.docs: list[int | None] = []
-        self.ends: list[int] = []
-        self.n = 0
+        self.docs, self.ends = array("q"), array("Q")
+        self.n = self.nulls = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.out.write(ids.astype(f"<u{self.width}").tobytes())
         self.n += len(ids)
-        self.docs.append(doc_id)
+        if doc_id is None:
+            if self.docs:
+                raise ValueError("null doc_ids come first")
+            self.nulls += 1
+        else:
+            self.docs.append(doc_id)
         self.ends.append(self.n)
 
     def close(self) -> None:
-        known = [x for x in self.docs if x is not None]
-        least = known[0] if known else 0
-        docs = EliasFano.of(np.array([x - least for x in known], np.uint64)).to_bytes()
-        ends = EliasFano.of(np.array(self.ends, np.uint64)).to_bytes()
-        self.out.write(docs + ends + FOOTER.pack(len(self.docs), self.n, self.width, len(self.docs) - len(known), least, len(docs), len(ends), MAGIC))
+        known = np.frombuffer(self.docs, np.int64)
+        least = int(known[0]) if len(known) else 0
+        with np.errstate(over="ignore"):  # differences of 64-bit ids, modulo 2 ** 64
+            docs = EliasFano.of(known.view(np.uint64) - np.array([least], np.int64).view(np.uint64)).to_bytes()
+        ends = EliasFano.of(np.frombuffer(self.ends, np.uint64)).to_bytes()
+        self.out.write(docs + ends + FOOTER.pack(len(self.ends), self.n, self.width, self.nulls, least, len(docs), len(ends), MAGIC))
         self.out.close()
         self.where.move(self.at + ".part", self.at)
 
@@ -159,24 +173,31 @@ class Shard:
         return self.span(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
     def blocks(self, most: int = 1 << 20) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-        """All documents in order: doc_ids, ends and ids of runs of about ``most`` ids."""
-        ends = self.ends.values().astype(np.int64)
-        docs = [None] * self.nulls + (self.doc_ids.values().astype(object) + self.least).tolist()
-        i = 0
-        while i < self.n_docs:
-            first = int(ends[i - 1]) if i else 0
-            j = max(i + 1, int(np.searchsorted(ends, first + most, "right")))
-            yield docs[i:j], np.concatenate(([first], ends[i:j])), self.span(first, int(ends[j - 1]))
-            i = j
-
-
-def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, width: int = 2, partitions: int | None = None) -> DataFrame:
+        """All documents in order: doc_ids, ends and ids of runs of about ``most`` ids; boundaries are selected by runs."""
+        first = 0
+        for i in range(0, self.n_docs, 16 * EVERY):
+            end = min(self.n_docs, i + 16 * EVERY)
+            ends = self.ends.run(i, end).astype(np.int64)
+            known = self.doc_ids.run(max(i - self.nulls, 0), max(end - self.nulls, 0))
+            docs = [None] * (end - i - len(known)) + (known.astype(object) + self.least).tolist()
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, first + most, "right")))
+                yield docs[at:to], np.concatenate(([first], ends[at:to])), self.span(first, int(ends[to - 1]))
+                at, first = to, int(ends[to - 1])
+
+
+def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Writes shard files under ``folder`` in ascending doc_id; returns what to write as the store's table of shards.
 
+    An id takes 16 bits where the vocabulary and the end id fit, else 32.
+
     docs: doc_id long, text string (null: empty); other columns are ignored. Null doc_ids come first, rows with equal
     doc_ids stay neighbours. A task that is run again writes another file and reports that one.
     """
 
+    width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -191,7 +212,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                     out.add(ids[at + k], np.concatenate((np.frombuffer(raw, "<u4"), own)))
         if out:
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "uri": [uri], "n_docs": [len(out.docs)], "n_ids": [out.n]})
+            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "uri": [uri], "n_docs": [len(out.ends)], "n_ids": [out.n]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")

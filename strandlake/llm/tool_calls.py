@@ -1,8 +1,10 @@
 """Chat formatting: tool calls linked to their results, ordered, validated and written as canonical JSON.
 
-Only DataFrame functions: calls meet results in a hash join on (conversation, identifier); levels of the dependency
-graph come from peeling it, a join a level, on (conversation, identifier) keys, so that a conversation of any size is
-spread over all tasks; arguments are parsed to variants, whose objects keep their keys sorted.
+Only DataFrame functions: calls meet results in a hash join on (conversation, identifier). A conversation of at most
+CALLS calls whose needs all point backwards, as causes do, is ordered in one pass over its calls, whatever the depth of
+its graph. Others (larger, or with needs that point forwards, so perhaps in cycles) are peeled, a join a level, on
+(conversation, identifier) keys, so that a conversation of any size is spread over all tasks. Arguments are parsed to
+variants, whose objects keep their keys sorted.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Calls of a conversation that are put together in one row at most.
+CALLS = 10_000
+#: Conversations up to this many are sent to all executors; beyond, a shuffled join takes their place.
+FEW = 1_000_000
 #: Types a schema may ask for, as the type names of variants.
 KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "boolean": ("BOOLEAN",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "array": ("ARRAY",), "object": ("OBJECT",)}
 
@@ -34,6 +40,27 @@ def argument_error(name: Column, parsed: Column, schemas: dict[str, dict[str, tu
     return faults
 
 
+def in_order(calls: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Levels (conv_id, call_id, level) of conversations whose needs point backwards, and the conv_ids of the others.
+
+    calls: conv_id, call_id, turn, needs, each call once. Only conversations of at most CALLS calls are put together.
+    """
+    large = scratch.table(calls.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > CALLS).select("conv_id"), "large")
+    small = calls.select("conv_id", "call_id", "turn", "needs").join(F.broadcast(large) if large.count() <= FEW else large, "conv_id", "left_anti")
+    rows = small.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "call_id", "needs"))).alias("calls"))
+    rows = scratch.table(rows.withColumn("ids", F.transform("calls", lambda c: c["call_id"])), "conversations")
+    # Places (from 1) of the calls that each call waits for.
+    others = lambda c: F.filter(F.coalesce(c["needs"], F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != c["call_id"]))
+    places = F.transform("calls", lambda c: F.filter(F.transform(others(c), lambda x: F.array_position(F.col("ids"), x)), lambda p: p > 0))
+    rows = scratch.table(rows.select("conv_id", "ids", places.alias("places")), "places")
+    backwards = F.forall(F.transform("places", lambda p, i: F.coalesce(F.array_max(p), F.lit(0)) <= i), lambda x: x)
+    level = lambda done, p: F.coalesce(F.array_max(F.transform(p, lambda x: F.get(done, (x - 1).cast("int")))), F.lit(-1)) + 1
+    found = F.aggregate("places", F.array().cast("array<int>"), lambda done, p: F.concat(done, F.array(level(done, p))))
+    each = F.explode(F.arrays_zip(F.col("ids").alias("call_id"), found.alias("level")))
+    fine = rows.where(backwards).select("conv_id", each.alias("c")).select("conv_id", F.col("c.call_id").alias("call_id"), F.col("c.level").alias("level"))
+    return fine, large.union(rows.where(~backwards).select("conv_id"))
+
+
 def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of every node (conv_id, call_id): 0 without parents, else one more than the highest parent's.
 
@@ -50,6 +77,7 @@ def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame
         open_ = scratch.table(left.join(paid, ["conv_id", "parent"], "left_anti"), "open")
         touched = left.join(paid, ["conv_id", "parent"], "left_semi").select("conv_id", "call_id").distinct()
         ready = scratch.table(touched.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(step)), "level")
+        scratch.drop(left)
         out, left = out.union(ready), open_
     return out
 
@@ -75,7 +103,11 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dic
     known = wanted.where("parent <> call_id").join(first.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"]).select(*key, "parent")
     known = scratch.table(known, "needs")
     found = known.groupBy(*key).agg(F.count("*").alias("n_known"))
-    level = levels(spark, first.select(*key), known)
+    level, rest = in_order(first, scratch)
+    rest = scratch.table(rest, "rest")
+    if rest.limit(1).count():
+        of_rest = lambda df: df.join(F.broadcast(rest) if rest.count() <= FEW else rest, "conv_id", "left_semi")
+        level = level.union(levels(spark, of_rest(first.select(*key)), of_rest(known)))
     parsed = F.try_parse_json("arguments")
     out = first.join(answers, key, "left").join(level, key, "left").join(found, key, "left").withColumn("parsed", parsed)
     out = out.withColumn("fault", argument_error(F.col("name"), F.col("parsed"), schemas))

@@ -1,8 +1,10 @@
 """URL filters: dated list entries as validity intervals, and an as-of join of captures.
 
 Only DataFrame functions. Captures are first reduced to their distinct (host, first path segment, day); each of those
-meets the entries of its few patterns, and the verdicts are joined back on all three columns, so a host with a third of
-all captures is spread over its days and segments and no join sees its rows together.
+meets the intervals of its few patterns, held in one row a pattern, and the verdicts are joined back on all three columns.
+Patterns that many sites ask for (a shared parent domain, a hot host) and sites with many captures are few by
+definition; they are broadcast (``spread_join``), so no task gets their rows together. Captures without a host or a day
+take part in no join.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch, spread_join
+
 
 def url_host(url: Column) -> Column:
     """Lower-cased host of a URL without user and port; null where there is none."""
@@ -49,13 +53,19 @@ def evaluate(spark: SparkSession, captures: DataFrame, entries: DataFrame) -> Da
     allowed on both sides. Columns named like the added ones are replaced.
     """
     host, segment, day = "_host", "_segment", "_day"
+    site, scratch, partitions = [host, segment, day], Scratch(spark, "lists"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = captures.drop("blocked", "n_matches", "pattern", "listed_from")
     rows = rows.withColumn(host, url_host(F.col("url"))).withColumn(segment, url_segment(F.col("url"))).withColumn(day, F.col("day"))
-    sites = rows.select(host, segment, day).where(f"{host} is not null and {day} is not null").distinct()
-    asked = sites.select(host, segment, day, F.explode(patterns(F.col(host), F.col(segment))).alias("pattern"))
-    listed = intervals(entries)
-    active = asked.join(listed, "pattern").where((F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to"))))
-    longest = F.min(F.struct((-F.length("pattern")).alias("l"), "pattern", "valid_from"))
-    verdicts = active.groupBy(host, segment, day).agg(F.count("*").alias("n_matches"), longest.alias("_best"))
-    out = rows.join(verdicts, [host, segment, day], "left")
+    placed = rows.where(f"{host} is not null and {day} is not null")
+    sites = scratch.table(placed.groupBy(*site).agg(F.count("*").alias("_captures")), "sites")
+    asked = scratch.table(sites.select(*site, "_captures", F.explode(patterns(F.col(host), F.col(segment))).alias("pattern")), "asked")
+    # A pattern's intervals are disjoint and at most one a day, so one row holds them and at most one is active.
+    listed = intervals(entries).groupBy("pattern").agg(F.collect_list(F.struct("valid_from", "valid_to")).alias("_spans"))
+    lookup = scratch.table(listed.join(asked.groupBy("pattern").agg(F.count("*").alias("_asked")), "pattern"), "lookup")
+    active = F.filter("_spans", lambda s: (s["valid_from"] <= F.col(day)) & (s["valid_to"].isNull() | (F.col(day) < s["valid_to"])))
+    met = spread_join(asked, lookup, ["pattern"], "_asked", partitions).withColumn("_active", active).where(F.size("_active") > 0)
+    longest = F.min(F.struct((-F.length("pattern")).alias("l"), "pattern", F.col("_active")[0]["valid_from"].alias("valid_from")))
+    verdicts = scratch.table(met.groupBy(*site, "_captures").agg(F.count("*").alias("n_matches"), longest.alias("_best")), "verdicts")
+    out = spread_join(placed, verdicts, site, "_captures", partitions, "left")
+    out = out.unionByName(rows.where(f"{host} is null or {day} is null"), allowMissingColumns=True)
     return out.withColumns({"blocked": F.col("n_matches").isNotNull(), "n_matches": F.coalesce("n_matches", F.lit(0).cast("long")), "pattern": F.col("_best.pattern"), "listed_from": F.col("_best.valid_from")}).drop(host, segment, day, "_best")

@@ -96,6 +96,18 @@ def test_tool_calls(spark):
     assert tc.link(spark, calls.limit(0), results, SCHEMAS).count() == 0
 
 
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_levels_of_long_chains_and_large_conversations(spark, monkeypatch, most):
+    monkeypatch.setattr(tc, "CALLS", most)
+    n = 5000 if most > 100 else 6
+    chain = spark.range(n).select(F.lit(7).alias("conv_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("call_id"), F.col("id").alias("turn"), F.lit("lookup").alias("name"), F.lit('{"key":"k"}').alias("arguments"), F.array(F.concat(F.lit("c"), (F.col("id") - 1).cast("string"))).alias("needs"))
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r["turn"]: (r["level"], r["n_missing"]) for r in tc.link(spark, chain, results, SCHEMAS).collect()}
+    assert got == {i: (i, int(i == 0)) for i in range(n)}
+    long = chain.limit(1).withColumn("arguments", F.lit('{"key":"' + LONG.replace('"', "") + '"}'))
+    assert len(tc.link(spark, long, results, SCHEMAS).first()["arguments"]) > len(LONG)
+
+
 # --- op3 -----------------------------------------------------------------------------------------------------------
 
 
@@ -106,6 +118,8 @@ def test_elias_fano(values):
     ef = ts.EliasFano.from_bytes(ts.EliasFano.of(np.array(values, np.uint64)).to_bytes())
     assert ef.values().tolist() == values
     assert [ef.select(i) for i in range(0, len(values), 7)] == values[::7]
+    for first in range(0, len(values), 97):
+        assert ef.run(first, min(len(values), first + 300)).tolist() == values[first : first + 300]
 
 
 def test_elias_fano_of_many_is_small():
@@ -147,6 +161,17 @@ def test_shard_random_access(tmp_path):
     w.close()
     s = ts.Shard(f"file://{tmp_path}/s.ids")
     assert s.ids(604).tolist() == [0, 1, 2, 3] and s.doc_id(699) == 2047 and len(s.ids(5)) == 0
+    assert [d for docs, _, _ in s.blocks(100) for d in docs] == [3 * i - 50 for i in range(700)]
+
+
+def test_wide_vocabularies_take_four_bytes(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    big = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    big.pre_tokenizer = pre_tokenizers.Whitespace()
+    big.save(str(tmp_path / "big.json"))
+    got = ts.tokenized(spark, spark.createDataFrame([(1, "w69999 w3")], DOCS), str(tmp_path / "big.json"), 2).first()
+    assert got["ids_crc32"] == zlib.crc32(np.array([69999, 3, 2], "<u4").tobytes())
 
 
 # --- op4 -----------------------------------------------------------------------------------------------------------
@@ -504,6 +529,10 @@ def test_url_filter(spark):
         key=repr,
     )
     assert uf.evaluate(spark, captures, entries.limit(0)).where("blocked").count() == 0
+    # One hot host, on one day, and a shared parent domain; a very long url.
+    hot = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.when(F.col("id") % 3 == 0, F.lit("hot.example.org")).otherwise(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.org"))), F.lit("/p"), F.repeat(F.lit("x"), F.when(F.col("id") == 5, 50_000).otherwise(1))).alias("url"), F.to_date(F.lit("2024-01-15")).alias("day"))
+    found = uf.evaluate(spark, hot, entries).groupBy("blocked", "n_matches", "pattern", "listed_from").count().collect()
+    assert [(r["blocked"], r["n_matches"], r["pattern"], str(r["listed_from"]), r["count"]) for r in found] == [(True, 1, "example.org", "2024-01-10", 4000)]
     assert uf.evaluate(spark, captures.limit(0), entries).count() == 0
 
 
