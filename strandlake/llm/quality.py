@@ -12,6 +12,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,10 @@ from .common import Scratch, kept, mix64, texts_of
 BUCKETS = 1 << 16
 #: Labelled rows used at most for the target model and the share of good rows; the first by a hash of their id.
 SAMPLE = 20_000
+#: A text is one of many copies where more than one row in so many is that text.
+COPIED = 10_000
+#: Sightings of a bucket in raw text at which its ratio counts half.
+RARE = 5.0
 _MARKS = ".,;:!?()[]{}\"'«»„“”‘’…*_-–—/\\|#$%&+=<>~^@"
 
 
@@ -78,27 +83,45 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (mix64(every) % np.uint64(BUCKETS)).astype(np.int64), of
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """bucket, n over all rows of ``texts`` (text); each task adds up its own rows first."""
+def with_shares(texts: DataFrame) -> DataFrame:
+    """text and share: 1 over the number of exact copies for texts of many copies, else 1.
+
+    Many are more than one row in COPIED; such texts are fewer than COPIED, so their hashes are broadcast. All copies
+    of a text together then say as much as one, and a clean text does not look unlike the target for being copied.
+    """
+    hashed = texts.select("text", F.xxhash64("text").alias("h"))
+    sizes = hashed.where("text is not null").groupBy("h").agg(F.count("*").alias("n"))
+    many = sizes.where(F.col("n") > max(1, texts.count() // COPIED))
+    return hashed.join(F.broadcast(many), "h", "left").select("text", (1.0 / F.coalesce("n", F.lit(1))).alias("share"))
+
+
+def counted(texts: DataFrame) -> np.ndarray:
+    """n-grams by bucket over all rows of ``texts`` (text, share); each task adds up its own rows first, and at most
+    BUCKETS rows are collected."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS)
         for batch in batches:
-            column = batch.column("text").to_pylist()
+            column, share = batch.column("text").to_pylist(), batch.column("share").to_numpy()
             for at in range(0, len(column), 500):
-                total += np.bincount(ngrams(column[at : at + 500])[0], minlength=BUCKETS)
+                buckets, of = ngrams(column[at : at + 500])
+                total += np.bincount(buckets, share[at + of], BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": used, "n": total[used]})
 
-    return texts.select("text").mapInArrow(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS)
+    for r in texts.select("text", "share").mapInArrow(counts, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = round(r["n"], 6)
+    return out
+
 
+def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log ratio of the buckets' shares in target and raw text, one added to each count; at most 4 either way.
 
-def _model(counts: DataFrame) -> np.ndarray:
-    """Log shares of the buckets, one added to each; at most BUCKETS rows are collected."""
-    n = np.ones(BUCKETS)
-    for r in counts.collect():
-        n[r["bucket"]] += r["n"]
-    return np.log(n / n.sum())
+    Buckets seen seldom in raw text say little either way: a ratio counts for n / (n + RARE) of itself.
+    """
+    ratio = np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())
+    return np.clip(ratio, -4.0, 4.0) * raw / (raw + RARE)
 
 
 def with_log_weights(spark: SparkSession, docs: DataFrame, ratio: np.ndarray, weight: str, size: str) -> DataFrame:
@@ -166,7 +189,7 @@ def top_k(keyed: DataFrame, k: int) -> tuple[float, int] | None:
 def weighed(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, weight: str, size: str, sample: int = SAMPLE) -> tuple[DataFrame, int]:
     """A written table of ``docs`` with log weights, and how many target-like documents it is expected to hold.
 
-    That number is the sum, over all documents, of the chance that one of its log weight is good, as labelled rows (at
+    That number, rounded up, is the sum over all documents of the chance that one of its log weight is good, as labelled rows (at
     most ``sample``) tell; without labelled good rows every document counts.
     """
     usable = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
@@ -176,15 +199,15 @@ def weighed(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Sc
     if not table.where("quality > 0").limit(1).count():
         out = scratch.table(with_log_weights(spark, docs, np.zeros(BUCKETS), weight, size), "weights")
         return out, out.count()
-    ratio = _model(counted(table.where("quality > 0"))) - _model(counted(own))
+    target = table.where("quality > 0").select("text", F.lit(1.0).alias("share"))
     # The target is part of the raw text: the bound on what one n-gram can say keeps unseen ones from deciding alone.
-    out = scratch.table(with_log_weights(spark, docs, np.clip(ratio, -4.0, 4.0), weight, size), "weights")
+    out = scratch.table(with_log_weights(spark, docs, log_ratios(counted(target), counted(with_shares(own))), weight, size), "weights")
     # At most ``sample`` labelled rows (and rows that repeat their ids).
     known = out.select(F.col("doc_id").cast("long").alias("doc_id"), weight).join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min(weight).alias("w"), F.min("quality").alias("q")).collect()
     a, b = calibrated([(r["w"], int(r["q"] > 0)) for r in known])
     likely = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(weight))) + b))))
     scratch.drop(table)
-    return out, int(round(out.agg(F.sum(likely)).first()[0] or 0.0))
+    return out, ceil(out.agg(F.sum(likely)).first()[0] or 0.0)
 
 
 def draw(rows: DataFrame, k: int, weight: str, key: str, temperature: float = 1.0, seed: int = 6) -> tuple[DataFrame, Column]:

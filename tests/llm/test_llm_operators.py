@@ -378,11 +378,17 @@ def test_log_weights_against_brute_force(spark):
     got = ql.importance_resample(spark, spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), k=30).collect()
     for r in got:
         own = ql.ngrams([docs[r["doc_id"]][1]])[0].tolist()
-        want = sum(min(4.0, max(-4.0, np.log(share(target, b) / share(raw, b)))) for b in own)
+        want = sum(min(4.0, max(-4.0, np.log(share(target, b) / share(raw, b)))) * raw[b] / (raw[b] + ql.RARE) for b in own)
         assert abs(r["log_weight"] - want) < 1e-6 and r["n_grams"] == len(own)
     assert sum(r["kept"] for r in got) == 30 and {r["doc_id"] for r in got if r["kept"]} == {r["doc_id"] for r in sorted(got, key=lambda r: (-r["key"], r["doc_id"]))[:30]}
 
 
+def test_copies_of_a_text_count_once_in_the_raw_model(spark):
+    texts = spark.createDataFrame([("a b",)] * 40 + [("c d",), (None,), (None,)], "text string")
+    got = ql.counted(ql.with_shares(texts))
+    assert got.max() <= 2.0 and abs(got.sum() - len(ql.ngrams(["a b", "c d"])[0])) < 1e-4
+
+
 def test_noise_draws_in_proportion_to_weights(spark):
     """Of two kinds whose weights are as 3 to 1, a draw takes about three of one for one of the other."""
     frame = spark.createDataFrame([(i, f"t{i}", float(np.log(3)) if i % 2 else 0.0) for i in range(20_000)], "doc_id long, text string, w double")
