@@ -60,3 +60,10 @@ def end_name(node: Column) -> Column:
 def log2_floor(x: Column) -> Column:
     """Largest n with 2**n <= x, without rounding of doubles."""
     return (F.length(F.bin(x.cast("long"))) - 1).cast("int")
+
+
+def parsed_size(text: Column) -> Column:
+    """Bytes of a size such as 300, 4k, 2m or 1g."""
+    unit = F.lower(F.regexp_extract(text, "([kmgKMG]?)$", 1))
+    factor = F.when(unit == "k", 1 << 10).when(unit == "m", 1 << 20).when(unit == "g", 1 << 30).otherwise(1)
+    return F.regexp_extract(text, "^([0-9]+)", 1).cast("long") * factor.cast("long")
