@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..sources.projections import BASES, LETTERS
 
 
@@ -340,3 +342,11 @@ ORACLES: dict[str, str] = {
     "paf_parse": f"""with {_overlaps()}, b as (select *, greatest(qend - qoff, send - soff) as block from olaps)
       select qid::varchar as qid, sid::varchar as sid, round(100.0::double * round(block * ident / 100)::integer / block, 4) as ident, (-block)::integer as score, 0::integer as qdir, qoff, qend, qsize, sdir, soff, send, ssize from b""",
 }
+
+
+def _materialized(sql: str) -> str:
+    """The same SQL with its parts evaluated once each; several steps of a graph read the same edges."""
+    return re.sub(r"(\b\w+) as \((?=select)", r"\1 as materialized (", sql)
+
+
+ORACLES["best_edges"] = _materialized(ORACLES["best_edges"])
