@@ -132,16 +132,17 @@ def components(spark: SparkSession, scratch: Scratch, links: DataFrame) -> DataF
     """(node, component): the smallest node that each node of ``links`` (a, b) reaches, by alternating stars."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     while True:
-        mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen, old = mark, edges
-        # Large star: a node's larger neighbours go to the smallest of its neighbourhood.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size"), "least")
-        large = scratch.table(spread_join(both.where("v > u"), least, ["u"], "size", partitions).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")), "least")
+        # Stars round their smallest nodes: whoever has a smaller neighbour has no other.
+        if least.where("m < u and size > 1").isEmpty():
+            scratch.drop(least)
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        old = edges
+        # Large star: a node's larger neighbours go to the smallest of its neighbourhood. Repeated edges wait for the small star.
+        large = spread_join(both.where("v > u"), least, ["u"], "size", partitions).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = scratch.table(large.where("u <> v"), "large")
         # Small star: a node and its smaller neighbours go to the smallest of them.
         lower = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")), "lower")
         moved = spread_join(large, lower, ["u"], "size", partitions).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -262,9 +263,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     usable = sketch.where("doc_id is not null and key is not null")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Equal sets are one class, named by its smallest document; copies are dealt by their own ids, never by the set's key.
-    classes = scratch.table(usable.groupBy("key").agg(F.min("doc_id").alias("c"), F.count("*").alias("copies")), "classes")
-    named = usable.join(classes.select("key", F.col("c").alias("doc_id")), ["key", "doc_id"]).groupBy("key", "doc_id").agg(*[F.first(x).alias(x) for x in ("n_shingles", "bands", "sig")])
-    reps = scratch.table(named.select(F.col("doc_id").alias("c"), F.col("n_shingles").alias("n"), "bands", "sig"), "reps")
+    own = F.struct(F.col("n_shingles").alias("n"), "bands", "sig")
+    classes = scratch.table(usable.groupBy("key").agg(F.min("doc_id").alias("c"), F.count("*").alias("copies"), F.min_by(own, "doc_id").alias("own")), "classes")
+    reps = classes.select("c", "own.n", "own.bands", "own.sig")
     bands = reps.select("c", "n", F.explode("bands").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("h"), F.count("*").alias("size")).where("size > 1")
     hubs = scratch.table(hubs.select("bucket", F.col("h.c").alias("hub"), F.col("h.n").alias("hub_n"), F.col("size").alias("large"), "size"), "hubs")
@@ -294,8 +295,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
             known = reps.join(texts.withColumnRenamed("doc_id", "c"), "c").select("c", "sig", "bands", "text")
             more = scratch.table(joining(apart.join(known, "c"), sizes, width, percent), "joining")
             step = 3
-        links = links.union(more)
-        found = components(spark, scratch, links)
+        found = components(spark, scratch, found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         scratch.drop(large, sizes)
         if step == 3:
             break
@@ -303,7 +303,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     # Rows without an id or a set are alone; the others find their class, whose large ones are broadcast.
     alone = sketch.where("doc_id is null or key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     out = spread_join(usable.select("doc_id", "n_shingles", "key"), final, ["key"], "copies", partitions).select("doc_id", "n_shingles", "component").union(alone)
-    scratch.drop(members, stars, reps, classes, hubs)
+    scratch.drop(members, stars, classes, hubs)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
