@@ -248,3 +248,97 @@ component as (select doc_id, min(node) as component_id from reach group by doc_i
 select w.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id, w.doc_id = c.component_id as kept
 from words w join component c using (doc_id) left join sizes using (doc_id)
 """
+
+
+def op11_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mixture of all sources at their target weights takes of every document."""
+    from .mixing import mix
+
+    return mix(spark, _read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each apart."""
+    from .divergence import audit
+
+    return audit(spark, _read(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of every order, by language."""
+    from .interaction import audit
+
+    return audit(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES["op11_weighted_mixing"] = op11_weighted_mixing
+QUERIES["op12_source_divergence"] = op12_source_divergence
+QUERIES["op13_filter_interaction"] = op13_filter_interaction
+ORACLES["op11_weighted_mixing"] = r"""
+with recursive docs as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    substr(md5('11:' || coalesce(doc_id::varchar, 'none')), 1, 16) as key from documents),
+sources as (select source, sum(size)::hugeint as s from docs group by source),
+ranked as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::hugeint as w from sources),
+all_of as (select sum(s)::hugeint as total from sources),
+rounds as (
+  select 0 as n, source, s, w, false as stopped from ranked
+  union all
+  select n + 1, source, s, w, stopped or w * (3 * total - 4 * sum(case when stopped then s else 0 end) over ()) >= 4 * s * sum(case when stopped then 0 else w end) over ()
+  from rounds, all_of where n < (select count(*) from sources)),
+final as (
+  select source, s, w, stopped, 3 * total - 4 * sum(case when stopped then s else 0 end) over () as rest, 2 * sum(case when stopped then 0 else w end) over () as ws
+  from rounds, all_of where n = (select count(*) from sources)),
+targets as (select source, s, case when stopped then (2 * s)::double else (w * rest)::double / ws::double end as target, (case when stopped then 2 * s else (w * rest) // ws end)::hugeint as budget from final),
+placed as (
+  select d.*, t.s, t.target, t.budget, coalesce(sum(size) over (partition by d.source order by key, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::hugeint as before
+  from docs d join targets t on d.source is not distinct from t.source)
+select doc_id, source, size, s::bigint as source_size, target,
+  (case when s = 0 then 0 else (budget // s) * size + least(greatest(budget % s - before, 0), size) end)::bigint as taken
+from placed
+"""
+ORACLES["op12_source_divergence"] = r"""
+with docs as (select row_number() over () as id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+terms as (
+  select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*)::hugeint as n from terms group by lang, term having count(distinct id) >= 30),
+counts as (select lang, source, term, count(*)::hugeint as n from terms semi join kept using (lang, term) group by all),
+pairs as (select distinct lang, source from docs),
+langs as (select lang, count(term)::hugeint as v, coalesce(sum(n), 0)::hugeint as total from (select distinct lang from docs) left join kept using (lang) group by lang),
+totals as (select lang, source, coalesce(sum(n), 0)::hugeint as total from pairs left join counts using (lang, source) group by lang, source),
+p as (
+  select lang, source, term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (t.total + 5 * l.v) as p
+  from totals t join langs l using (lang) join kept k using (lang) left join counts c using (lang, source, term)),
+q as (select lang, term, 1 + (1000000000::hugeint * (n + 5)) // (total + 5 * v) as q from kept join langs using (lang)),
+apart as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+both_parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from pairs a join pairs b on a.lang = b.lang and a.source <> b.source left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from p join q using (lang, term) where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as r from both_parts)
+select lang, source, part, item, value, r::integer as rank from ranked where part = 'pair' or r <= 50
+"""
+ORACLES["op13_filter_interaction"] = r"""
+with docs as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+rated as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by text) as least from docs),
+marks as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+fails as (
+  select part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, least is not null)] as f, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from rated left join marks using (doc_id)),
+sets as (select part, f, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic, len(list_filter(f, lambda x: x)) as k from fails group by part, f),
+letters as (select unnest([1, 2, 3, 4, 5]) as i),
+orders as (select [a.i, b.i, c.i, d.i, e.i] as o from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps as (select o, i as step, o[i] as x, array_to_string(list_transform(o, lambda j: substr('ABCDE', j, 1)), '') as filter_order from orders, letters),
+gone as (select part, f, n, good, toxic, k, filter_order, step, x, f[x] as bad, len(list_filter(o[1:step - 1], lambda j: f[j])) > 0 as before from sets, steps),
+sums as (
+  select part, filter_order, step, x, sum(n) filter (where not before and not bad) as kept, sum(n) filter (where bad and not before) as removed, sum(n) filter (where bad and before) as redundant,
+    sum(n) filter (where bad and k = 1) as unique_fails, sum(good) filter (where bad and not before) as good_lost, sum(toxic) filter (where bad and not before) as toxic_lost
+  from gone group by all)
+select part, filter_order, step::integer as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  (sum(coalesce(removed, 0)) over (partition by part, x))::bigint as shapley
+from sums
+"""
