@@ -61,3 +61,26 @@ def subreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         e.alias("subread_id"), F.col("user_id").alias("zm"), ln.alias("ln"), (500 + e % 500).cast("int").alias("rq"), (e % 500).cast("int").alias("qs"), (e % 4).cast("int").alias("bc1"), (e % 3).cast("int").alias("bc2"), (e % 100).cast("int").alias("bq"), (1 + e % 9).cast("int").alias("np")
     )
+
+
+#: Nodes of one stretch of ``strand_edges``.
+STRETCH = 24
+
+
+def strand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges (src, dst, len, score) of a bidirected graph from lineitem: every order is a node, and every edge's reverse is there.
+
+    Orders of a stretch of 24 follow each other; lines also skip one or two of them or lead to or from a node of their
+    own, and every other stretch has a node that leads to a stretch further on. Of lines alike the best score counts.
+    """
+    k, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey") % 48
+    far, side, origin = k % (2 * STRETCH) == 12, k + 1_000_000_000, k + 1_500_000_000
+    step = F.when(far, 74).when((k % STRETCH == 11) & (line >= 3), 2).when(part == 13, 2).when(part == 14, 3).otherwise(1)
+    tip = ~far & (part == 15) & ~((k % STRETCH == 11) & (line >= 3))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(tip & (line % 2 == 0), origin).otherwise(k).alias("a"), F.when(tip, F.when(line % 2 == 1, side).otherwise(k)).otherwise(k + step).alias("b"),
+        (500 + (F.col("l_suppkey") * 613 + line * 97) % 1000).cast("int").alias("len"), (F.col("l_quantity").cast("int") * 8 + line).cast("int").alias("score"), (far | tip).alias("free"),
+    )
+    inside = F.col("free") | (F.floor(F.col("a") / STRETCH) == F.floor(F.col("b") / STRETCH))
+    best = rows.where(inside).groupBy((F.col("a") + 1).cast("int").alias("src"), (F.col("b") + 1).cast("int").alias("dst")).agg(F.max(F.struct("score", "len")).alias("m")).select("src", "dst", "m.len", "m.score")
+    return best.union(best.select(-F.col("dst"), -F.col("src"), "len", "score"))
