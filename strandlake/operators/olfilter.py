@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stages import Stages
-from .overlap import aligned_length, best_of_pair, by_read, load_filter, location, longest_first, read_statistics
-from .quantiles import first_trough, percentile, weighted_median_mad
+from .overlap import aligned_length, best_of_pair, by_read, load_filter, location, longest_first, overhangs, read_statistics
+from .quantiles import first_trough, grouped_median_mad, percentile, weighted_median_mad
 
 MAD = 1.4826
 
@@ -34,6 +34,39 @@ def auto_overhang(df: DataFrame, sigmas: float = 6.0) -> int | None:
     return None if median is None else math.floor(median + sigmas * MAD * mad)
 
 
+def local_statistics(df: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """Per read the weighted median and deviation of its overlaps' identities (by identity and aligned length) and of its
+    overhangs (by aligned length; where the read has one): (read, median, mad) each, exact and for all reads at once.
+
+    Identities count in hundredths, so that all weights are whole."""
+    q, s = overhangs()
+    rows = keep(df.select("qid", "sid", F.round(F.col("ident") * 100).cast("long").alias("hundredths"), aligned_length().alias("alen"), q.alias("oh_q"), s.alias("oh_s")), "local")
+    side = lambda read, oh: F.struct(F.col(read).alias("read"), F.col(oh).alias("oh"))
+    both = rows.select("hundredths", "alen", F.explode(F.array(side("qid", "oh_q"), side("sid", "oh_s"))).alias("x")).select("x.*", "hundredths", "alen")
+    idents = both.select("read", (F.col("hundredths") / 100).alias("v"), (F.col("hundredths") * F.col("alen")).alias("w"))
+    hangs = both.where("oh >= 0").select("read", F.col("oh").cast("double").alias("v"), F.col("alen").cast("long").alias("w"))
+    return grouped_median_mad(idents, "read", keep), grouped_median_mad(hangs, "read", keep)
+
+
+def local_limits(df: DataFrame, keep, least_identity: float, most_overhang: float, sigmas: float = 6.0) -> DataFrame:
+    """(read, min_ident, max_overhang): what a read's own overlaps ask for, never stricter than the two given values."""
+    idents, hangs = local_statistics(df, keep)
+    low = F.least(F.round(F.col("median") - sigmas * MAD * F.col("mad"), 6), F.lit(float(least_identity)))
+    high = F.greatest(F.round(F.col("median") + sigmas * MAD * F.col("mad"), 6), F.lit(float(most_overhang)))
+    return idents.select("read", low.alias("min_ident")).join(hangs.select("read", high.alias("max_overhang")), "read", "left")
+
+
+def local_dropped(df: DataFrame, limits: DataFrame) -> DataFrame:
+    """Overlaps (qid, sid) that one of their reads' own limits drops: too little identity or too long an overhang of it."""
+    q, s = overhangs()
+    rows = df.select("qid", "sid", "ident", q.alias("oh_q"), s.alias("oh_s"))
+    for side, oh in (("qid", "oh_q"), ("sid", "oh_s")):
+        own = limits.select(F.col("read").alias(side), F.col("min_ident").alias(f"low_{side}"), F.col("max_overhang").alias(f"high_{side}"))
+        rows = rows.join(own, side, "left")
+    out = [(F.col("ident") < F.col(f"low_{side}")) | ((F.col(oh) >= 0) & (F.col(oh) > F.col(f"high_{side}"))) for side, oh in (("qid", "oh_q"), ("sid", "oh_s"))]
+    return rows.where(F.coalesce(out[0], F.lit(False)) | F.coalesce(out[1], F.lit(False))).select("qid", "sid").distinct()
+
+
 def coverage(df: DataFrame) -> DataFrame:
     """Least and most overlaps over the positions of each read: read, len, cov_min, cov_max.
 
@@ -49,13 +82,11 @@ def coverage(df: DataFrame) -> DataFrame:
 
 def coverage_limits(cov: DataFrame, discard: float = 0.01) -> tuple[int, int, int]:
     """Least minimum (first trough of minima), most maximum and most difference (upper percentiles)."""
-    # Minima up to the trough's search limit: at most a few hundred rows.
-    low = cov.agg(F.min("cov_min")).first()[0]
+    low = first_trough(cov, F.col("cov_min")).first()[0]
     if low is None:
         return 0, 0, 0
-    counts = {r["cov_min"]: r["count"] for r in cov.where(F.col("cov_min") <= low + 256).groupBy("cov_min").count().collect()}
     difference = F.col("cov_max") - F.col("cov_min")
-    return first_trough(counts) or 0, int(percentile(cov, F.col("cov_max"), 100 - discard)), int(percentile(cov, difference, 100 - discard))
+    return low, int(percentile(cov, F.col("cov_max"), 100 - discard)), int(percentile(cov, difference, 100 - discard))
 
 
 def coverage_dropped(cov: DataFrame, limits: tuple[int, int, int]) -> DataFrame:

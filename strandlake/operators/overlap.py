@@ -6,6 +6,8 @@ on the forward strand of each read. The query is the first read (a), the subject
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +25,36 @@ def aligned_length() -> Column:
     return F.expr("((qend - qoff) + (send - soff)) div 2").cast("int")
 
 
-def near(x: Column, y: Column | int, err: int) -> Column:
-    """-1, 0 or 1 as x is under, within ``err`` of, or over y."""
-    return F.when(x < y - err, -1).when(x > y + err, 1).otherwise(0)
+def near(x: Column, err: int) -> Column:
+    """-1, 0 or 1 as x is under, within ``err`` of, or over 0."""
+    return F.when(x < -err, -1).when(x > err, 1).otherwise(0)
+
+
+def _location(same: bool, qb: int, qe: int, sb: int, se: int) -> str:
+    """Location by how the query's begin and end and the subject's lie to their reads' (-1 before, 0 at, 1 after)."""
+    if same and (qb, qe, sb, se) == (1, 0, 0, -1) or not same and (qb, qe, sb, se) == (0, -1, 0, -1):
+        return "Left"
+    if same and (qb, qe, sb, se) == (0, -1, 1, 0) or not same and (qb, qe, sb, se) == (1, 0, 1, 0):
+        return "Right"
+    if sb == se == 0 and qb >= 0 >= qe:
+        return "Equal" if qb == qe == 0 else "Containing"
+    return "Contained" if qb == qe == 0 and sb >= 0 >= se else "Abnormal"
+
+
+#: All cases, the last of the four ends changing fastest.
+_LOCATIONS = [_location(same, *ends) for same in (False, True) for ends in product((-1, 0, 1), repeat=4)]
 
 
 def location(err: int) -> Column:
-    """Left, Right, Equal, Containing, Contained or Abnormal: how the query lies to the subject, up to ``err`` bases."""
-    qb, qe = near(F.col("qoff"), F.lit(0), err), near(F.col("qend"), F.col("qsize"), err)
-    sb, se = near(F.col("soff"), F.lit(0), err), near(F.col("send"), F.col("ssize"), err)
-    same = same_direction()
-    query_whole, subject_whole = (qb == 0) & (qe == 0), (sb == 0) & (se == 0)
-    left = F.when(same, (qb > 0) & (qe == 0) & (sb == 0) & (se < 0)).otherwise((qb == 0) & (qe < 0) & (sb == 0) & (se < 0))
-    right = F.when(same, (qb == 0) & (qe < 0) & (sb > 0) & (se == 0)).otherwise((qb > 0) & (qe == 0) & (sb > 0) & (se == 0))
-    return (
-        F.when(left, "Left").when(right, "Right").when(query_whole & subject_whole, "Equal")
-        .when((qb >= 0) & (qe <= 0) & subject_whole, "Containing").when((sb >= 0) & (se <= 0) & query_whole, "Contained").otherwise("Abnormal")
-    )
+    """Left, Right, Equal, Containing, Contained or Abnormal: how the query lies to the subject, up to ``err`` bases.
+
+    The four ends make one number, worked out once, that is looked up.
+    """
+    ends = (F.col("qoff"), F.col("qend") - F.col("qsize"), F.col("soff"), F.col("send") - F.col("ssize"))
+    number = same_direction().cast("int")
+    for end in ends:
+        number = number * 3 + (near(end, err) + 1)
+    return F.get(F.array(*[F.lit(x) for x in _LOCATIONS]), number)
 
 
 def other_view(loc: Column) -> Column:

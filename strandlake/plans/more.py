@@ -153,8 +153,9 @@ select round(mi - 3 * 1.4826 * di, 6)::double as min_identity, floor(mh + 3 * 1.
 def bridge_limits(s, d):
     """Limits of overlaps between reads and contigs: medians less and plus three robust deviations."""
     fine = pr.overlaps(s, d).where((F.col("ident") >= 75) & (ov.aligned_length() >= 2000) & (ov.location(500) != "Abnormal"))
+    fine = Stages(s, "bridge").keep(fine.select("ident", F.greatest(*ov.overhangs()).alias("hang")), "fine")
     mi, di = quantiles.upper_median_mad(fine, F.col("ident"))
-    mh, dh = quantiles.upper_median_mad(fine, F.greatest(*ov.overhangs()))
+    mh, dh = quantiles.upper_median_mad(fine, F.col("hang"))
     return s.createDataFrame([(round(mi - 3 * olfilter.MAD * di, 6), float(np.floor(mh + 3 * olfilter.MAD * dh)))], "min_identity double, max_overhang double")
 
 

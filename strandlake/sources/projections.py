@@ -84,3 +84,36 @@ def strand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.col("free") | (F.floor(F.col("a") / STRETCH) == F.floor(F.col("b") / STRETCH))
     best = rows.where(inside).groupBy((F.col("a") + 1).cast("int").alias("src"), (F.col("b") + 1).cast("int").alias("dst")).agg(F.max(F.struct("score", "len")).alias("m")).select("src", "dst", "m.len", "m.score")
     return best.union(best.select(-F.col("dst"), -F.col("src"), "len", "score"))
+
+
+def tiled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read, pos, size, strand): reads about every 100 bases of one genome, one an order that lineitem names."""
+    k = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(k.cast("int").alias("read")).distinct().select(
+        "read", (F.col("read").cast("long") * 100 + F.col("read").cast("long") * 7919 % 80).alias("pos"), (3000 + F.col("read").cast("long") * 613 % 4000).cast("int").alias("size"), (F.col("read").cast("long") * 31 % 64 % 2).cast("int").alias("strand")
+    )
+
+
+def tiled_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 rows of the tiled reads: each line of lineitem is eight overlaps of its order's read with some of the next 48.
+
+    Where both reads lie on the genome gives the offsets; quantity takes up to eleven bases from either end, and every
+    40th line's alignment stops 40 bases short. Of every sixth stretch of 60 reads only one overlap a line is there.
+    """
+    k = F.col("l_orderkey").cast("long")
+    line = table(spark, sf_dir, "lineitem")
+    at, size, strand = (lambda r: r * 100 + r * 7919 % 80), (lambda r: 3000 + r * 613 % 4000), (lambda r: r * 31 % 64 % 2)
+    line = line.withColumn("nth", F.explode(F.array(*[F.lit(i) for i in range(8)]))).where((F.col("nth") == 0) | (F.floor(F.col("l_orderkey") / 60) % 6 != 5))
+    other = k + 1 + (F.col("l_partkey") + 6 * F.col("nth")) % 48
+    short = F.when((k + F.col("l_linenumber")) % 40 == 0, 40).otherwise(0)
+    src = line.select(
+        k.alias("q"), other.alias("s"), F.round(F.lit(100.0) - F.lit(100.0) * F.col("l_discount"), 2).alias("ident"), (F.greatest(at(k), at(other)) + F.col("l_quantity").cast("int") % 12 + short).alias("lo"),
+        (F.least(at(k) + size(k), at(other) + size(other)) - (F.col("l_quantity").cast("int") + F.col("l_linenumber")) % 7).alias("hi"),
+    ).where("hi - lo >= 500")
+    q, s = F.col("q"), F.col("s")
+    off = lambda r, a, b: F.when(strand(r) == 1, at(r) + size(r) - b).otherwise(a - at(r)).cast("int")
+    lo, hi = F.col("lo"), F.col("hi")
+    return src.select(
+        q.cast("int").alias("qid"), s.cast("int").alias("sid"), "ident", F.lit(0).alias("qdir"), off(q, lo, hi).alias("qoff"), off(q, hi, lo).alias("qend"), size(q).cast("int").alias("qsize"),
+        F.when(strand(q) == strand(s), 0).otherwise(1).alias("sdir"), off(s, lo, hi).alias("soff"), off(s, hi, lo).alias("send"), size(s).cast("int").alias("ssize"),
+    )
