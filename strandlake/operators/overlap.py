@@ -114,14 +114,18 @@ def snap_ends(df: DataFrame, reach: int) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("int") for c in flat}).drop("_todo")
 
 
-def map_position(position: Column) -> Column:
-    """Where a subject position lies on the query: in proportion inside the alignment, base by base outside."""
-    p, qb, qe, sb, se = position, *(F.col(c) for c in ("qoff", "qend", "soff", "send"))
-    scaled = lambda d: (d.cast("long") * (qe - qb)) / (se - sb)
+def between(p: Column, from_lo: Column, from_hi: Column, to_lo: Column, to_hi: Column, same: Column) -> Column:
+    """Where a position of one read lies on the other: in proportion inside the alignment, base by base outside."""
+    scaled = lambda d: (d.cast("long") * (to_hi - to_lo)) / (from_hi - from_lo)
     whole = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
-    direct = F.when(p < sb, qb + (p - sb)).when(p < se, qb + whole(scaled(p - sb))).otherwise(qe + (p - se))
-    flipped = F.when(p > se, qb - (p - se)).when(p > sb, qb - whole(scaled(p - se))).otherwise(qe - (p - sb))
-    return F.when(same_direction(), direct).otherwise(flipped).cast("long")
+    direct = F.when(p < from_lo, to_lo + (p - from_lo)).when(p < from_hi, to_lo + whole(scaled(p - from_lo))).otherwise(to_hi + (p - from_hi))
+    flipped = F.when(p > from_hi, to_lo - (p - from_hi)).when(p > from_lo, to_lo - whole(scaled(p - from_hi))).otherwise(to_hi - (p - from_lo))
+    return F.when(same, direct).otherwise(flipped).cast("long")
+
+
+def map_position(position: Column) -> Column:
+    """Where a subject position lies on the query."""
+    return between(position, *(F.col(c) for c in ("soff", "send", "qoff", "qend")), same_direction())
 
 
 def swapped(df: DataFrame) -> DataFrame:

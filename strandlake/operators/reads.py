@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import kmer_number
+from ..plans.stages import Stages
+from .ids import dense_ids, running_starts
 
 #: Bases of the pieces that k-mers are cut from.
 PIECE = 256
@@ -64,30 +63,58 @@ def longest_prefix(reads: DataFrame, goal: int) -> DataFrame:
     return whole.union(last.withColumn("r", rank).where("r <= take").select("read_id", "len"))
 
 
-def volumes(reads: DataFrame, most_bases: int, most_reads: int) -> DataFrame:
-    """Volumes of consecutive reads: one closes when it has reached either limit; volume 0 is the whole.
+def _volume_starts(spark: SparkSession, reads: DataFrame, most_bases: int, most_reads: int) -> tuple[DataFrame, DataFrame]:
+    """All reads (place, read_id, before, upto) in order, and the places where a volume starts, both written.
 
-    Where a volume closes depends on all reads before it, so one task walks them in order. It streams (read_id, len)
-    pairs from a sorted exchange and keeps four numbers; nothing else of a read goes there.
+    No task walks over all reads. Every read gets its place and the bases before it from range partitions; where a
+    volume that starts with it would end is the first place with ``most_bases`` more before it, looked up in one sorted
+    exchange, or ``most_reads`` further on. From the first read on, these pointers lead from volume to volume; they are
+    doubled, so the rounds grow with the logarithm of the number of volumes.
     """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, volume, first, n, mass = [], 1, None, 0, 0
-        for batch in batches:
-            for read, length in zip(batch.column("read_id").to_pylist(), batch.column("len").to_pylist(), strict=True):
-                first = read if first is None else first
-                n, mass = n + 1, mass + length
-                if mass >= most_bases or n >= most_reads:
-                    out.append((volume, first, n, mass))
-                    volume, first, n, mass = volume + 1, None, 0, 0
-        if mass:
-            out.append((volume, first, n, mass))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["volume", "first_read", "reads", "bases"])
-
-    ordered = reads.select("read_id", "len").repartitionByRange(1, "read_id").sortWithinPartitions("read_id")
-    parts = ordered.mapInArrow(walk, "volume int, first_read long, reads long, bases long")
-    whole = reads.agg(F.min("read_id").alias("first_read"), F.count("*").alias("reads"), F.coalesce(F.sum(F.col("len").cast("long")), F.lit(0).cast("long")).alias("bases"))
-    return whole.select(F.lit(0).alias("volume"), "first_read", "reads", "bases").union(parts)
+    st = Stages(spark, "volumes")
+    placed = dense_ids(reads.select("read_id", "len"), "read_id", "place")
+    rows = st.keep(running_starts(placed, "place", "len", "before").select("place", "read_id", "before", (F.col("before") + F.col("len")).alias("upto")), "reads")
+    n = rows.count()
+    # An end is the place behind a read, at the bases up to it; an asker looks for the first end at its bases or more.
+    ends = rows.select(F.col("upto").alias("at"), (F.col("place") + 1).alias("end"), F.lit(None).cast("long").alias("asker"))
+    askers = rows.select((F.col("before") + most_bases).alias("at"), F.lit(None).cast("long").alias("end"), F.col("place").alias("asker"))
+    sorted_ = st.keep(ends.union(askers).repartitionByRange("at").withColumn("part", F.spark_partition_id()), "sorted")
+    down = Window.partitionBy("part").orderBy(F.desc("at"), F.col("asker").isNotNull(), F.desc("end"), "asker")
+    inside = F.last("end", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    # The first end of each range, and of the ranges behind it: one row a range.
+    firsts = sorted_.groupBy("part").agg(F.min("end").alias("first"))
+    behind = firsts.select("part", F.min("first").over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
+    found = sorted_.withColumn("inside", inside).where("asker is not null").join(F.broadcast(behind), "part")
+    jump = found.select(F.col("asker").alias("place"), F.least(F.coalesce("inside", "behind", F.lit(n).cast("long")), F.col("asker") + most_reads, F.lit(n).cast("long")).alias("to"))
+    jump = st.keep(jump, "jumps")
+    starts = st.keep(rows.where("place = 0").select("place"), "starts")
+    while True:
+        more = starts.join(jump, "place").where(F.col("to") < n).select(F.col("to").alias("place"))
+        grown = st.keep(starts.union(more).distinct(), "starts")
+        if grown.count() == starts.count():
+            break
+        starts = grown
+        jump = st.keep(jump.join(jump.select(F.col("place").alias("to"), F.col("to").alias("to2")), "to").select("place", F.col("to2").alias("to")), "jumps")
+    return rows, starts
+
+
+def volumes(spark: SparkSession, reads: DataFrame, most_bases: int, most_reads: int) -> DataFrame:
+    """Volumes of consecutive reads: one closes when it has reached either limit; volume 0 is the whole."""
+    rows, starts = _volume_starts(spark, reads, most_bases, most_reads)
+    whole = rows.agg(F.min("read_id").alias("first_read"), F.count("*").alias("reads"), F.coalesce(F.max("upto"), F.lit(0).cast("long")).alias("bases"))
+    first = rows.join(starts, "place").select("place", "read_id", "before")
+    up = Window.orderBy("place")  # a row a volume
+    parts = first.crossJoin(F.broadcast(whole.select("reads", "bases"))).select(
+        F.row_number().over(up).alias("volume"), F.col("read_id").alias("first_read"), (F.coalesce(F.lead("place").over(up), F.col("reads")) - F.col("place")).alias("reads"), (F.coalesce(F.lead("before").over(up), F.col("bases")) - F.col("before")).alias("bases"),
+    )
+    return whole.select(F.lit(0).alias("volume"), "first_read", "reads", "bases").union(parts.where("bases > 0"))
+
+
+def volume_of_reads(spark: SparkSession, reads: DataFrame, most_bases: int, most_reads: int) -> DataFrame:
+    """(place, read_id, volume): every read's place from 0 in the order of read_id, and its volume from 1."""
+    rows, starts = _volume_starts(spark, reads, most_bases, most_reads)
+    marked = rows.select("place", "read_id").join(starts.withColumn("begins", F.lit(1)), "place", "left").na.fill(0, ["begins"])
+    return running_starts(marked, "place", "begins", "volumes").select("place", "read_id", (F.col("volumes") + F.col("begins")).cast("int").alias("volume"))
 
 
 def kmers(reads: DataFrame, k: int, step: int = 1) -> DataFrame:

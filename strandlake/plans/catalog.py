@@ -74,7 +74,7 @@ def longest_x_prefix(s, d):
 
 @query
 def volume_split(s, d):
-    return rd.volumes(pr.reads(s, d), 100_000, 40)
+    return rd.volumes(s, pr.reads(s, d), 100_000, 40)
 
 
 @query
@@ -502,10 +502,9 @@ def common_neighbours(s, d):
 @query
 def concat_subjects(s, d):
     """All reads in read_id order as one text, by its length and sum: pieces are hashed in order, never in one task."""
-    total = Window.orderBy("bucket")
     rows = pr.reads(s, d).withColumn("bucket", F.floor(F.col("read_id") / 100))
     sums = rows.groupBy("bucket").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("read_id", "seq"))), lambda x: x["seq"]), "")).alias("sum"), F.sum(F.col("len").cast("long")).alias("bases"))
-    return sums.select("bucket", "sum", "bases", (F.sum("bases").over(total) - F.col("bases")).alias("offset"))
+    return ids.running_starts(sums, "bucket", "bases", "offset")
 
 
 @query

@@ -1,16 +1,20 @@
-"""Queries of the overlap filter over reads tiled on a genome, where coverage has its usual shape; SQL beside each."""
+"""Queries of the overlap filter, of saturation and of the read database, SQL beside each. The filter runs over reads tiled
+on a genome, where coverage has its usual shape."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import olfilter, quantiles
 from ..operators import overlap as ov
+from ..operators.saturation import base_coverage, saturating
 from ..sources import projections as pr
-from .oracles import _CONTAINED, _COVERAGE, _LAYOUTS, _ORDER, ALEN, _best, _location, _snapped
+from ..sources import seqdb
+from ..sources.projections import BASES
+from .oracles import _CONTAINED, _COVERAGE, _LAYOUTS, _ORDER, ALEN, _best, _location, _reads, _snapped
 from .stages import Stages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +137,74 @@ select qid, sid, case when (qid, sid) not in (select (qid, sid) from covered) th
 def filter_tiled(s, d):
     """All steps of the filter with coverage limits chosen from the reads, and the reason of each drop."""
     return olfilter.run(pr.tiled_overlaps(s, d), IDENTITY, OVERHANG, LENGTH, ALIGNED, BEST, DISCARD, Stages(s, "filter").keep).select("qid", "sid", "reason")
+
+
+DEPTH, LEAST_SHORT = 5, 200
+_SPANS = f"""{_TILED}, {_best('olaps', 'pairs')},
+views as (select qid as subject, sid as other, qoff as a, qend as z, {ALEN} as alen, ident from pairs union all select sid, qid, soff, send, {ALEN}, ident from pairs),
+spans as (select subject, a::bigint as a, z::bigint as z, row_number() over (partition by subject order by alen desc, ident desc, other)::integer as rank from views)"""
+_TAKEN = f"""{_SPANS},
+asked as (
+  select subject, 0 as rank, []::struct(a bigint, z bigint)[] as acc, false as won from (select distinct subject from spans)
+  union all
+  select subject, rank, case when short >= {LEAST_SHORT} then list_append(acc, struct_pack(a := a, z := z)) else acc end, short >= {LEAST_SHORT}
+  from (
+    select *, list_sum(list_transform(range(1, len(pts)), lambda i: case when len(list_filter(acc, lambda x: x.a <= pts[i] and x.z > pts[i])) < {DEPTH} then pts[i + 1] - pts[i] else 0 end)) as short
+    from (
+      select k.subject, s.rank, k.acc, s.a, s.z, list_sort(list_distinct(list_concat([s.a, s.z], list_filter(list_concat(list_transform(k.acc, lambda x: x.a), list_transform(k.acc, lambda x: x.z)), lambda p: p > s.a and p < s.z)))) as pts
+      from asked k join spans s on s.subject = k.subject and s.rank = k.rank + 1))),
+taken as (select subject, rank from asked where won)"""
+
+
+def _spans(s, d, keep):
+    views = ov.by_read(ov.best_of_pair(pr.tiled_overlaps(s, d)).withColumn("alen", ov.aligned_length()))
+    rank = F.row_number().over(Window.partitionBy("read").orderBy(F.desc("alen"), F.desc("ident"), "other"))
+    return keep(views.select(F.col("read").alias("subject"), F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("z"), rank.alias("rank")), "spans")
+
+
+@query(f"with recursive {_TAKEN} select subject, rank from taken")
+def saturation(s, d):
+    """Overlaps of every read that are taken, best first, until its coverage is full."""
+    keep = Stages(s, "saturation").keep
+    return saturating(_spans(s, d, keep), DEPTH, LEAST_SHORT, keep)
+
+
+@query(f"""with recursive {_TAKEN}, chosen as (select * from spans semi join taken using (subject, rank)),
+points as (select subject, pt, sum(d) as d from (select subject, a as pt, 1 as d from chosen union all select subject, z, -1 from chosen) group by all)
+select subject, lo, hi, depth::bigint as depth from (select subject, pt as lo, lead(pt) over w as hi, sum(d) over w as depth from points window w as (partition by subject order by pt)) where depth > 0""")
+def consensus_coverage(s, d):
+    """Coverage of every read by its taken overlaps."""
+    keep = Stages(s, "saturation").keep
+    spans = _spans(s, d, keep)
+    return base_coverage(spans.join(saturating(spans, DEPTH, LEAST_SHORT, keep), ["subject", "rank"], "left_semi"))
+
+
+DB_BASES, DB_READS, DB_LEAST = 150_000, 60, 300
+_DATABASE = f"""{_reads(BASES[:25] + 'N')}, long_reads as (select * from reads where len >= {DB_LEAST}), o as (select *, row_number() over (order by read_id) as r from long_reads),
+w as (select 1 as r, 1 as volume, 1 as n, len::bigint as mass from o where r = 1
+  union all select o.r, case when w.mass >= {DB_BASES} or w.n >= {DB_READS} then w.volume + 1 else w.volume end, case when w.mass >= {DB_BASES} or w.n >= {DB_READS} then 1 else w.n + 1 end,
+    case when w.mass >= {DB_BASES} or w.n >= {DB_READS} then o.len else w.mass + o.len end from w join o on o.r = w.r + 1),
+rows_ as (select (r - 1)::bigint as id, volume::integer as volume, read_id, len, seq from o join w using (r))"""
+
+
+def _database(s, d):
+    """A database of all reads in a folder of its own."""
+    folder = Stages(s, "database").root
+    seqdb.build(s, pr.reads(s, d, to=pr.BASES[:25] + "N").select("read_id", "seq"), folder, DB_BASES, DB_READS, DB_LEAST)
+    return folder
+
+
+@query(f"with recursive {_DATABASE} select id, volume, read_id, len, md5(regexp_replace(seq, '[^ACGT]', 'A', 'g')) as coded, md5(seq) as sum from rows_ where volume in (select volume from rows_ where regexp_matches(seq, 'NN'))")
+def database_scan(s, d):
+    """The volumes of a built database that have a run of two ambiguous codes, read alone and restored."""
+    folder = _database(s, d)
+    wanted = s.read.parquet(f"{folder}/ambiguous").where("size >= 2").select("volume")
+    rows = seqdb.scan(s, folder, wanted).withColumn("coded", F.md5("seq"))
+    return seqdb.restored(s, folder, rows).select("id", "volume", "read_id", "len", "coded", F.md5("seq").alias("sum"))
+
+
+@query(f"with recursive {_DATABASE} select volume, count(*)::bigint as reads, sum(len)::bigint as bases, min(id)::bigint as first_id, max(id)::bigint as last_id from rows_ group by volume")
+def database_volumes(s, d):
+    """What each volume of a built database holds."""
+    rows = seqdb.scan(s, _database(s, d))
+    return rows.groupBy("volume").agg(F.count("*").alias("reads"), F.sum(F.col("len").cast("long")).alias("bases"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))

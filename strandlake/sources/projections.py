@@ -117,3 +117,41 @@ def tiled_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.cast("int").alias("qid"), s.cast("int").alias("sid"), "ident", F.lit(0).alias("qdir"), off(q, lo, hi).alias("qoff"), off(q, hi, lo).alias("qend"), size(q).cast("int").alias("qsize"),
         F.when(strand(q) == strand(s), 0).otherwise(1).alias("sdir"), off(s, lo, hi).alias("soff"), off(s, hi, lo).alias("send"), size(s).cast("int").alias("ssize"),
     )
+
+
+#: Bases from one contig's begin to the next one's.
+PITCH = 6000
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """M4 rows of two pieces of a genome (q and s: id, at, size, turn) that share its bases from lo to hi."""
+    off = lambda r, a, b: F.when(F.col(f"{r}_turn") == 1, F.col(f"{r}_at") + F.col(f"{r}_size") - b).otherwise(a - F.col(f"{r}_at")).cast("int")
+    lo, hi = F.col("lo"), F.col("hi")
+    return rows.where("hi - lo >= 500").select(
+        F.col("q").cast("int").alias("qid"), F.col("s").cast("int").alias("sid"), F.lit(99.0).alias("ident"), F.lit(0).alias("qdir"), off("q", lo, hi).alias("qoff"), off("q", hi, lo).alias("qend"), F.col("q_size").cast("int").alias("qsize"),
+        F.when(F.col("q_turn") == F.col("s_turn"), 0).otherwise(1).alias("sdir"), off("s", lo, hi).alias("soff"), off("s", hi, lo).alias("send"), F.col("s_size").cast("int").alias("ssize"),
+    )
+
+
+def _contig(c: Column, prefix: str) -> list[Column]:
+    """Place, size and strand of a contig: every ninth lies within the one before, the others follow each other with a
+    gap or an overlap of some hundred bases."""
+    inner = c % 9 == 4
+    at = F.when(inner, c * PITCH - 4000).otherwise(c * PITCH + c * 37 % 500)
+    return [at.alias(f"{prefix}_at"), F.when(inner, 2000).otherwise(5800 + c * 101 % 1100).cast("long").alias(f"{prefix}_size"), (c * 5 % 3 % 2).alias(f"{prefix}_turn")]
+
+
+def contig_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 rows of the tiled reads on contigs of their genome, a few bases short at either end."""
+    reads = tiled_reads(spark, sf_dir).select(F.col("read").cast("long").alias("q"), F.col("pos").alias("q_at"), F.col("size").cast("long").alias("q_size"), F.col("strand").alias("q_turn"))
+    near = reads.select("*", F.explode(F.array(*[F.floor(F.col("q_at") / PITCH) + i for i in (-1, 0, 1, 2)])).alias("s")).where("s >= 0")
+    rows = near.select("*", *_contig(F.col("s"), "s"))
+    lo, hi = F.greatest("q_at", "s_at") + F.col("q") % 9, F.least(F.col("q_at") + F.col("q_size"), F.col("s_at") + F.col("s_size")) - F.col("q") * 3 % 7
+    return _placed(rows.withColumns({"lo": lo, "hi": hi}))
+
+
+def contig_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 rows of the contigs that a tiled read begins in and the two next ones."""
+    begun = tiled_reads(spark, sf_dir).select(F.floor(F.col("pos") / PITCH).alias("q")).distinct()
+    rows = begun.select("q", F.explode(F.array(F.col("q") + 1, F.col("q") + 2)).alias("s")).select("*", *_contig(F.col("q"), "q"), *_contig(F.col("s"), "s"))
+    return _placed(rows.withColumns({"lo": F.greatest("q_at", "s_at"), "hi": F.least(F.col("q_at") + F.col("q_size"), F.col("s_at") + F.col("s_size"))}))

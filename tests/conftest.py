@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.codegen.fallback", "false").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
