@@ -99,12 +99,11 @@ def read_links(hits: DataFrame, err: int) -> DataFrame:
     same0, same1 = F.col("qdir0") == F.col("sdir0"), F.col("qdir1") == F.col("sdir1")
     c = F.col
 
-    def on_target(p: Column) -> Column:
-        on_read = between(p, c("soff0"), c("send0"), c("qoff0"), c("qend0"), same0)
-        return between(on_read, c("qoff1"), c("qend1"), c("soff1"), c("send1"), same1)
-
-    at = {f"pos{i}": on_target(p) for i, p in enumerate((F.lit(0), c("soff0"), c("send0"), c("ssize0")))}
-    rows = both.where(fits).select(c("sid0").alias("c0"), c("sid1").alias("c1"), "read", (same0 == same1).alias("same"), c("ssize0").alias("len0"), c("ssize1").alias("len1"), c("soff1").alias("start1"), c("send1").alias("end1"), *[v.alias(k) for k, v in at.items()])
+    # Positions on the read, then on the target, as columns of their own: each is used many times in the next step.
+    ends = (F.lit(0), c("soff0"), c("send0"), c("ssize0"))
+    on_read = both.where(fits).withColumns({f"on_read{i}": between(p, c("soff0"), c("send0"), c("qoff0"), c("qend0"), same0) for i, p in enumerate(ends)})
+    at = [between(c(f"on_read{i}"), c("qoff1"), c("qend1"), c("soff1"), c("send1"), same1).alias(f"pos{i}") for i in range(4)]
+    rows = on_read.select(c("sid0").alias("c0"), c("sid1").alias("c1"), "read", (same0 == same1).alias("same"), c("ssize0").alias("len0"), c("ssize1").alias("len1"), c("soff1").alias("start1"), c("send1").alias("end1"), *at)
     return _ends_on_target(rows).select(*LINK).withColumn("loc", link_location(err))
 
 

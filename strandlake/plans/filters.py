@@ -139,7 +139,7 @@ def filter_tiled(s, d):
     return olfilter.run(pr.tiled_overlaps(s, d), IDENTITY, OVERHANG, LENGTH, ALIGNED, BEST, DISCARD, Stages(s, "filter").keep).select("qid", "sid", "reason")
 
 
-DEPTH, LEAST_SHORT = 5, 200
+DEPTH, LEAST_SHORT = 2, 500
 _SPANS = f"""{_TILED}, {_best('olaps', 'pairs')},
 views as (select qid as subject, sid as other, qoff as a, qend as z, {ALEN} as alen, ident from pairs union all select sid, qid, soff, send, {ALEN}, ident from pairs),
 spans as (select subject, a::bigint as a, z::bigint as z, row_number() over (partition by subject order by alen desc, ident desc, other)::integer as rank from views)"""
