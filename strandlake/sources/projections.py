@@ -119,6 +119,24 @@ def tiled_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def turned_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 rows of the tiled reads where some turn back on themselves, with every overlap of both their halves.
+
+    Every seventh read goes on over 20 to 719 bases of an adapter and back over itself, every eleventh other one is its
+    own reverse: its overlaps come on both strands.
+    """
+
+    def halves(read: str, a: str, b: str, n: str) -> Column:
+        r, lo, hi, size = (F.col(c) for c in (read, a, b, n))
+        half = lambda x, y, z, turn: F.struct(x.cast("int").alias("a"), y.cast("int").alias("b"), z.cast("int").alias("n"), F.lit(turn).alias("turn"))
+        whole = 2 * size + 20 + r.cast("long") * 37 % 700
+        return F.when(r % 7 == 3, F.array(half(lo, hi, whole, 0), half(whole - hi, whole - lo, whole, 1))).when(r % 11 == 5, F.array(half(lo, hi, size, 0), half(lo, hi, size, 1))).otherwise(F.array(half(lo, hi, size, 0)))
+
+    q, s = halves("qid", "qoff", "qend", "qsize"), halves("sid", "soff", "send", "ssize")
+    rows = tiled_overlaps(spark, sf_dir).withColumn("q", F.explode(q)).withColumn("s", F.explode(s))
+    return rows.select("qid", "sid", "ident", "qdir", F.col("q.a").alias("qoff"), F.col("q.b").alias("qend"), F.col("q.n").alias("qsize"), ((F.col("sdir") + F.col("q.turn") + F.col("s.turn")) % 2).alias("sdir"), F.col("s.a").alias("soff"), F.col("s.b").alias("send"), F.col("s.n").alias("ssize"))
+
+
 #: Bases from one contig's begin to the next one's.
 PITCH = 6000
 
