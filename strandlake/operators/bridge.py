@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import end_id
+from ..functions.sequence import end_id, reverse_complement
 from .overlap import between, location, other_view
 
 
@@ -107,6 +107,73 @@ def read_links(hits: DataFrame, err: int) -> DataFrame:
     return _ends_on_target(rows).select(*LINK).withColumn("loc", link_location(err))
 
 
+def bridges(found: DataFrame, hits: DataFrame, direct: DataFrame, bunches: DataFrame) -> DataFrame:
+    """(c0, c1, gap, read, from_, to, turned) of each chosen link (``best_bunches``) to the left or right.
+
+    gap: bases from the end of c0 that lies nearer c1 to the end of c1 that lies nearer c0, below 0 where they overlap.
+    A link by reads has it from its session's first read (of several hits the smallest gap), with the part of the read
+    between the two ends, turned if the read runs from c1 to c0. A direct one overlaps as its longest agreeing link does,
+    and has no read.
+    """
+    c = F.col
+    rank = F.struct("links", c("same").alias("r1"), (-c("session")).alias("r2"))
+    first = found.groupBy("c0", "c1").agg(F.max_by(F.struct("same", "read"), rank).alias("b")).select("c0", "c1", "b.*")
+    chosen = bunches.where("kind = 'reads' and loc in ('Left', 'Right')").select("c0", "c1", "same", "loc").join(first, ["c0", "c1", "same"])
+    left = c("loc") == "Left"
+
+    def end_on_read(df: DataFrame, contig: str, at_end: Column, name: str) -> DataFrame:
+        """Where a contig's end (or, where not ``at_end``, its begin) lies on the read."""
+        own = hits.select(c("qid").alias("read"), c("sid").alias(contig), (c("qdir") == c("sdir")).alias(f"{name}_same"), "qoff", "qend", "soff", "send", "ssize")
+        place = between(F.when(at_end, c("ssize")).otherwise(F.lit(0)), c("soff"), c("send"), c("qoff"), c("qend"), c(f"{name}_same"))
+        return df.join(own, ["read", contig]).withColumn(name, place).drop("qoff", "qend", "soff", "send", "ssize")
+
+    ends = end_on_read(end_on_read(chosen, "c0", left == c("same"), "near0"), "c1", ~left, "near1")
+    up = left == c("near1_same")
+    spans = ends.select("c0", "c1", "read", F.when(up, c("near1") - c("near0")).otherwise(c("near0") - c("near1")).alias("gap"), F.least("near0", "near1").alias("from_"), F.greatest("near0", "near1").alias("to"), (~up).alias("turned"))
+    read = spans.groupBy("c0", "c1", "read").agg(F.min(F.struct("gap", "from_", "to", "turned")).alias("g")).select("c0", "c1", "g.gap", "read", "g.from_", "g.to", "g.turned")
+    over = F.when(F.col("loc") == "Left", -F.col("hi")).otherwise(F.col("lo") - F.col("len1")).alias("gap")
+    longest = F.max_by("gap", F.struct("aligned", (-F.col("pos0")).alias("k"))).alias("gap")
+    pairs = bunches.where("kind = 'direct' and loc in ('Left', 'Right')").select("c0", "c1", "same", "loc")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("read", "int"), ("from_", "long"), ("to", "long"), ("turned", "boolean"))]
+    meet = direct.join(pairs, ["c0", "c1", "same", "loc"]).select("c0", "c1", "aligned", "pos0", over).groupBy("c0", "c1").agg(longest).select("c0", "c1", "gap", *none)
+    return read.unionByName(meet)
+
+
+def layout(paths: DataFrame, edges: DataFrame, joints: DataFrame, contigs: DataFrame, contained: DataFrame) -> DataFrame:
+    """(path, nth, kind, id, start, end, turned): what every bridged contig is made of, in order.
+
+    A path of the contig graph begins with its first contig; each edge adds the read between the two contigs where they
+    leave a gap, and the next contig, without what it shares with the one before. Of a path and its reverse one is laid
+    out. Contigs (contig, len) in no path, and not ``contained``, stand alone.
+    """
+    steps = paths.where("forward").join(edges.select("eid", "src", "dst"), "eid")
+    here, there = F.abs("src") - 1, F.abs("dst") - 1
+    steps = steps.withColumns({"c0": F.least(here, there), "c1": F.greatest(here, there), "back": here > there, "next": there}).join(joints, ["c0", "c1"])
+    sized = steps.join(contigs.withColumnRenamed("contig", "next"), "next")
+    cut = F.least(F.greatest(-F.col("gap"), F.lit(0)), F.col("len"))
+    zero = F.lit(0).cast("long")
+    piece = lambda nth, kind, id_, start, end, turned: F.struct(nth.cast("long").alias("nth"), F.lit(kind).alias("kind"), id_.cast("long").alias("id"), start.cast("long").alias("start"), end.cast("long").alias("end"), turned.alias("turned"))
+    fill = F.when(F.col("gap") > 0, F.array(piece(F.col("pos") * 2 + 1, "read", F.col("read"), F.col("from_"), F.col("to"), F.col("turned") != F.col("back")))).otherwise(F.array())
+    grown = piece(F.col("pos") * 2 + 2, "contig", F.col("next"), F.when(F.col("dst") < 0, cut).otherwise(zero), F.when(F.col("dst") < 0, F.col("len")).otherwise(F.col("len") - cut), F.col("dst") > 0)
+    tail = sized.select("path", F.explode(F.concat(fill, F.array(grown))).alias("p")).select("path", "p.*")
+    heads = steps.where("pos = 0").select("path", "src", (F.abs("src") - 1).alias("contig")).join(contigs, "contig")
+    head = heads.select("path", piece(zero, "contig", F.col("contig"), zero, F.col("len"), F.col("src") > 0).alias("p")).select("path", "p.*")
+    used = edges.select((F.abs("src") - 1).alias("contig")).union(edges.select(F.abs("dst") - 1)).distinct()
+    alone = contigs.join(used, "contig", "left_anti").join(contained, "contig", "left_anti")
+    single = alone.select(F.col("contig").cast("string").alias("path"), piece(zero, "contig", F.col("contig"), zero, F.col("len"), F.lit(False)).alias("p")).select("path", "p.*")
+    return head.unionByName(tail).unionByName(single)
+
+
+def spelled(pieces: DataFrame, contigs: DataFrame, reads: DataFrame, least: int = 500) -> DataFrame:
+    """(path, len, seq) of each laid out contig of ``least`` bases. contigs, reads: id, seq. Pieces are cut out of their
+    sequences before they meet."""
+    of = contigs.select(F.lit("contig").alias("kind"), "id", "seq").unionByName(reads.select(F.lit("read").alias("kind"), "id", "seq"))
+    part = F.substring("seq", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    cut = pieces.join(of, ["kind", "id"]).select("path", "nth", F.when(F.col("turned"), reverse_complement(part)).otherwise(part).alias("piece"))
+    whole = cut.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("nth", "piece"))).alias("p"))
+    return whole.select("path", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("seq")).select("path", F.length("seq").alias("len"), "seq").where(F.col("len") >= least)
+
+
 def direct_links(hits: DataFrame, err: int) -> DataFrame:
     """Links (LINK without a read, loc, aligned) of contigs that overlap each other: hits of contigs on contigs."""
     c = F.col
@@ -167,12 +234,18 @@ def best_bunches(found: DataFrame, direct: DataFrame, reach: int) -> DataFrame:
     return alone.select("c0", "c1", "b.*", F.lit("reads").alias("kind")).unionByName(both.select("c0", "c1", "b.*", F.lit("direct").alias("kind")))
 
 
+def contained_contigs(bunches: DataFrame) -> DataFrame:
+    """Contigs that lie in another one. Of equal contigs the larger id does."""
+    loc = F.col("loc")
+    inner = F.when(loc == "Containing", F.col("c1")).when(loc == "Contained", F.col("c0")).when(loc == "Equal", F.greatest("c0", "c1"))
+    return bunches.select(inner.alias("contig")).where("contig is not null").distinct()
+
+
 def contig_graph(bunches: DataFrame) -> DataFrame:
     """Edges (eid, rid, src, dst, score) between contig ends: two, each the other's reverse, for every link between
     contigs that lie in no other. Of equal contigs the larger id goes."""
     loc = F.col("loc")
-    inner = F.when(loc == "Containing", F.col("c1")).when(loc == "Contained", F.col("c0")).when(loc == "Equal", F.greatest("c0", "c1"))
-    gone = bunches.select(inner.alias("contig")).where("contig is not null").distinct()
+    gone = contained_contigs(bunches)
     rows = bunches.where("loc in ('Left', 'Right')")
     for side in ("c0", "c1"):
         rows = rows.join(gone.select(F.col("contig").alias(side)), side, "left_anti")

@@ -163,3 +163,47 @@ def contig_paths(s, d):
     """Paths over the best supported links of the contig graph, with their reverses."""
     keep = Stages(s, "contig_paths").keep
     return pathgraph.chosen_paths(keep(bridge.contig_graph(_bunches(s, d, keep)), "edges"), keep)
+
+
+_LAYOUT = f"""{_GRAPH},
+o as (select src as node, count(*) as n, arg_min(eid, struct_pack(a := -score, b := name)) as best from cedges group by src),
+i as (select dst as node, count(*) as n, arg_min(eid, struct_pack(a := -score, b := name)) as best from cedges group by dst),
+joins as (select i.best as e, o.best as next from i join o using (node) where i.n = 1 or o.n = 1),
+line as (
+  select eid as path, eid, 0 as pos from cedges where eid not in (select next from joins)
+  union all select l.path, k.next, l.pos + 1 from line l join joins k on k.e = l.eid),
+least_of as (select path, min(eid) as a, min(rid) as b from line join cedges using (eid) group by path),
+first_reads as (select * from (select *, row_number() over (partition by c0, c1 order by links desc, same desc, session) as r from found) where r = 1),
+near_ends as (
+  select u.c0, u.c1, u.loc, f.read, (u.loc = 'Left') = (b.qdir = b.sdir) as up,
+    case when (u.loc = 'Left') = u.same then {_between('a.ssize', 'a.soff', 'a.send', 'a.qoff', 'a.qend', '(a.qdir = a.sdir)')} else {_between('0', 'a.soff', 'a.send', 'a.qoff', 'a.qend', '(a.qdir = a.sdir)')} end as d0,
+    case when u.loc = 'Left' then {_between('0', 'b.soff', 'b.send', 'b.qoff', 'b.qend', '(b.qdir = b.sdir)')} else {_between('b.ssize', 'b.soff', 'b.send', 'b.qoff', 'b.qend', '(b.qdir = b.sdir)')} end as d1
+  from bunches u join first_reads f on f.c0 = u.c0 and f.c1 = u.c1 and f.same = u.same join placed a on a.qid = f.read and a.sid = u.c0 join placed b on b.qid = f.read and b.sid = u.c1
+  where u.kind = 'reads' and u.loc in ('Left', 'Right')),
+joints as (
+  select c0, c1, case when up then d1 - d0 else d0 - d1 end as gap, read, least(d0, d1) as from_, greatest(d0, d1) as upto, not up as turned from near_ends
+  union all
+  select c0, c1, arg_max(case when loc = 'Left' then -hi else lo - len1 end, struct_pack(a := aligned, b := -pos0)), null, null, null, null
+  from direct semi join (select c0, c1, same, loc from bunches where kind = 'direct' and loc in ('Left', 'Right')) using (c0, c1, same, loc) group by c0, c1),
+sizes as (select distinct s as contig, s_size::bigint as len from near),
+steps as (
+  select path, pos, src, dst, abs(dst) - 1 as nxt, j.*, abs(src) > abs(dst) as back, z.len, least(greatest(-j.gap, 0), z.len) as cut
+  from line join least_of using (path) join cedges using (eid) join joints j on j.c0 = least(abs(src), abs(dst)) - 1 and j.c1 = greatest(abs(src), abs(dst)) - 1 join sizes z on z.contig = abs(dst) - 1 where a <= b),
+pieces as (
+  select path, 0 as nth, 'contig' as kind, abs(src) - 1 as id, 0 as start, z.len as "end", src > 0 as turned from steps join sizes z on z.contig = abs(src) - 1 where pos = 0
+  union all select path, 2 * pos + 1, 'read', read, from_, upto, turned <> back from steps where gap > 0
+  union all select path, 2 * pos + 2, 'contig', nxt, case when dst < 0 then cut else 0 end, case when dst < 0 then len else len - cut end, dst > 0 from steps
+  union all select contig::varchar, 0, 'contig', contig, 0, len, false from sizes where contig not in (select abs(src) - 1 from cedges) and contig not in (select contig from gone))"""
+
+
+@query(f'with recursive {_LAYOUT} select path, nth::bigint as nth, kind, id::bigint as id, start::bigint as start, "end"::bigint as "end", turned from pieces')
+def bridged_layout(s, d):
+    """What every bridged contig is made of: contigs, and reads where two of them leave a gap."""
+    keep = Stages(s, "layout").keep
+    hits = keep(pr.contig_hits(s, d), "hits")
+    found = keep(bridge.supported_sessions(keep(bridge.read_links(hits, ERR), "links"), GAP, ERR, LEAST), "sessions")
+    direct = keep(bridge.direct_links(keep(pr.contig_overlaps(s, d), "rows"), ERR), "direct")
+    bunches = keep(bridge.best_bunches(found, direct, REACH), "bunches")
+    edges = keep(bridge.contig_graph(bunches), "edges")
+    contigs = pr.contigs(s, d)
+    return bridge.layout(pathgraph.chosen_paths(edges, keep), edges, keep(bridge.bridges(found, hits, direct, bunches), "joints"), contigs, bridge.contained_contigs(bunches))

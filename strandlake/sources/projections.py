@@ -173,3 +173,10 @@ def contig_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     begun = tiled_reads(spark, sf_dir).select(F.floor(F.col("pos") / PITCH).alias("q")).distinct()
     rows = begun.select("q", F.explode(F.array(F.col("q") + 1, F.col("q") + 2)).alias("s")).select("*", *_contig(F.col("q"), "q"), *_contig(F.col("s"), "s"))
     return _placed(rows.withColumns({"lo": F.greatest("q_at", "s_at"), "hi": F.least(F.col("q_at") + F.col("q_size"), F.col("s_at") + F.col("s_size"))}))
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, len) of the contigs that a tiled read begins in, of the one before and of the two next ones."""
+    begun = tiled_reads(spark, sf_dir).select(F.floor(F.col("pos") / PITCH).alias("at"))
+    near = begun.select(F.explode(F.array(*[F.col("at") + i for i in (-1, 0, 1, 2)])).alias("contig")).where("contig >= 0").distinct()
+    return near.select("contig", *_contig(F.col("contig"), "c")).select("contig", F.col("c_size").alias("len"))
