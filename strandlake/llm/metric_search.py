@@ -5,7 +5,8 @@ inner product is a smaller distance: |q' - x'|**2 = |q|**2 + M - 2 q.x. In that
 M-tree of three levels: routing vectors from a bounded sample, pages of up to ``PAGE`` vectors under the nearest routing
 vector, and the vectors. A page stores its own routing vector, covering radius, distance to its parent, and each
 member's distance to the page's routing vector. Stored distances and the triangle inequality rule out pages and members
-before any distance to them is computed; scores of the others are exact integers.
+before any distance to them is computed; scores of the others are exact integers. Where scores may pass 2**52, doubles
+no longer hold them: bounds then leave room for rounding, and scores that may count are computed again as Python integers.
 
 Pages are rows of a written table, so a hot cluster is many pages in many tasks. Queries come in blocks.
 """
@@ -107,12 +108,23 @@ def build(vectors: DataFrame, routers: np.ndarray, top: float, scratch: Scratch,
     return scratch.table(dealt.mapInArrow(pages, PAGE_SCHEMA), "pages")
 
 
+def wide_slack(dim: int) -> float:
+    """How far a distance in doubles may be off, against the length of its vectors: differences of squares lose half of
+    the digits."""
+    return 8 * (dim * 2.0**-52) ** 0.5
+
+
+def rounding(dim: int, a: float, b: float) -> float:
+    """How far an inner product in doubles may be off, for vectors of squared lengths ``a`` and ``b``."""
+    return 4 * (dim + 2) * 2.0**-52 * (a * b) ** 0.5
+
+
 class Tree:
     """The pages of one task under their routing vectors."""
 
-    def __init__(self, pages: list[dict], routers: np.ndarray, top: float):
+    def __init__(self, pages: list[dict], routers: np.ndarray, top: float, wide: bool = False):
         dim = routers.shape[1]
-        self.top = top
+        self.top, self.wide = top, wide
         self.groups = []
         by_router: dict[int, list[dict]] = {}
         for p in pages:
@@ -121,15 +133,19 @@ class Tree:
             keys = lift(np.stack([np.frombuffer(p["own"], np.int64) for p in own]).astype(float), top)
             radius, to_parent = (np.array([p[k] for p in own]) for k in ("radius", "to_parent"))
             leaves = [(np.frombuffer(p["ids"], np.int64), np.frombuffer(p["members"], np.int64).reshape(-1, dim), np.frombuffer(p["to_own"])) for p in own]
-            self.groups.append((r, keys, radius, to_parent, [(i, x.astype(float), d) for i, x, d in leaves]))
+            self.groups.append((r, keys, radius, to_parent, [(i, x if wide else x.astype(float), d) for i, x, d in leaves]))
         self.routers = lift(routers, top)[[g[0] for g in self.groups]]
         self.cover = np.array([(g[2] + g[3]).max() for g in self.groups])
 
     def search(self, query_id: int, q: np.ndarray, k: int, bound: float, counts: list[int]) -> list[tuple[int, int]]:
-        """The task's best (score, vec_id) of one query; ``bound``: a score that k vectors are known to reach."""
+        """The task's best (score, vec_id) of one query; ``bound``: a score that k vectors are known to reach.
+
+        ``q`` holds doubles, or 64-bit integers where scores are wide."""
+        whole, q = q.tolist(), q.astype(float, copy=False)
         point = np.append(q, 0.0)
         length = q @ q + self.top
-        slack = 1e-7 * (1.0 + np.sqrt(length))
+        slack = (wide_slack(len(q)) if self.wide else 1e-7) * (1.0 + np.sqrt(length))
+        loose = rounding(len(q), q @ q, self.top) if self.wide else 0.0
         best: list[tuple[int, int]] = []  # a heap of (score, -vec_id)
         limit = np.sqrt(max(0.0, length - 2 * bound)) + slack if bound > -np.inf else np.inf
         to_router = np.sqrt(((self.routers - point) ** 2).sum(1))
@@ -157,14 +173,15 @@ class Tree:
                 continue
             near = near[ids[near] != query_id]
             counts[0] += len(near)
-            scores = x[near] @ q
+            scores = x[near].astype(float, copy=False) @ q
             if len(best) == k and limit < np.inf:
-                keep = scores >= best[0][0]
+                keep = scores >= best[0][0] - loose
                 near, scores = near[keep], scores[keep]
             if len(scores) > 4 * k:
-                cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+                cut = np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * loose
                 near, scores = near[scores >= cut], scores[scores >= cut]
-            for s, v in zip(scores.tolist(), ids[near].tolist(), strict=True):
+            exact = [sum(a * b for a, b in zip(m, whole, strict=True)) for m in x[near].tolist()] if self.wide else scores.tolist()
+            for s, v in zip(exact, ids[near].tolist(), strict=True):
                 item = (int(s), -v)
                 if len(best) < k:
                     heapq.heappush(best, item)
@@ -175,6 +192,11 @@ class Tree:
         return [(s, -v) for s, v in best]
 
 
+def ordered(score: int) -> bytes:
+    """Bytes of a score of up to 191 bits that compare as the scores do."""
+    return (score + (1 << 191)).to_bytes(24, "big")
+
+
 def top_k(spark: SparkSession, vectors: DataFrame, query: str, k: int = 5, scale: int = 256) -> DataFrame:
     """The ``k`` highest integer inner products of every query row: query_id, rank (from 1), vec_id, score.
 
@@ -183,6 +205,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, query: str, k: int = 5, scale
     non-finite components, or have a null vec_id take no part; so do those whose length is not the most common (ties:
     the longest). Candidates are all rows with another vec_id; repeated rows are candidates of their own, a repeated
     query row counts once. Ties go to the smaller vec_id. Fewer candidates give fewer rows; an empty table gives none.
+    Huge components are allowed: those beyond 64 bits become the nearest 64-bit integer, scores of any size are ranked
+    exactly, and scores beyond 64 bits are returned as the nearest 64-bit integer.
     """
     scratch = Scratch(spark, "metric")
     # As double before the product, so that a 32-bit component is not rounded twice.
@@ -196,8 +220,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, query: str, k: int = 5, scale
     rows = scratch.table(rows.where(F.size("v") == size["size"]), "vectors")
     square = F.aggregate("v", F.lit(0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
     total, top = rows.agg(F.count("*"), F.max(square)).first()
-    if size["size"] * top >= 1 << 52:
-        raise ValueError("scores of these vectors are too large for exact arithmetic in 64 bits")
+    wide = size["size"] * top >= 1 << 52  # scores that doubles do not hold
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # a bounded sample
     sample_ids, sample_x = np.array([r["vec_id"] for r in sample]), np.array([r["v"] for r in sample], float)
     lifted = lift(sample_x, top)
@@ -213,28 +236,31 @@ def top_k(spark: SparkSession, vectors: DataFrame, query: str, k: int = 5, scale
         own = sorted((r["vec_id"], r["v"]) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect())
         if not own:
             continue
-        ids, q = np.array([r[0] for r in own]), np.array([r[1] for r in own], float)
+        ids, q = np.array([r[0] for r in own]), np.array([r[1] for r in own], np.int64 if wide else float)
         # k vectors of the sample already reach this score, so nothing under it needs to be looked at.
-        scores = q @ sample_x.T
+        scores = q.astype(float) @ sample_x.T
         scores[ids[:, None] == sample_ids] = -np.inf
         bounds = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+        if wide:
+            bounds = bounds - 2 * rounding(q.shape[1], (q.astype(float) ** 2).sum(1), top)
         sent = spark.sparkContext.broadcast((ids, q, bounds, routers))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q, bounds, routers = sent.value
             bounds = bounds.copy()
             for batch in batches:
-                tree, found = Tree(batch.to_pylist(), routers, float(top)), []
+                tree, found = Tree(batch.to_pylist(), routers, float(top), wide), []
                 for i in range(len(ids)):
                     got = tree.search(int(ids[i]), q[i], k, bounds[i], [0])
                     if len(got) == k:
                         bounds[i] = max(bounds[i], min(got)[0])
-                    found += [(int(ids[i]), v, s) for s, v in got]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
+                    found += [(int(ids[i]), v, min(max(s, -(1 << 63)), (1 << 63) - 1), ordered(s) if wide else None) for s, v in got]
+                columns = zip(*found, strict=True) if found else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["query_id", "vec_id", "score", "exact"])
 
-        part = pages.repartition(partitions, "page").mapInArrow(search, "query_id long, vec_id long, score long")
+        part = pages.repartition(partitions, "page").mapInArrow(search, "query_id long, vec_id long, score long, exact binary")
         # Each task sends at most k rows a query and batch, and cuts them to k before the shuffle (window group limit).
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact" if wide else "score"), "vec_id"))
         best = part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         # A block's results are written before the next is collected.
         found.append(scratch.path("found"))

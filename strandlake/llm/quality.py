@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import Scratch, kept, mix64, texts_of
+from .common import Scratch, kept, mix64, spread_join, texts_of
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
 #: Labelled rows used at most for the target model and the share of good rows; the first by a hash of their id.
 SAMPLE = 20_000
-#: A text is one of many copies where more than one row in so many is that text.
-COPIED = 10_000
+#: Hashes of copied texts that are broadcast at most; beyond, they are joined by a shuffle.
+FEW = 1_000_000
 #: Sightings of a bucket in raw text at which its ratio counts half.
 RARE = 5.0
 _MARKS = ".,;:!?()[]{}\"'«»„“”‘’…*_-–—/\\|#$%&+=<>~^@"
@@ -83,16 +83,21 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (mix64(every) % np.uint64(BUCKETS)).astype(np.int64), of
 
 
-def with_shares(texts: DataFrame) -> DataFrame:
-    """text and share: 1 over the number of exact copies for texts of many copies, else 1.
+def with_shares(texts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """text and share of all texts but null ones: 1 over the number of rows with that text.
 
-    Many are more than one row in COPIED; such texts are fewer than COPIED, so their hashes are broadcast. All copies
-    of a text together then say as much as one, and a clean text does not look unlike the target for being copied.
+    All copies of a text together say as much as one, however many rows the table has, and a clean text does not look
+    unlike the target for being copied. Only hashes of copied texts are joined: up to FEW by broadcast, more by a
+    shuffle that leaves the rows of hot ones where they are.
     """
-    hashed = texts.select("text", F.xxhash64("text").alias("h"))
-    sizes = hashed.where("text is not null").groupBy("h").agg(F.count("*").alias("n"))
-    many = sizes.where(F.col("n") > max(1, texts.count() // COPIED))
-    return hashed.join(F.broadcast(many), "h", "left").select("text", (1.0 / F.coalesce("n", F.lit(1))).alias("share"))
+    hashed = texts.where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    scratch = scratch or Scratch(texts.sparkSession, "shares")
+    copied = scratch.table(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", "n", (1.0 / F.col("n")).alias("part")), "copied")
+    if copied.count() <= FEW:
+        joined = hashed.join(F.broadcast(copied.drop("n")), "h", "left")
+    else:
+        joined = spread_join(hashed, copied, ["h"], "n", int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left")
+    return joined.select("text", F.coalesce("part", F.lit(1.0)).alias("share"))
 
 
 def counted(texts: DataFrame) -> np.ndarray:
@@ -201,7 +206,7 @@ def weighed(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Sc
         return out, out.count()
     target = table.where("quality > 0").select("text", F.lit(1.0).alias("share"))
     # The target is part of the raw text: the bound on what one n-gram can say keeps unseen ones from deciding alone.
-    out = scratch.table(with_log_weights(spark, docs, log_ratios(counted(target), counted(with_shares(own))), weight, size), "weights")
+    out = scratch.table(with_log_weights(spark, docs, log_ratios(counted(target), counted(with_shares(own, scratch))), weight, size), "weights")
     # At most ``sample`` labelled rows (and rows that repeat their ids).
     known = out.select(F.col("doc_id").cast("long").alias("doc_id"), weight).join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min(weight).alias("w"), F.min("quality").alias("q")).collect()
     a, b = calibrated([(r["w"], int(r["q"] > 0)) for r in known])

@@ -59,6 +59,23 @@ def brute_top(vectors, queries, k):
     return sorted(out, key=repr)
 
 
+def test_metric_search_of_huge_components(spark, monkeypatch):
+    """Scores that doubles do not hold are ranked as exact integers; scores beyond 64 bits come back at its ends."""
+    monkeypatch.setattr(ms, "SAMPLE", 64)
+    rng = random.Random(3)
+    near = [(i, [float(2**41 + rng.choice([0, 1, 1 << 20])) * (1 if i % 3 else -1), float(rng.randrange(-(2**41), 2**41))]) for i in range(700)]
+    ends = (-(1 << 63), (1 << 63) - 1)
+    for vectors in (near, [*near, (700, [1e9] * 2), (750, [1e300, -1e17]), (751, [-1e300, 1e308])]):
+        whole = {i: [min(max(int(np.floor(x)) * 256 if abs(x) < 2**70 else int(x), ends[0]), ends[1]) for x in v] for i, v in vectors}
+        want = []
+        for q in range(0, 800, 50):
+            if q in whole:
+                found = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+                want += [(q, r + 1, i, min(max(-s, ends[0]), ends[1])) for r, (s, i) in enumerate(found)]
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+        assert rows(ms.top_k(spark, df, "vec_id % 50 = 0", 5), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_metric_search(spark, monkeypatch):
     monkeypatch.setattr(ms, "SAMPLE", 64)
     rng = random.Random(1)
@@ -389,6 +406,17 @@ def test_copies_of_a_text_count_once_in_the_raw_model(spark):
     assert got.max() <= 2.0 and abs(got.sum() - len(ql.ngrams(["a b", "c d"])[0])) < 1e-4
 
 
+def test_shares_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    pair = [("a b",)] * 2 + [("e f",)] * 300 + [("",)] * 150 + [(None,)]
+    few = ql.with_shares(spark.createDataFrame(pair, "text string"))
+    many = spark.createDataFrame(pair, "text string").union(spark.range(30_000).selectExpr("concat('t', id)"))
+    monkeypatch.setattr(ql, "FEW", 1)  # the shuffled way
+    for shares in (few, ql.with_shares(many)):
+        got = {tuple(r): r["n"] for r in shares.groupBy("text", "share").agg(F.count("*").alias("n")).where("text in ('a b', 'e f', '', 't7')").select("text", "share", "n").collect()}
+        got.pop(("t7", 1.0, 1), None)
+        assert set(got) == {("a b", 0.5, 2), ("e f", 1 / 300, 300), ("", 1 / 150, 150)}
+
+
 def test_noise_draws_in_proportion_to_weights(spark):
     """Of two kinds whose weights are as 3 to 1, a draw takes about three of one for one of the other."""
     frame = spark.createDataFrame([(i, f"t{i}", float(np.log(3)) if i % 2 else 0.0) for i in range(20_000)], "doc_id long, text string, w double")
