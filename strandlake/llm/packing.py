@@ -22,8 +22,9 @@ from .tokenizing import encoder, slices
 
 #: Ranks that are sent to all executors (24 bytes each): up to so many; beyond, pieces are joined with them by a shuffle.
 FEW = 1_000_000
-#: Dominated fillings that a completion looks at in a row before it gives up.
-LOOKS = 500
+#: Limits of the search unless the caller sets others: nodes, nodes without a better packing after a dive, and dominated
+#: fillings that a completion looks at in a row.
+NODES, PATIENCE, LOOKS = 20_000, 2_000, 500
 #: Tables of reachable sums that the search holds at once (2 MB each at most).
 TABLES = 32
 #: A group of equal bins: the pieces of one bin as {length: how many}, and how many bins.
@@ -143,14 +144,15 @@ def dominated(filling: tuple[int, ...], slack: int, stock: Stock) -> bool:
     return bool(slack and free & _smeared(one << 1, slack - 1)) or bool(free & _smeared(several, slack))
 
 
-def undominated(stock: Stock, room: int, tables: deque[list] | None = None) -> Iterator[tuple[int, ...]]:
-    """All undominated fillings of ``room``, the fullest first, made as they are asked for.
+def undominated(stock: Stock, room: int, tables: deque[list] | None = None, looks: float = LOOKS) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room``, the fullest first, made as they are asked for.
 
     A piece as long as the room dominates every other filling. Pairs that fill the room come from the bits of the
     lengths and their mirror, those of the most equal pieces first, so that short pieces last. Then come all others,
     by the sums that can be reached with the lengths up to each: no step of theirs leads nowhere. ``tables`` holds the
     sums of the latest searches; those of earlier ones are dropped, and made again when more fillings are asked for.
-    Where LOOKS fillings in a row are dominated, the rest are not looked at.
+    Where ``looks`` fillings in a row are dominated, the rest are not looked at; without such a limit (``math.inf``) all
+    undominated fillings come.
     """
     if stock.present >> room & 1 and room:
         yield (room,)
@@ -198,14 +200,14 @@ def undominated(stock: Stock, room: int, tables: deque[list] | None = None) -> I
         if table()[1][-1] >> (room - slack) & 1:
             for filling in fill(room - slack, len(table()[0])):
                 looked += 1
-                if looked > LOOKS:
+                if looked > looks:
                     return
                 if not (slack == 0 and len(filling) == 2) and not dominated(filling, slack, stock):
                     yield filling
                     looked = 0
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, patience: int = 2_000) -> list[Group]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: float = NODES, patience: float = PATIENCE, looks: float = LOOKS) -> list[Group]:
     """Fewest bins found by completing the bin of the longest piece, again and again.
 
     Best fit gives the first incumbent, and the search ends at once where that meets the lower bound. Otherwise each node
@@ -214,7 +216,8 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, p
     the pieces left have halved since, best fit of the rest is tried as a new incumbent. A dive uses up a length with
     almost every node, so it takes a few nodes a length, whatever the number of pieces. The search is exhaustive unless
     ``nodes`` run out, or ``patience`` nodes after a whole dive or a better packing bring no other; then the incumbent
-    stands, and ``lower_bound`` tells how near it is. (LOOKS is the third limit.)
+    stands, and ``lower_bound`` tells how near it is. ``looks`` limits each completion (see ``undominated``). With
+    ``math.inf`` for all three nothing is left out, and the packing is the best there is.
     """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, capacity)
@@ -224,7 +227,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, p
     total, stock = sum(x * n for x, n in counts.items()), Stock(counts, capacity)
     left, path, waste, tried, wait = sum(counts.values()), [], 0, sum(counts.values()), nodes
     tables: deque[list] = deque()
-    levels = [_completions(stock, tables)]
+    levels = [_completions(stock, tables, looks)]
     while levels and nodes > 0 and wait > 0 and size > least:
         allowed = (size - 1) * capacity - total - waste
         step = next(levels[-1], None)
@@ -251,15 +254,15 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, p
             tail, used = best_fit(stock.left(), capacity), sum(t for _, t, _ in path)
             if used + (n := sum(k for _, k in tail)) < size:
                 best, size, wait = [(p, t) for p, t, _ in path] + tail, used + n, max(wait, patience)
-        levels.append(_completions(stock, tables) if left else iter(()))
+        levels.append(_completions(stock, tables, looks) if left else iter(()))
     return best
 
 
-def _completions(stock: Stock, tables: deque[list]) -> Iterator[tuple[dict[int, int], int, int]]:
+def _completions(stock: Stock, tables: deque[list], looks: float) -> Iterator[tuple[dict[int, int], int, int]]:
     """Bins around the longest piece left, the fullest first: {length: pieces}, for how many bins, and the waste of one."""
     top = stock.longest()
     stock.add(top, -1)
-    fillings = undominated(stock, stock.capacity - top, tables)
+    fillings = undominated(stock, stock.capacity - top, tables, looks)
     while True:
         filling = next(fillings, None)
         if filling is None:
@@ -316,12 +319,13 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> Dat
     return rows.mapInArrow(pieces, "task long, nth long, doc_id long, piece long, start long, length long, ids binary")
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, nodes: float = NODES, patience: float = PATIENCE, looks: float = LOOKS) -> DataFrame:
     """Packs all documents into as few sequences of at most ``capacity`` tokens as the search finds.
 
     docs: doc_id long, text string; other columns are ignored. A null or empty text is its end id alone. Documents
     over ``capacity`` ids are cut into pieces of ``capacity``, the last shorter. Null and repeated doc_ids are packed
-    like any; equal pieces stand for one another. An empty table gives no rows. Returns doc_id, piece, start, length,
+    like any; equal pieces stand for one another. An empty table gives no rows. ``nodes``, ``patience`` and ``looks``
+    limit the search on the driver (see ``bin_completion``), never what is packed. Returns doc_id, piece, start, length,
     ids (little-endian unsigned 32-bit words), sequence_id, offset.
     """
     scratch = Scratch(spark, "packing")
@@ -329,7 +333,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int,
     by_task = scratch.table(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
     # At most ``capacity`` rows, one for each length.
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    found = places(bin_completion(counts, capacity))
+    found = places(bin_completion(counts, capacity, nodes, patience, looks))
     first = np.zeros(capacity + 2, np.int64)
     for x, *_ in found:
         first[x + 1] += 1
