@@ -162,15 +162,17 @@ _SESSIONS = """rows_ as (select l_partkey % 50 as c0, l_suppkey % 10 as c1, l_or
 counted as (select c0, c1, pos, count(*) as n from rows_ group by all),
 fresh as (select *, case when pos - lag(pos) over (partition by c0, c1 order by pos) <= 200 then 0 else 1 end as f from counted),
 sessions as (select c0, c1, pos, n, sum(f) over (partition by c0, c1 order by pos)::bigint as session from fresh)"""
-_GAPS = """picked as (select * from olaps where qdir <> sdir or qid % 2 = 0),
-ranked as (select *, row_number() over (partition by qid, sid order by qoff, qend, soff, send) as r, count(*) over (partition by qid, sid) as n from picked),
+def _gaps(source: str) -> str:
+    """Gaps between the two overlaps of a pair of reads that enough pairs show and few overlaps run across."""
+    return f"""ranked as (select *, row_number() over (partition by qid, sid order by qoff, qend, soff, send) as r, count(*) over (partition by qid, sid) as n from {source}),
 twins as (select x.qid as read, least(x.qend, y.qoff)::bigint as lo, (greatest(x.qend, y.qoff) + 1)::bigint as hi
   from ranked x join ranked y on x.qid = y.qid and x.sid = y.sid and x.r = 1 and y.r = 2 where x.n = 2
    and least(x.qend, y.qend) - greatest(x.qoff, y.qoff) <= 250 and least(x.send, y.send) - greatest(x.soff, y.soff) >= 250),
-small as (select * from twins where hi - lo <= 4000)"""
-_ADAPTERS = f"""{_GAPS.replace(" where qdir <> sdir or qid % 2 = 0", "")}, {_merged('small', 'merged', 'read')}, {_by_read('olaps')},
+small as (select *, count(*) as votes from twins where hi - lo <= 4000 group by all), {_merged('small', 'merged', 'read', 'sum(votes)')}, {_by_read(source)},
 across as (select m.read, m.lo, m.hi, count(*) as across from merged m join sides s on s.read = m.read and s.a < m.lo - 100 and s.b >= m.hi + 100 group by all),
 gaps as (select read, lo, hi, ct from merged left join across using (read, lo, hi) where coalesce(across, 0) <= 9 and ct >= 3)"""
+
+
 _TAGS = """flags as (select qid, sid, ident, qsize, qoff <= 200 and qsize - qend <= 200 as whole, qoff <= 200 as b, qsize - qend <= 200 as e, qdir <> sdir as t from olaps),
 pair as (select qid, sid, max(qsize) as size, bool_or(whole) as whole, max(case when whole then ident end) as ident, bool_or(b and not whole) as b, bool_or(e and not whole) as e, bool_or(t) as rev, bool_or(not t) as fwd from flags group by all),
 per_read as (select qid, max(size)::integer as size, count(*) filter (where whole) as nw, max(ident) as hi, min(ident) as lo, bool_or(b and e and not rev) as circ, bool_or(rev and fwd) as rcdup, bool_or(b or e) as ends from pair group by qid),
@@ -240,9 +242,6 @@ ORACLES: dict[str, str] = {
         when loc = 'Containing' then s0 >= 2 and s1 >= 2 when loc = 'Contained' then q0 >= 2 and q1 >= 2 when loc = 'Equal' then q0 >= 2 and q1 >= 2 and s0 >= 2 and s1 >= 2 else false end""",
     "containment": f"with {_overlaps()} select * from {_CONTAINED.format('olaps')}",
     "bestn": f"""with {_PROPER}, l as (select *, {_location(0)} as loc, {ALEN} as alen from pairs), p as (select * from l where loc in ('Left', 'Right')),
-      v as (select *, qid as read, loc as side from p union all select *, sid, case when qdir = sdir and loc = 'Left' then 'Right' when qdir = sdir then 'Left' else loc end from p)
-      select distinct qid, sid from (select *, row_number() over (partition by read, side order by {_ORDER}) as r from v) where r <= 5""",
-    "bestn_whole": f"""with {_PROPER}, l as (select *, {_location(0)} as loc, {ALEN} as alen from pairs), p as (select * from l where loc in ('Left', 'Right')),
       v as (select *, qid as read, loc as side from p union all select *, sid, case when qdir = sdir and loc = 'Left' then 'Right' when qdir = sdir then 'Left' else loc end from p)
       select distinct qid, sid from (select *, row_number() over (partition by read, side order by {_ORDER}) as r from v) where r <= 10""",
     "filter_report": f"""with {_overlaps()}, t as (select case when ident < 92 then 'identity' when least(qsize, ssize) < 2500 then 'length' when {ALEN} < 2500 then 'aligned' when {_location(10)} = 'Abnormal' then 'location' else 'kept' end as reason from olaps)
@@ -263,26 +262,9 @@ ORACLES: dict[str, str] = {
         (soff + greatest(sh, round((case when qdir = sdir then h else t end) * sw::double / qw)))::integer as s1, (send - greatest(st, round((case when qdir = sdir then t else h end) * sw::double / qw)))::integer as s2 from c)
       select qid, sid, ident, qdir, (case when q1 - ql < 15 then ql else q1 end)::integer as qoff, (case when qr - q2 < 15 then qr else q2 end)::integer as qend, qsize, sdir,
         (case when s1 - sl < 15 then sl else s1 end)::integer as soff, (case when sr - s2 < 15 then sr else s2 end)::integer as send, ssize from n where q1 < q2 and s1 < s2""",
-    "subread_detect": f"with {_overlaps()}, {_GAPS}, {_merged('small', 'merged', 'read')} select * from merged",
-    "clear_range": f"""with {_overlaps()}, {_GAPS}, {_merged('small', 'gaps', 'read')}, ranges as (select qid as read, min(qoff)::bigint as l, max(qend)::bigint as r from olaps group by qid),
-      hit as (select g.read, g.lo, g.hi, l, r from gaps g join ranges using (read) where g.hi > l and g.lo < r),
-      ordered as (select *, coalesce(lag(hi) over (partition by read order by lo), l) as before, lead(lo) over (partition by read order by lo) as nxt from hit),
-      free as (select read, before as lo, lo as hi from ordered union all select read, hi, r from ordered where nxt is null union all select read, l, r from ranges where read not in (select read from hit))
-      select read, lo as "left", hi as "right", hi - lo as size from (select *, row_number() over (partition by read order by hi - lo desc, lo) as k from free where lo < hi) where k = 1 and hi - lo >= 1000""",
-    "subread_detect_whole": f"with {_overlaps()}, {_ADAPTERS} select * from gaps",
-    "clear_range_whole": f"""with {_overlaps()}, {_ADAPTERS}, ranges as (select qid as read, min(qoff)::bigint as l, max(qend)::bigint as r from olaps group by qid),
-      hit as (select g.read, g.lo, g.hi, l, r from gaps g join ranges using (read) where g.hi > l and g.lo < r),
-      ordered as (select *, coalesce(lag(hi) over (partition by read order by lo), l) as before, lead(lo) over (partition by read order by lo) as nxt from hit),
-      free as (select read, before as lo, lo as hi from ordered union all select read, hi, r from ordered where nxt is null union all select read, l, r from ranges where read not in (select read from hit))
-      select read, lo as "left", hi as "right", hi - lo as size from (select *, row_number() over (partition by read order by hi - lo desc, lo) as k from free where lo < hi) where k = 1 and hi - lo >= 1000""",
     "top300": f"""with {_overlaps()}, {_by_read('olaps')}, r as (select *, {ALEN} as alen, row_number() over (partition by read order by ident desc, {ALEN} desc, other, a, b, oa, ob, odir, dir_) as k from sides)
-      select read, count(*)::bigint as kept, min(ident) as worst, sum(alen)::bigint as aligned from r where k <= 3 group by read""",
-    "top300_whole": f"""with {_overlaps()}, {_by_read('olaps')}, r as (select *, {ALEN} as alen, row_number() over (partition by read order by ident desc, {ALEN} desc, other, a, b, oa, ob, odir, dir_) as k from sides)
       select read, count(*)::bigint as kept, min(ident) as worst, sum(alen)::bigint as aligned from r where k <= 300 group by read""",
     "cns_candidates60": f"""with {_overlaps()}, m as (select qid, sid, (qoff + qend) // 2 as q, (soff + send) // 2 as s, {ALEN} // 100 as score from olaps),
-      r as (select *, row_number() over (partition by sid order by score desc, qid, q, s) as k, count(*) over (partition by sid) as n from m)
-      select sid, count(*)::bigint as kept, min(score)::integer as worst, sum(qid)::bigint as sum_qid from r where n >= 4 and k <= 10 group by sid""",
-    "cns_candidates60_whole": f"""with {_overlaps()}, m as (select qid, sid, (qoff + qend) // 2 as q, (soff + send) // 2 as s, {ALEN} // 100 as score from olaps),
       r as (select *, row_number() over (partition by sid order by score desc, qid, q, s) as k, count(*) over (partition by sid) as n from m)
       select sid, count(*)::bigint as kept, min(score)::integer as worst, sum(qid)::bigint as sum_qid from r where n >= 4 and k <= 60 group by sid""",
     "coverage_runs": f"""with {_INTERVALS}, {_depths('intervals', 'd')}, deep as (select grp, lo, hi from d where depth >= 3), {_merged('deep', 'runs')}
@@ -293,14 +275,6 @@ ORACLES: dict[str, str] = {
       found as (select distinct e.src, e.dst from edges e join edges f on f.src = e.src join edges g on g.src = f.dst and g.dst = e.dst join most m on m.src = e.src left join shortest s on s.src = f.dst
         where f.len + g.len < m.most + 500 or s.dst = e.dst or g.len < 500)
       select src, dst from found union select (-dst)::integer, (-src)::integer from found""",
-    "spur": f"""with {_BEST_EDGES}, whole as (select * from edges where len % 3 <> 0),
-      found as (select src, dst from best where src in (select src from best group by src having count(*) > 1) and dst not in (select src from whole)
-        union select src, dst from best where dst in (select dst from best group by dst having count(*) > 1) and src not in (select dst from whole))
-      select src, dst from found union select (-dst)::integer, (-src)::integer from found""",
-    "spur_whole": f"""with {_BEST_EDGES}, whole as (select * from edges),
-      found as (select src, dst from best where src in (select src from best group by src having count(*) > 1) and dst not in (select src from whole)
-        union select src, dst from best where dst in (select dst from best group by dst having count(*) > 1) and src not in (select dst from whole))
-      select src, dst from found union select (-dst)::integer, (-src)::integer from found""",
     "best_edges": f"with {_BEST_EDGES} select src, dst, len, score from best",
     "simple_paths": f"with recursive {_PATHS} select path, max(case when pos = 0 then src end)::integer as first, arg_max(dst, pos)::integer as last, count(*)::bigint as edges, sum(len)::bigint as bases from paths group by path",
     "repeat_bridge": f"""with {_BEST_EDGES}, deg as (select node, sum(o) as o, sum(i) as i from (select src as node, 1 as o, 0 as i from best union all select dst, 0, 1 from best) group by node)

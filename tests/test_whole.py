@@ -3,8 +3,10 @@
 import hashlib
 import random
 
-from strandlake.plans import catalog
+from strandlake.operators import graph, olfilter
+from strandlake.plans import catalog, trimming
 from strandlake.plans.catalog import QUERIES
+from strandlake.sources import projections
 
 TURN = str.maketrans("ACGT", "TGCA")
 
@@ -40,33 +42,34 @@ def test_gaps_of_same_strand_odd_reads_need_witnesses_and_no_spans(spark, tmp_pa
     long = [r for r in range(0, 2000, 2) if _size(r) > 9000][:10]
     pairs = [(shown, s) for s in short] + [(few, s) for s in short[:2]] + [(spanned, s) for s in short]
     _lineitem(spark, tmp_path, [(q, s, n, 0.0) for q, s in pairs for n in (4, 1)] + [(spanned, s, 2, 0.0) for s in long])
-    assert [(r["read"], r["ct"]) for r in QUERIES["subread_detect_whole"](spark, str(tmp_path)).collect()] == [(shown, 3)]
-    cut = {r["read"]: r["size"] for r in QUERIES["clear_range_whole"](spark, str(tmp_path)).collect()}
+    overlaps = projections.overlaps(spark, str(tmp_path))
+    assert [(r["read"], r["ct"]) for r in trimming.gaps_of(overlaps).collect()] == [(shown, 3)]
+    cut = {r["read"]: r["size"] for r in trimming.clear_of(overlaps).collect()}
     assert cut[shown] < _size(shown) - 500 and (cut[few], cut[spanned]) == (_size(few), _size(spanned))
 
 
-def test_spurs_count_every_edge(spark, monkeypatch):
+def test_spurs_count_every_edge(spark):
     rows = [(-1, -2, 10), (-2, -3, 10), (-3, -4, 10), (-2, -9, 10), (-9, -10, 9)]
     es = spark.createDataFrame([(*e, 1, 99.0, 0, 0, 1) for a, b, n in rows for e in ((a, b, n), (-b, -a, n))], "src int, dst int, len int, score int, ident double, read int, start int, end int")
-    monkeypatch.setattr(catalog, "_edges", lambda s, d: es)
-    found = {name: {tuple(r) for r in QUERIES[name](spark, "").collect()} for name in ("spur", "spur_whole")}
-    assert (-2, -9) in found["spur"] and (-2, -9) not in found["spur_whole"]
+    best = graph.best_edges(es)
+    part, whole = ({tuple(r) for r in graph.spurs(best, edges).collect()} for edges in (es.where("len % 3 <> 0"), es))
+    assert (-2, -9) in part and (-2, -9) not in whole
 
 
 def test_counts_kept_are_the_survey_s(spark, tmp_path):
     long = [r for r in range(2000) if _size(r) > 6000][:331]
     _lineitem(spark, tmp_path, [(s, long[0], 1, i % 10 / 100) for i, s in enumerate(long[1:])])
-    kept = {r["read"]: r["kept"] for r in QUERIES["top300_whole"](spark, str(tmp_path)).collect()}
+    kept = {r["read"]: r["kept"] for r in QUERIES["top300"](spark, str(tmp_path)).collect()}
     assert (kept[long[0]], kept[long[1]]) == (300, 1)
-    assert [(r["sid"], r["kept"]) for r in QUERIES["cns_candidates60_whole"](spark, str(tmp_path)).collect()] == [(long[0], 60)]
+    assert [(r["sid"], r["kept"]) for r in QUERIES["cns_candidates60"](spark, str(tmp_path)).collect()] == [(long[0], 60)]
 
 
 def test_best_ten_an_end(spark, tmp_path):
     hub, *rest = [r for r in range(2000) if _size(r) > 6000][:25]
     subjects = [(s, h) for s in rest[:12] for h in rest[12:24]]
     _lineitem(spark, tmp_path, [(hub, s, 1, i / 100) for i, s in enumerate(rest[:12])] + [(s, h, 4, 0.0) for s, h in subjects])
-    kept = {name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("bestn", "bestn_whole")}
-    assert kept["bestn"] < kept["bestn_whole"]
+    five = {tuple(r) for r in olfilter.best_n(catalog._proper(spark, str(tmp_path)), 5).select("qid", "sid").collect()}
+    assert five < {tuple(r) for r in QUERIES["bestn"](spark, str(tmp_path)).collect()}
 
 
 def test_contained_reads_do_not_reach_contigs(spark, tmp_path):
