@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stages import Stages
-from .overlap import aligned_length, best_of_pair, by_read, load_filter, location, longest_first, overhangs, read_statistics
+from .overlap import aligned_length, best_of_pair, by_read, common_counts, load_filter, location, longest_first, overhangs, read_statistics
 from .quantiles import first_trough, grouped_median_mad, percentile, weighted_median_mad
 
 MAD = 1.4826
@@ -118,15 +118,10 @@ def neighbours(df: DataFrame, reach: int) -> DataFrame:
 def supported(df: DataFrame, count: int, reach: int) -> DataFrame:
     """Overlaps of unordered pairs with, at every end they reach past, at least ``count`` common neighbours.
 
-    df: one overlap a pair. A pair's neighbours common to both reads come from one join of adjacencies on (read,
-    neighbour), counted per pair and end.
+    df: one overlap a pair. Neighbours common to both reads are counted by words of 64 read ids, per pair and end.
     """
-    adj = neighbours(df, reach).select("read", "other", "at0", "at1").distinct()
-    pairs = df.select("qid", "sid")
-    a = adj.select(F.col("read").alias("qid"), F.col("other").alias("n"), F.col("at0").alias("q0"), F.col("at1").alias("q1"))
-    b = adj.select(F.col("read").alias("sid"), F.col("other").alias("n"), F.col("at0").alias("s0"), F.col("at1").alias("s1"))
-    common = pairs.join(a, "qid").where("n <> sid").join(b, ["sid", "n"])
-    counts = common.groupBy("qid", "sid").agg(*[F.count_if(c).alias(f"n_{c}") for c in ("q0", "q1", "s0", "s1")])
+    found = common_counts(df, neighbours(df, reach), "at0", "at1")
+    counts = found.select("qid", "sid", *[F.col(f"{c[0]}_at{c[1]}").alias(f"n_{c}") for c in ("q0", "q1", "s0", "s1")])
     loc, same = location(0), F.col("qdir") == F.col("sdir")
     n = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0)) >= max(count, 1)
     q_whole, s_whole = n("q0") & n("q1"), n("s0") & n("s1")

@@ -151,6 +151,31 @@ def by_read(df: DataFrame) -> DataFrame:
     return df.select("*", F.explode(F.array(side(A, B), side(B, A))).alias("v")).select(*df.columns, "v.*")
 
 
+def neighbour_words(adj: DataFrame, *flags: str) -> DataFrame:
+    """Neighbours of each read as bits: (read, word, bits, a column of bits for each of ``flags``), 64 ids a word.
+
+    adj: read, other and the flags. Reads that lie close have neighbours with ids close to each other or, with many
+    neighbours, all ids; then a word stands for many rows, and never for less than one.
+    """
+    bit = F.expr("shiftleft(1L, cast(pmod(other, 64) as int))")
+    some = [F.bit_or(F.when(F.col(c), F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(c) for c in flags]
+    rows = adj.select("read", F.shiftright("other", 6).alias("word"), bit.alias("_bit"), *flags)
+    return rows.groupBy("read", "word").agg(F.bit_or("_bit").alias("bits"), *some)
+
+
+def common_counts(pairs: DataFrame, adj: DataFrame, *flags: str) -> DataFrame:
+    """(qid, sid, common, and for each flag q_ and s_): how many neighbours both reads of a pair have, and of these how
+    many have the flag at the query and at the subject; pairs without any are left out.
+
+    A pair meets the words of its reads' neighbours, not the neighbours: 64 are counted at once.
+    """
+    side = lambda df, key, p: neighbour_words(df, *flags).select(F.col("read").alias(key), "word", *[F.col(c).alias(f"{p}_{c}") for c in ("bits", *flags)])
+    met = pairs.select("qid", "sid").join(side(adj, "qid", "q"), "qid").join(side(adj.where("read <> other"), "sid", "s"), ["sid", "word"])
+    both = lambda a, b: F.sum(F.bit_count(F.col(a).bitwiseAND(F.col(b))).cast("long"))
+    counts = [x for c in flags for x in (both(f"q_{c}", "s_bits").alias(f"q_{c}"), both("q_bits", f"s_{c}").alias(f"s_{c}"))]
+    return met.where(F.col("q_bits").bitwiseAND(F.col("s_bits")) != 0).groupBy("qid", "sid").agg(both("q_bits", "s_bits").alias("common"), *counts)
+
+
 def best_of_pair(df: DataFrame) -> DataFrame:
     """Of all overlaps of two reads the longest aligned (ties: more identical, then smaller ids and offsets).
 

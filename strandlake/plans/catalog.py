@@ -429,11 +429,9 @@ def trim_reads(s, d):
 
 @query
 def common_neighbours(s, d):
-    """Reads that overlap both reads of a pair, for every pair: the triangle join."""
-    adj = ov.by_read(pr.overlaps(s, d)).select("read", "other").distinct()
-    pairs = ov.best_of_pair(pr.overlaps(s, d)).select("qid", "sid")
-    both = pairs.join(adj.select(F.col("read").alias("qid"), F.col("other").alias("n")), "qid").where("n <> sid").join(adj.select(F.col("read").alias("sid"), F.col("other").alias("n")), ["sid", "n"])
-    return both.groupBy("qid", "sid").agg(F.count("*").alias("common"))
+    """How many reads overlap both reads of a pair, for every pair."""
+    o = pr.overlaps(s, d)
+    return ov.common_counts(ov.best_of_pair(o), ov.by_read(o).select("read", "other"))
 
 
 @query

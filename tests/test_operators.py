@@ -145,3 +145,20 @@ def test_kmers_of_long_reads_in_linear_time(spark):
 
     seconds(50_000)
     assert seconds(1_000_000) < 20 * seconds(100_000) + 2
+
+
+def test_common_neighbours_meet_as_words(spark):
+    links = [(a, b, a % 3 == 0, b % 2 == 0) for a in range(-2, 200) for b in (a + 1, a + 2, a + 64, (a * 7) % 200)]
+    adj = {(a, b): (x, y) for a, b, x, y in links} | {(b, a): (y, x) for a, b, x, y in links}
+    rows = spark.createDataFrame([(a, b, x, y) for (a, b), (x, y) in adj.items()], "read int, other int, at0 boolean, at1 boolean")
+    pairs = sorted({(a, b) for a, b in adj if a < b})
+    found = {tuple(r)[:2]: tuple(r)[2:] for r in ov.common_counts(spark.createDataFrame(pairs, "qid int, sid int"), rows, "at0", "at1").collect()}
+    of = lambda r: {b for a, b in adj if a == r}
+    want = {}
+    for q, s in pairs:
+        both = [n for n in of(q) & of(s) if n != s]
+        if both:
+            want[q, s] = (len(both), *[sum(adj[r, n][i] for n in both) for i in (0, 1) for r in (q, s)])
+    assert found == want
+    # A thousand neighbours of a read are 16 rows to meet, not a thousand.
+    assert ov.neighbour_words(spark.range(1024).selectExpr("7 as read", "cast(id as int) as other")).count() == 16
