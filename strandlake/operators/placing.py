@@ -27,7 +27,8 @@ def valid_pairs(pairs: DataFrame, tags: DataFrame, reach: int = REACH) -> DataFr
     in what the circular one's tail covers or reaches its part. Circular reads vote for each other; an unperfect read
     votes for any but a circular one, and every read for an unperfect one. Pairs with an untagged read have no row.
     """
-    side = lambda p, key: tags.select(F.col("read").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("tag", "sid", "qend", "qsize", "soff", "send")])
+    side = lambda p, key: tags.select(F.col("read").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("tag", "sid", "qend", "qsize", "soff", "send")]).hint("merge")
+    # A row a read, however small its file: tags are never broadcast.
     rows = pairs.select("qid", "sid").join(side("q", "qid"), "qid").join(side("s", "sid"), "sid")
     c = F.col
     share = F.greatest("q_soff", "s_soff") <= F.least("q_send", "s_send")

@@ -30,3 +30,12 @@ def test_places_of_reads(spark):
     assert got == {(1, "end", 5), (4, "crossing", 5), (6, "part", 5), (6, "part", 6)}
     assert placing.places(df.limit(0)).count() == 0 and placing.placed_tags(df.limit(0)).count() == 0
     assert {(r["read"], r["tag"]) for r in placing.placed_tags(df).where("read in (1, 6)").collect()} == {(1, "perfect"), (6, "unperfect")}
+
+
+def test_tags_of_placed_reads_are_not_broadcast(spark, tmp_path):
+    # Written and read again, a hundred thousand tags are a small file.
+    spark.range(100_000).selectExpr("cast(id as int) as read", "'perfect' as tag", "0 as sid", "0 as qoff", "9 as qend", "9 as qsize", "0 as soff", "9 as send").write.parquet(f"{tmp_path}/tags")
+    pairs = spark.range(1000).selectExpr("cast(id as int) as qid", "cast(id + 1 as int) as sid")
+    found = placing.valid_pairs(pairs, spark.read.parquet(f"{tmp_path}/tags"))
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    assert found.where("valid").count() == 1000
