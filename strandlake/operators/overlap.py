@@ -167,10 +167,12 @@ def common_counts(pairs: DataFrame, adj: DataFrame, *flags: str) -> DataFrame:
     """(qid, sid, common, and for each flag q_ and s_): how many neighbours both reads of a pair have, and of these how
     many have the flag at the query and at the subject; pairs without any are left out.
 
-    A pair meets the words of its reads' neighbours, not the neighbours: 64 are counted at once.
+    A pair meets the words of its reads' neighbours, not the neighbours: 64 are counted at once. Pairs are dealt out
+    for that and not broadcast, however small they are: each grows to many rows.
     """
-    side = lambda df, key, p: neighbour_words(df, *flags).select(F.col("read").alias(key), "word", *[F.col(c).alias(f"{p}_{c}") for c in ("bits", *flags)])
-    met = pairs.select("qid", "sid").join(side(adj, "qid", "q"), "qid").join(side(adj.where("read <> other"), "sid", "s"), ["sid", "word"])
+    pairs = pairs.select("qid", "sid").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
+    side = lambda df, key, p: neighbour_words(df, *flags).select(F.col("read").alias(key), "word", *[F.col(c).alias(f"{p}_{c}") for c in ("bits", *flags)]).hint("merge")
+    met = pairs.join(side(adj, "qid", "q"), "qid").join(side(adj.where("read <> other"), "sid", "s"), ["sid", "word"])
     both = lambda a, b: F.sum(F.bit_count(F.col(a).bitwiseAND(F.col(b))).cast("long"))
     counts = [x for c in flags for x in (both(f"q_{c}", "s_bits").alias(f"q_{c}"), both("q_bits", f"s_{c}").alias(f"s_{c}"))]
     return met.where(F.col("q_bits").bitwiseAND(F.col("s_bits")) != 0).groupBy("qid", "sid").agg(both("q_bits", "s_bits").alias("common"), *counts)

@@ -228,7 +228,7 @@ def coverage_filter(s, d):
 
 @query
 def support_filter(s, d):
-    return olfilter.supported(ov.best_of_pair(ov.snap_ends(pr.overlaps(s, d, (0, 1, 3)), 11)), 2, 11).select("qid", "sid")
+    return olfilter.supported(Stages(s, "support").keep(_proper(s, d), "pairs"), 2, 11).select("qid", "sid")
 
 
 @query
