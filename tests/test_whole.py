@@ -6,6 +6,7 @@ import random
 from strandlake.operators import graph, olfilter
 from strandlake.plans import catalog, trimming
 from strandlake.plans.catalog import QUERIES
+from strandlake.plans.graphs import QUERIES as GRAPHS
 from strandlake.sources import projections
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -79,3 +80,10 @@ def test_contained_reads_do_not_reach_contigs(spark, tmp_path):
     names = [r["name"] for r in QUERIES["pipeline_assemble"](spark, str(tmp_path)).collect()]
     assert {abs(int(n)) - 1 for name in names for n in name.removeprefix("ctg_").split("~")} == {outer, beside}
     assert {(r["qid"], r["sid"]) for r in QUERIES["overlap_filter"](spark, str(tmp_path)).collect()} == {(outer, beside), (inner, outer), (inner, other)}
+
+
+def test_spurs_of_overlaps_and_of_stretches(spark, tmp_path):
+    a, b, c, d = [r for r in range(2000) if _size(r) > 6000][:4]
+    _lineitem(spark, tmp_path, [(a, b, 4, 0.0), (a, c, 4, 0.0), (b, d, 4, 0.0)])
+    found = {tuple(r) for r in GRAPHS["spur"](spark, str(tmp_path)).where("graph = 'overlaps'").select("src", "dst").collect()}
+    assert {frozenset(map(abs, e)) for e in found} == {frozenset((a + 1, c + 1))} and len(found) == 2
