@@ -177,3 +177,15 @@ def test_a_resolved_repeat_drops_the_other_edges(spark, keep):
     shared = strand(spark, ways + [(9, 3, 9, 1)])
     assert ids(cleaning.repeat_edges(shared, shared), "src", "dst") == []
     assert graph.with_reverses(spark.createDataFrame([(1, 9)], "src int, dst int")).count() == 2
+
+
+def test_best_edges_by_score_then_smaller_node_without_sorting(spark):
+    rows = [(1, 5, -3), (1, -7, -3), (1, 2, -4), (-2147483646, 2147483646, 7), (-2147483646, -2147483646, 7), (9, 2147483646, 2147483647)]
+    es = spark.createDataFrame([(*e, s) for a, b, s in rows for e in ((a, b), (-b, -a))], "src int, dst int, score int").distinct()
+    edges = {tuple(r)[:2]: r["score"] for r in es.collect()}
+    out = {a: min((b for x, b in edges if x == a), key=lambda b: (-edges[a, b], b)) for a, _ in edges}
+    into = {b: min((a for a, y in edges if y == b), key=lambda a: (-edges[a, b], a)) for _, b in edges}
+    marks = set(out.items()) | {(a, b) for b, a in into.items()}
+    best = graph.best_edges(es)
+    assert {tuple(r)[:2] for r in best.select("src", "dst").collect()} == marks | {(-b, -a) for a, b in marks}
+    assert "SortAggregate" not in best._jdf.queryExecution().toString()
