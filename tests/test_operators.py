@@ -162,3 +162,14 @@ def test_common_neighbours_meet_as_words(spark):
     assert found == want
     # A thousand neighbours of a read are 16 rows to meet, not a thousand.
     assert ov.neighbour_words(spark.range(1024).selectExpr("7 as read", "cast(id as int) as other")).count() == 16
+
+
+def _splits(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+
+
+def test_m4_lines_are_split_once(spark):
+    lines = spark.createDataFrame([(" 1 2\t91.5 0 0 0 10 20 1 5 15 30 ",), ("  ",), (None,)], "value string")
+    rows = fm.parse_m4(lines)
+    assert [(r["qid"], r["ident"], r["ssize"]) for r in rows.collect()] == [(1, 91.5, 30)]
+    assert (_splits(rows), _splits(fm.parse_ovl(lines))) == (1, 1)
