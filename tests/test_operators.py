@@ -173,3 +173,9 @@ def test_m4_lines_are_split_once(spark):
     rows = fm.parse_m4(lines)
     assert [(r["qid"], r["ident"], r["ssize"]) for r in rows.collect()] == [(1, 91.5, 30)]
     assert (_splits(rows), _splits(fm.parse_ovl(lines))) == (1, 1)
+
+
+def test_paf_lines_are_split_once(spark):
+    rows = fm.parse_paf(spark.createDataFrame([("a\t100\t0\t90\t-\tb\t120\t30\t120\t81\t90\t60",), (" ",), (None,)], "value string"))
+    assert [(r["qid"], r["ident"], r["sdir"]) for r in rows.collect()] == [("a", 90.0, 1)]
+    assert _splits(rows) == 1
