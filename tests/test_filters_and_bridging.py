@@ -105,6 +105,17 @@ def test_saturation_like_one_alignment_after_the_other(spark, keep):
     assert saturation.saturating(df.limit(0), 3, 100, keep).count() == 0
 
 
+def test_saturation_is_one_pass_and_many_alignments_go_by_rounds(spark, keep):
+    rng = random.Random(2)
+    spans = [(subject, rank, a, a + 400) for subject, most in ((1, 3), (2, 40), (3, 12)) for rank in range(most) for a in [rng.randint(0, 900)]]
+    df = spark.createDataFrame(spans, "subject int, rank int, a int, z int")
+    written = []
+    counted = lambda x, name: written.append(name) or keep(x, name)
+    once = {tuple(r) for r in saturation.saturating(df, 2, 150, counted).collect()}
+    assert len(written) == 1 and once
+    assert {tuple(r) for r in saturation.saturating(df, 2, 150, counted, ordered=12).collect()} == once and len(written) > 2
+
+
 M4 = "qid int, sid int, ident double, qdir int, qoff int, qend int, qsize int, sdir int, soff int, send int, ssize int"
 
 
