@@ -116,6 +116,19 @@ def test_saturation_is_one_pass_and_many_alignments_go_by_rounds(spark, keep):
     assert {tuple(r) for r in saturation.saturating(df, 2, 150, counted, ordered=12).collect()} == once and len(written) > 2
 
 
+def test_conditions_on_offsets_stay_behind_their_terms(spark):
+    """A filter by location does not write out the terms of every offset again."""
+    from strandlake.sources import projections as pr
+    from strandlake.operators import overlap as ov
+    from conftest import SMALL
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for source in (pr.tiled_overlaps, pr.overlaps):
+        rows = source(spark, SMALL)
+        assert plan(ov.load_filter(rows, 91.0, 3000, 2**31 - 1, 1000, 20)).count("l_linenumber") <= plan(rows).count("l_linenumber") + 2
+        assert rows.schema["qoff"].dataType.simpleString() == "int" and tuple(rows.columns) == ov.COLUMNS
+
+
 M4 = "qid int, sid int, ident double, qdir int, qoff int, qend int, qsize int, sdir int, soff int, send int, ssize int"
 
 
