@@ -168,3 +168,17 @@ def test_direct_links_decide_between_sessions(spark, keep):
     found = spark.createDataFrame([(1, 2, True, 1, 9, -4000, "Left"), (1, 2, True, 2, 5, -3000, "Left"), (3, 4, True, 1, 4, 70, "Right"), (5, 6, True, 1, 8, 10, "Left")], "c0 int, c1 int, same boolean, session long, links long, pos0 long, loc string")
     direct = spark.createDataFrame([(1, 2, True, -2990, "Left", 800), (5, 6, False, 10, "Left", 700)], "c0 int, c1 int, same boolean, pos0 long, loc string, aligned long")
     assert {tuple(r) for r in bridge.best_bunches(found, direct, 60).collect()} == {(1, 2, True, "Left", 5, "direct"), (3, 4, True, "Right", 4, "reads")}
+
+
+def test_local_limits_move_each_value_twice_and_meet_few_overlaps(spark):
+    from conftest import SMALL, rows_of
+
+    from strandlake.operators import olfilter
+    from strandlake.sources import projections as pr
+
+    o = pr.tiled_overlaps(spark, SMALL)
+    found = olfilter.local_statistics(o)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(read") == 2 and "Join" not in plan
+    limits = olfilter.local_limits(o, 92.0, 8.0).localCheckpoint()
+    assert rows_of(olfilter.local_dropped(o, limits, 92.0, 8.0).collect()) == rows_of(olfilter.local_dropped(o, limits).collect()) != []
