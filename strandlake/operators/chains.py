@@ -21,7 +21,8 @@ def chains(items: DataFrame, links: DataFrame, keep) -> DataFrame:
         step += 1
         further = state.select(F.col("e").alias("at"), F.col("at").alias("at2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"), F.col("low").alias("low2"))
         open_ = state.where("not done").join(further, "at").select("e", F.col("at2").alias("at"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"))
-        state = keep(state.where("done").unionByName(open_), f"chain{step}")
+        # What is done does not change and is not written again.
+        state = state.where("done").unionByName(keep(open_, f"chain{step}"))
     found = state.where("done").select(F.col("at").alias("chain"), F.col("hops").alias("pos"), "e")
     rings = state.where("not done").select("e", F.col("low").alias("first"))
     if rings.limit(1).count():

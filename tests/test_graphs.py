@@ -189,3 +189,32 @@ def test_best_edges_by_score_then_smaller_node_without_sorting(spark):
     best = graph.best_edges(es)
     assert {tuple(r)[:2] for r in best.select("src", "dst").collect()} == marks | {(-b, -a) for a, b in marks}
     assert "SortAggregate" not in best._jdf.queryExecution().toString()
+
+
+def test_finished_edges_of_chains_are_written_once(spark):
+    from strandlake.operators.chains import chains
+    from strandlake.operators.graph import simple_paths
+
+    def kept():
+        rows = []
+
+        def keep(df, name):
+            out = df.localCheckpoint()
+            if name.startswith("chain"):
+                rows.append(out.count())
+            return out
+
+        return rows, keep
+
+    # One chain of 9 edges, 30 of one edge.
+    pairs = [(i, i + 1) for i in range(1, 10)] + [(100 + 2 * i, 101 + 2 * i) for i in range(30)]
+    es = spark.createDataFrame([(a, b, 5) for a, b in pairs], "src int, dst int, len int")
+    rows, keep = kept()
+    found = simple_paths(spark, es, keep).collect()
+    assert sorted((r.src, r.dst) for r in found) == sorted(pairs) and max(r.pos for r in found) == 8
+    assert rows[0] == 39 and all(n <= 8 for n in rows[1:])
+    rows, keep = kept()
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "e int, next int")
+    found = chains(spark.createDataFrame([(i,) for i in range(1, 40)], "e int"), links, keep).collect()
+    assert {r.e: r.pos for r in found} == {i: i - 1 if i < 10 else 0 for i in range(1, 40)}
+    assert rows[0] == 39 and all(n <= 8 for n in rows[1:])
