@@ -49,3 +49,20 @@ def test_no_seed_is_shuffled(spark, reads):
     for name in ("seed_join", "seed_blocks", "strand_blocks"):
         plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(qid" not in plan and "Join" not in plan.split("MapInArrow")[0]
+
+
+def test_blocks_move_once_however_many_there_are(spark, reads, monkeypatch):
+    n, wrote, real = reads.count(), [], seedgrid.Stages.folders
+
+    def folders(self, df, name, by):
+        wrote.append(spark.read.parquet(real(self, df, name, by)).count())
+        return real(self, df, name, by)
+
+    monkeypatch.setattr(seedgrid.Stages, "folders", folders)
+    got = []
+    for blocks in (2, 5):
+        monkeypatch.setattr(seedgrid, "LEAST_BLOCKS", blocks)
+        met = seedgrid.pair_seeds(reads, K)
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+        got.append(rows_of(met.collect()))
+    assert got[0] == got[1] != [] and max(wrote) <= n
