@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import bridge, pathgraph, quantiles, reads, saturation
@@ -105,6 +106,17 @@ def test_saturation_like_one_alignment_after_the_other(spark, keep):
     assert saturation.saturating(df.limit(0), 3, 100, keep).count() == 0
 
 
+def test_saturation_deals_spans_out_once(spark, keep):
+    rows = spark.createDataFrame([(s, a, a + 400, s * a % 7) for s in range(6) for a in range(0, 900, 50)], "subject int, a int, z int, other int")
+    by, written = [F.desc("other"), F.col("a")], []
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy(*by)))
+    want = {tuple(r) for r in saturation.saturating(ranked, 2, 150, keep).collect()}
+    seen = lambda x, name: written.append(x._jdf.queryExecution().executedPlan().toString()) or keep(x, name)
+    got = saturation.taken_spans(rows, 2, 150, seen, by=by)
+    assert {(r["subject"], r["rank"]) for r in got.collect()} == want and len(written) == 1
+    assert written[0].count("Exchange hashpartitioning") == 1
+
+
 def test_saturation_is_one_pass_and_many_alignments_go_by_rounds(spark, keep):
     rng = random.Random(2)
     spans = [(subject, rank, a, a + 400) for subject, most in ((1, 3), (2, 40), (3, 12)) for rank in range(most) for a in [rng.randint(0, 900)]]
