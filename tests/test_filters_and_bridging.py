@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandlake.operators import bridge, pathgraph, quantiles, reads, saturation
+from strandlake.operators import bridge, olfilter, overlap, pathgraph, quantiles, reads, saturation
 from strandlake.plans import bridging, filters
 from strandlake.plans.stages import Stages
 from strandlake.sources import seqdb
@@ -194,3 +194,12 @@ def test_local_limits_move_each_value_twice_and_meet_few_overlaps(spark):
     assert plan.count("Exchange hashpartitioning(read") == 2 and "Join" not in plan
     limits = olfilter.local_limits(o, 92.0, 8.0).localCheckpoint()
     assert rows_of(olfilter.local_dropped(o, limits, 92.0, 8.0).collect()) == rows_of(olfilter.local_dropped(o, limits).collect()) != []
+
+
+def test_best_of_pair_and_coverage_need_no_strands(spark):
+    rows = [(1, 2, 90.0, 0, 100, 900, 1000, 0, 0, 800, 800), (2, 1, 90.0, 0, 0, 800, 800, 0, 100, 900, 1000), (1, 2, 95.0, 0, 0, 500, 1000, 1, 0, 500, 800), (3, 1, 91.0, 0, 5, 300, 400, 1, 10, 305, 1000)]
+    df = spark.createDataFrame(rows, "qid int, sid int, ident double, qdir int, qoff int, qend int, qsize int, sdir int, soff int, send int, ssize int")
+    assert {tuple(r) for r in overlap.best_of_pair(df).collect()} == {rows[0], rows[3]} and overlap.best_of_pair(df).dtypes == df.dtypes
+    few = overlap.best_of_pair(df.drop("qdir", "sdir"))
+    cov = {tuple(r) for r in olfilter.coverage(few.drop("ident")).collect()}
+    assert cov == {(1, 1000, 0, 2), (2, 800, 1, 1), (3, 400, 0, 1)} == {tuple(r) for r in olfilter.coverage(overlap.best_of_pair(df)).collect()}
